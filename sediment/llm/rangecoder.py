@@ -49,10 +49,10 @@ class _Model:
         self.p2, self.k2, self.p1, self.k1 = self.id2[self.at2], self.conf2[self.at2], self.id1[self.at1], self.conf1[self.at1]
         self.state = (self.k2.astype(np.int64) << 4) | (self.k1.astype(np.int64) << 1) | (self.p1 == self.p2)
 
-    def flag_table(self) -> tuple[np.ndarray, np.ndarray]:
-        cum = np.zeros((128, 4), np.int64)
-        np.cumsum(self.flags, axis=1, out=cum[:, 1:])
-        return cum, cum[:, 3]
+    def flag_starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the range of each decision begins, by 3 * state + decision, and the whole range of each state."""
+        ends = np.cumsum(self.flags, axis=1)
+        return (ends - self.flags).reshape(-1), np.ascontiguousarray(ends[:, 2])
 
     def learn(self, ids: np.ndarray, flags: np.ndarray, missed: np.ndarray) -> None:
         self.flags += np.bincount(self.state * 3 + flags, minlength=384).reshape(128, 3)
@@ -68,25 +68,24 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
         self.out, self.n = np.zeros((lanes, 5 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total) -> None:
-        low, rng = self.low[lanes], self.range[lanes]
-        rng //= total.astype(_U) if isinstance(total, np.ndarray) else _U(total)
-        low += rng * start.astype(_U)
-        rng *= size.astype(_U)
-        todo = np.arange(len(lanes))
-        while True:
+    def put(self, lanes: np.ndarray | int, start: np.ndarray, size: np.ndarray, total) -> None:
+        """lanes: their numbers, or how many of the first."""
+        who = slice(0, lanes) if isinstance(lanes, int) else lanes
+        rng = self.range[who] // (total.view(_U) if isinstance(total, np.ndarray) else _U(total))
+        low = self.low[who] + rng * start.view(_U)
+        rng *= size.view(_U)
+        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
+        while len(todo):
             a, r = low[todo], rng[todo]
-            same = (a ^ (a + r)) < _TOP
-            go = same | (r < _BOT)
-            if not go.any():
-                break
-            todo, a, r, same = todo[go], a[go], r[go], same[go]
-            r = np.where(same, r, (~a + _U(1)) & _MASK32)
-            who = lanes[todo]
-            self.out[who, self.n[who]] = (a >> _U(48)).astype(np.uint16)
-            self.n[who] += 1
-            low[todo], rng[todo] = a << _U(16), r << _U(16)
-        self.low[lanes], self.range[lanes] = low, rng
+            r = np.where((a ^ (a + r)) < _TOP, r, (~a + _U(1)) & _MASK32)
+            own = todo if isinstance(lanes, int) else lanes[todo]
+            n = self.n[own]
+            self.out[own, n] = (a >> _U(48)).astype(np.uint16)
+            self.n[own] = n + 1
+            a, r = a << _U(16), r << _U(16)
+            low[todo], rng[todo] = a, r
+            todo = todo[((a ^ (a + r)) < _TOP) | (r < _BOT)]
+        self.low[who], self.range[who] = low, rng
 
     def end(self) -> tuple[np.ndarray, np.ndarray]:
         """Two words for each lane are enough to name a number in its last range, as that is 2**32 at least."""
@@ -114,25 +113,24 @@ class _Reader:
         self.at[lanes] += 1
         return got
 
-    def peek(self, lanes: np.ndarray, total) -> np.ndarray:
-        total = total.astype(_U) if isinstance(total, np.ndarray) else _U(total)
-        self.unit = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, total - _U(1)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, rng, code = self.low[lanes] + self.unit * start.astype(_U), self.unit * size.astype(_U), self.code[lanes]
-        todo = np.arange(len(lanes))
-        while True:
+    def peek(self, lanes: np.ndarray | int, total) -> np.ndarray:
+        who = slice(0, lanes) if isinstance(lanes, int) else lanes
+        total = total.view(_U) if isinstance(total, np.ndarray) else _U(total)
+        self.unit = self.range[who] // total
+        return np.minimum((self.code[who] - self.low[who]) // self.unit, total - _U(1)).view(np.int64)
+
+    def take(self, lanes: np.ndarray | int, start: np.ndarray, size: np.ndarray) -> None:
+        who = slice(0, lanes) if isinstance(lanes, int) else lanes
+        low, rng, code = self.low[who] + self.unit * start.view(_U), self.unit * size.view(_U), self.code[who].copy()
+        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
+        while len(todo):
             a, r = low[todo], rng[todo]
-            same = (a ^ (a + r)) < _TOP
-            go = same | (r < _BOT)
-            if not go.any():
-                break
-            todo, a, r, same = todo[go], a[go], r[go], same[go]
-            r = np.where(same, r, (~a + _U(1)) & _MASK32)
-            code[todo] = (code[todo] << _U(16)) | self._next(lanes[todo])
-            low[todo], rng[todo] = a << _U(16), r << _U(16)
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, rng, code
+            r = np.where((a ^ (a + r)) < _TOP, r, (~a + _U(1)) & _MASK32)
+            code[todo] = (code[todo] << _U(16)) | self._next(todo if isinstance(lanes, int) else lanes[todo])
+            a, r = a << _U(16), r << _U(16)
+            low[todo], rng[todo] = a, r
+            todo = todo[((a ^ (a + r)) < _TOP) | (r < _BOT)]
+        self.low[who], self.range[who], self.code[who] = low, rng, code
 
 
 def _shape(n: int) -> tuple[int, int, int]:
@@ -149,15 +147,15 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
     before = before2 = np.zeros(lanes, np.int32)
-    every = np.arange(lanes)
     for t in range(steps):
         if t == last:
-            every, before, before2 = every[:-1], before[:-1], before2[:-1]
-        x = grid[t, : len(every)]
+            before, before2 = before[:-1], before2[:-1]
+        x = grid[t, : len(before)]
         model.predict(before, before2)
         flags = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
-        cum, totals = model.flag_table()
-        out.put(every, cum[model.state, flags], model.flags[model.state, flags], totals[model.state])
+        starts, totals = model.flag_starts()
+        at = model.state * 3 + flags
+        out.put(len(x), starts[at], model.flags.reshape(-1)[at], totals[model.state])
         miss = np.flatnonzero(flags == 2)
         missed = x[miss]
         if len(miss):
@@ -174,16 +172,16 @@ def decode_ids(words: np.ndarray, counts: np.ndarray, n: int, vocab: int) -> np.
     model, read = _Model(vocab), _Reader(words, counts)
     grid = np.zeros((STEPS, lanes), np.int32)
     before = before2 = np.zeros(lanes, np.int32)
-    every = np.arange(lanes)
     for t in range(steps):
         if t == last:
-            every, before, before2 = every[:-1], before[:-1], before2[:-1]
+            before, before2 = before[:-1], before2[:-1]
         model.predict(before, before2)
-        cum, totals = model.flag_table()
-        own = cum[model.state]
-        v = read.peek(every, totals[model.state])
-        flags = (v >= own[:, 1]).astype(np.int64) + (v >= own[:, 2])
-        read.take(every, own[every, flags], model.flags[model.state, flags])
+        starts, totals = model.flag_starts()
+        at = model.state * 3
+        v = read.peek(len(before), totals[model.state])
+        flags = (v >= starts[at + 1]).astype(np.int64) + (v >= starts[at + 2])
+        at += flags
+        read.take(len(before), starts[at], model.flags.reshape(-1)[at])
         x = np.where(flags == 0, model.p2, model.p1)
         miss = np.flatnonzero(flags == 2)
         missed = np.zeros(0, np.int64)
@@ -193,7 +191,7 @@ def decode_ids(words: np.ndarray, counts: np.ndarray, n: int, vocab: int) -> np.
             size = model.zero[missed]
             read.take(miss, cdf[missed] - size, size)
             x[miss] = missed
-        grid[t, : len(every)] = x
+        grid[t, : len(before)] = x
         model.learn(x, flags, missed)
         before2, before = before, x + 1
     return np.ascontiguousarray(grid.T).reshape(-1)[:n]

@@ -26,7 +26,7 @@ from sediment.llm.tokens import chunks, encoder
 
 END = 1
 #: Ids after which a block ends; documents are not cut.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 BLOCKS = "part int, block int, before long, tokens long, documents int, payload binary"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
