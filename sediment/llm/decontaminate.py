@@ -30,8 +30,12 @@ BROADCAST_ROWS = 1_000_000
 
 def _seeds(hashes: Column) -> Column:
     """One hash for each mask and window, mask by mask."""
-    kept = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-    return F.concat(*(F.transform(indices(F.size(hashes) - (SPAN - 1)), lambda i, ks=ks, m=m: F.xxhash64(F.lit(m), *(F.get(hashes, i + k) for k in ks))) for m, ks in enumerate(kept)))
+
+    def of(mask: str) -> Column:
+        kept = [i for i, c in enumerate(mask) if c == "1"]
+        return F.transform(indices(F.size(hashes) - (SPAN - 1)), lambda i: F.xxhash64(F.lit(mask), *(F.get(hashes, i + k) for k in kept)))
+
+    return F.concat(*map(of, MASKS))
 
 
 def _small(df: DataFrame) -> DataFrame:

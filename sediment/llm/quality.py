@@ -64,6 +64,18 @@ def char_distance(text: Column, n_chars: Column) -> Column:
     return F.when(n_chars > 0, let(counts, against))
 
 
+def _word_distance(bins: Column, ref: dict[str, float]) -> Column:
+    """Of shares of words (array<struct<w, p>>) and one language. Bins without a share in the text add half of the reference's."""
+    table, known = F.create_map(*(F.lit(x) for pair in ref.items() for x in pair)), math.fsum(ref.values())
+
+    def add(a: Column, b: Column) -> Column:
+        q = F.try_element_at(table, b["w"])
+        return F.struct((a["d"] + F.when(q.isNull(), 0.0).otherwise(_term(b["p"], q) - 0.5 * q)).alias("d"), (a["p"] + F.when(q.isNull(), 0.0).otherwise(b["p"])).alias("p"))
+
+    total = F.aggregate(bins, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p")), add)
+    return let(total, lambda a: _root(a["d"] + 0.5 * known + _term(F.greatest(1 - a["p"], F.lit(0.0)), 1 - known)))
+
+
 def word_distance(text: Column, n_words: Column) -> Column:
     """The least distance of a text's common words from a language's; null without words. Words outside a list are one bin."""
     every = sorted({w for ref in WORD_REFERENCES.values() for w in ref}, key=lambda w: (-len(w), w))
@@ -72,21 +84,7 @@ def word_distance(text: Column, n_words: Column) -> Column:
     def against(hits: Column) -> Column:
         counted = F.transform(F.array_distinct(hits), lambda d: F.struct(d.alias("w"), (F.size(F.filter(hits, lambda x: x == d)) / n_words).alias("p")))
 
-        def all_languages(bins: Column) -> Column:
-            out = []
-            for ref in WORD_REFERENCES.values():
-                table = F.create_map(*(F.lit(x) for pair in ref.items() for x in pair))
-                zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"))
-
-                def add(a: Column, b: Column, table=table) -> Column:
-                    q = F.try_element_at(table, b["w"])
-                    return F.struct((a["d"] + F.when(q.isNull(), 0.0).otherwise(_term(b["p"], q) - 0.5 * q)).alias("d"), (a["p"] + F.when(q.isNull(), 0.0).otherwise(b["p"])).alias("p"))
-
-                known = math.fsum(ref.values())
-                out.append(let(F.aggregate(bins, zero, add), lambda a, known=known: _root(a["d"] + 0.5 * known + _term(F.greatest(1 - a["p"], F.lit(0.0)), 1 - known))))
-            return F.least(*out)
-
-        return let(counted, all_languages)
+        return let(counted, lambda bins: F.least(*(_word_distance(bins, ref) for ref in WORD_REFERENCES.values())))
 
     return F.when(n_words > 0, let(found, against))
 
@@ -98,8 +96,10 @@ def repeated_words(found: Column) -> Column:
         order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def flagged(s: Column) -> Column:
-            n = F.size(s)
-            twice = F.filter(indices(n), lambda j: (F.get(s, j)["h"] == F.coalesce(F.get(s, j - 1)["h"], ~F.get(s, j)["h"])) | (F.get(s, j)["h"] == F.coalesce(F.get(s, j + 1)["h"], ~F.get(s, j)["h"])))
+            def equal(j: Column, k: Column) -> Column:
+                return F.coalesce(F.get(s, j)["h"] == F.get(s, k)["h"], F.lit(False))
+
+            twice = F.filter(indices(F.size(s)), lambda j: equal(j, j - 1) | equal(j, j + 1))
             return F.array_sort(F.transform(twice, lambda j: F.get(s, j)["i"]))
 
         zero = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
