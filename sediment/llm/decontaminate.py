@@ -71,21 +71,22 @@ def _best(equal: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that share a verified overlap: its equal tokens, its length, their share, its first token in both. key tells documents of one doc_id apart."""
     texts = common.documents(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    items = common.written(benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), _hashes(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("item")).distinct(), "items")
-    seeds = common.written(_positions(items, ["item_id"], F.col("item")).withColumnRenamed("at", "item_at"), "seeds")
-    found = _positions(texts.select("doc_id", "key", "text"), ["doc_id", "key"], _hashes(F.col("text")))
-    hits = found.join(_small(seeds), "seed").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), _hashes(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("item")).distinct()
+    items = common.written(items.withColumn("entry", F.xxhash64("item_id", "item")), "items")
+    seeds = common.written(_positions(items, ["entry"], F.col("item")).withColumnRenamed("at", "item_at"), "seeds")
+    found = _positions(texts, ["doc_id", "key"], _hashes(F.col("text")))
+    hits = found.join(_small(seeds), "seed").select("key", "entry", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = common.written(hits, "hits")
 
-    sized = hits.join(_small(items.select("item_id", F.size("item").alias("m"))), "item_id")
-    by_text = sized.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "m")).alias("hits"))
+    sized = hits.join(_small(items.select("entry", F.size("item").alias("m"))), "entry")
+    by_text = sized.groupBy("key").agg(F.collect_list(F.struct("entry", "shift", "m")).alias("hits"))
     joined = texts.join(F.broadcast(by_text) if hits.count() <= BROADCAST_ROWS else by_text, "key")
 
     def parts(h: Column) -> Column:
-        return F.transform(F.col("hits"), lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), F.transform(indices(c["m"]), lambda i: F.get(h, i + c["shift"])).alias("own")))
+        return F.transform(F.col("hits"), lambda c: F.struct(c["entry"].alias("entry"), c["shift"].alias("shift"), F.transform(indices(c["m"]), lambda i: F.get(h, i + c["shift"])).alias("own")))
 
     compared = joined.select("doc_id", "key", F.explode(let(_hashes(F.col("text")), parts)).alias("c"))
-    compared = compared.select("doc_id", "key", "c.*").join(_small(items), "item_id")
+    compared = compared.select("doc_id", "key", "c.*").join(_small(items), "entry")
     best = compared.select("doc_id", "key", "item_id", "shift", F.size("item").alias("item_tokens"), _best(F.zip_with("own", "item", lambda a, b: a.eqNullSafe(b))).alias("b"))
     good = best.where((F.col("b.n") >= MIN_MATCHES) & (F.col("b.n") >= MIN_SHARE * (F.col("b.to") - F.col("b.from"))))
     top = good.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct(F.col("b.n").alias("n"), -F.col("b.from"), F.col("b.from").alias("from"), F.col("b.to").alias("to"), "shift", "item_tokens")).alias("t"))
