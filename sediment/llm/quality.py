@@ -23,7 +23,7 @@ from sediment.llm.native import indices, let, words
 MIN_WORDS = 50
 #: Histograms are judged from these lengths on.
 GUARD_CHARS, GUARD_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.62
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.16, 0.37
 
 #: Shares of lower-case letters, capitals, digits, white space, punctuation and the rest in ordinary prose.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\s", "punct": r"[.,;:!?'\"()\-]"}
