@@ -1,6 +1,415 @@
-"""Queries of the library's own operators over the driver's tables, and the SQL that each must agree with."""
+"""Queries of the library's own operators over the driver's tables, and the SQL that each must agree with.
+
+Postings are played by orders (open unless their status is F), their tags by the part types of their items, units by nations and regions.
+Each query reads whole tables; limits are those of top-k reports and pages.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sediment.functions import dates, rules, tables, text
+from sediment.operators import browse, changes, cohorts, evidence, ranking, series
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+c = F.col
+
+
+class Tables:
+    """The driver's tables of one folder, and the postings made of them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def tagged(self) -> DataFrame:
+        """orders with tags: the different part types of their items."""
+        tags = self.lineitem.join(self.part, c("l_partkey") == c("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_type").alias("tags"))
+        return self.orders.join(tags, c("o_orderkey") == c("l_orderkey"), "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+    def placed(self, orders: DataFrame | None = None) -> DataFrame:
+        """orders with customer, nation and region."""
+        where = self.nation.join(self.region, c("n_regionkey") == c("r_regionkey"))
+        people = self.customer.join(where, c("c_nationkey") == c("n_nationkey"))
+        return (self.orders if orders is None else orders).join(people, c("o_custkey") == c("c_custkey"))
+
+    def as_of(self) -> DataFrame:
+        return self.orders.agg(F.max("o_orderdate").alias("now"))
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_KEYS = "keys as (select distinct l_orderkey as id, p_type as key from lineitem join part on l_partkey = p_partkey)"
+_PLACED = "placed as (select * from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
+
+
+@query("select coalesce(nullif(o_orderpriority, ''), 'Unspecified') as key, count(*)::bigint as n, count(*)::double / (select count(*) from orders) as share from orders group by 1")
+def rank_share(t: Tables) -> DataFrame:
+    return ranking.ranked(ranking.with_share(ranking.tally(t.orders, ranking.stated(c("o_orderpriority")))))
+
+
+@query(f"with {_KEYS} select key, count(*)::bigint as n from keys join orders on id = o_orderkey group by 1")
+def rank_multivalued(t: Tables) -> DataFrame:
+    return ranking.ranked(ranking.tally_many(t.tagged(), c("tags")))
+
+
+@query("select n_name as key, count(distinct l_orderkey)::bigint as n from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1")
+def distinct_within_row(t: Tables) -> DataFrame:
+    places = t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey")).join(t.nation, c("s_nationkey") == c("n_nationkey"))
+    return ranking.ranked(ranking.tally_many(places.groupBy("l_orderkey").agg(F.collect_list("n_name").alias("places")), c("places")))
+
+
+@query(
+    """with o as (select o_custkey, count(*) as k from orders group by 1)
+    select count(*)::bigint as n, count(*) filter (k is null)::bigint as not_stated, count(*) filter (k >= 10)::bigint as many, count(*) filter (c_acctbal < 0)::bigint as negative
+    from customer left join o on c_custkey = o_custkey"""
+)
+def conditional_counts(t: Tables) -> DataFrame:
+    rows = t.customer.join(t.orders.groupBy("o_custkey").agg(F.count("*").alias("k")), c("c_custkey") == c("o_custkey"), "left")
+    return ranking.conditional(rows, {"not_stated": c("k").isNull(), "many": c("k") >= 10, "negative": c("c_acctbal") < 0})
+
+
+@query(
+    f"""with {_KEYS} select count(distinct id)::bigint as n, (select count(*) from orders)::bigint as total, count(distinct id)::double / (select count(*) from orders) as share
+    from keys join orders on id = o_orderkey where key in ('PROMO', 'ECONOMY')"""
+)
+def union_share(t: Tables) -> DataFrame:
+    return ranking.union_share(t.tagged(), c("tags"), ["PROMO", "ECONOMY"])
+
+
+@query(
+    """select r_name as parent, n_name as child, count(*)::bigint as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    group by grouping sets ((r_name, n_name), (r_name))"""
+)
+def rollup_parent(t: Tables) -> DataFrame:
+    rows = t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey"))
+    return ranking.rollup(rows, c("r_name"), c("n_name"))
+
+
+@query(
+    """select 'priority' as dim, o_orderpriority as key, count(*)::bigint as n from orders group by 2
+    union all select 'status', o_orderstatus, count(*)::bigint from orders group by 2"""
+)
+def breakdowns(t: Tables) -> DataFrame:
+    return ranking.breakdown(t.orders, {"priority": c("o_orderpriority"), "status": c("o_orderstatus")})
+
+
+@query(
+    """with a as (select date_diff('day', o_orderdate, (select max(o_orderdate) from orders)) as d from orders), b as (
+    select case when d <= 7 then 0 when d <= 30 then 1 when d <= 90 then 2 when d <= 365 then 3 else 4 end as ordinal from a)
+    select ordinal::int as ordinal, ['week', 'month', 'quarter', 'year', 'older'][ordinal + 1] as bucket, count(*)::bigint as n from b group by 1, 2"""
+)
+def age_buckets(t: Tables) -> DataFrame:
+    rows = t.orders.crossJoin(F.broadcast(t.as_of()))
+    return ranking.buckets(rows, dates.age_days(c("o_orderdate"), c("now")), [(7, "week"), (30, "month"), (90, "quarter"), (365, "year")], "older")
+
+
+@query(
+    """select case when p_size <= 2 then 0 when p_size <= 5 then 1 when p_size <= 10 then 2 else 3 end::int as ordinal,
+    case when p_size <= 2 then '0-2' when p_size <= 5 then '3-5' when p_size <= 10 then '6-10' else '11+' end as bucket, count(*)::bigint as n from part group by 1, 2"""
+)
+def year_buckets(t: Tables) -> DataFrame:
+    return ranking.buckets(t.part, c("p_size"), [(2, "0-2"), (5, "3-5"), (10, "6-10")], "11+")
+
+
+@query("select quantile_disc(l_quantity, 0.5 order by l_quantity desc)::double as median from lineitem")
+def median_upper(t: Tables) -> DataFrame:
+    return t.lineitem.agg(ranking.upper_median("l_quantity").alias("median"))
+
+
+@query("select l_returnflag as key, count(*)::bigint as n, median(l_quantity)::double as median from lineitem group by 1 having count(*) >= 5")
+def median_interp(t: Tables) -> DataFrame:
+    return ranking.median_by(t.lineitem, c("l_returnflag"), c("l_quantity"))
+
+
+@query("select c_mktsegment as key, count(*)::bigint as n, median(l_quantity)::double as median from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1 having count(*) >= 5")
+def median_by_band(t: Tables) -> DataFrame:
+    rows = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.customer, c("o_custkey") == c("c_custkey"))
+    return ranking.median_by(rows, c("c_mktsegment"), c("l_quantity"))
+
+
+@query(
+    f"""with {_PLACED}, cells as (select n_name as row, o_orderstatus as col, count(*) as n from placed group by 1, 2), top as (select row, sum(n) as s from cells group by 1 order by s desc, row limit 12)
+    select top.row, g.col, coalesce(n, 0)::bigint as n from top cross join (values ('O'), ('P'), ('X')) g(col) left join cells on cells.row = top.row and cells.col = g.col"""
+)
+def crosstab(t: Tables) -> DataFrame:
+    return ranking.crosstab(t.placed(), c("n_name"), c("o_orderstatus"), ["O", "P", "X"], 12)
+
+
+@query(
+    f"""with {_KEYS}, r as (select o_orderkey, c_mktsegment as band from orders join customer on o_custkey = c_custkey), b as (select band, count(*) as total from r group by 1)
+    select key, r.band, count(*)::bigint as n, count(*)::double / any_value(total) as share from r join keys on id = o_orderkey join b on b.band = r.band group by 1, 2"""
+)
+def gradient(t: Tables) -> DataFrame:
+    return ranking.gradient(t.tagged().join(t.customer, c("o_custkey") == c("c_custkey")), c("tags"), c("c_mktsegment"))
+
+
+@query(f"with {_KEYS} select x.key as a, y.key as b, count(*)::bigint as n from keys x join keys y on x.id = y.id and x.key < y.key join orders on x.id = o_orderkey group by 1, 2 order by n desc, a, b limit 12")
+def pairs_topk(t: Tables) -> DataFrame:
+    return ranking.pairs(t.tagged(), c("tags")).orderBy(c("n").desc(), "a", "b").limit(12)
+
+
+@query(
+    f"""with {_KEYS}, {_PLACED}, r as (select o_orderkey, r_name = 'EUROPE' as inside from placed), s as (select count(*) filter (inside) as in_n, count(*) filter (not inside) as out_n from r)
+    select key, count(*) filter (inside)::bigint as n, count(*) filter (not inside)::bigint as rest_n, in_n::bigint as in_n, out_n::bigint as out_n, count(*) filter (inside)::double / in_n as share, count(*) filter (not inside)::double / out_n as rest_share,
+    (count(*) filter (inside)::double / in_n) / nullif(count(*) filter (not inside)::double / out_n, 0) as index from r join keys on id = o_orderkey cross join s group by key, in_n, out_n having count(*) filter (inside) >= 1"""
+)
+def compare_cohort(t: Tables) -> DataFrame:
+    return cohorts.compare(t.placed(t.tagged()), cohorts.inside(c("r_name"), ["EUROPE"]), c("tags"))
+
+
+def _recency_sql(days: int) -> str:
+    return f"""with {_KEYS}, r as (select o_orderkey, o_orderdate >= (select max(o_orderdate) from orders) - interval {days} day as recent from orders where o_orderkey in (select id from keys)),
+    s as (select count(*) as all_n, count(*) filter (recent) as recent_n from r), k as (select key, count(*) as total, count(*) filter (recent) as recent from r join keys on id = o_orderkey group by 1 having count(*) >= 3)
+    select key, total::bigint as total, recent::bigint as recent, coalesce((recent * all_n)::double / nullif(recent_n * total, 0)::double, 0) as index from k cross join s"""
+
+
+@query(_recency_sql(30))
+def recency_index_30(t: Tables) -> DataFrame:
+    return series.recency(t.tagged(), c("o_orderdate"), c("tags"), t.as_of(), 30)
+
+
+@query(_recency_sql(90))
+def demand_index_90(t: Tables) -> DataFrame:
+    return series.recency(t.tagged(), c("o_orderdate"), c("tags"), t.as_of(), 90)
+
+
+@query(f"with x as ({_recency_sql(90)}) (select 'high' as \"end\", * from x order by index desc, key limit 6) union all (select 'low', * from x order by index, key limit 6)")
+def both_ends(t: Tables) -> DataFrame:
+    return series.both_ends(series.recency(t.tagged(), c("o_orderdate"), c("tags"), t.as_of(), 90))
+
+
+_MONTHLY = """m as (select strftime(o_orderdate, '%Y-%m') as month, o_orderpriority as key from orders), g as (select month, row_number() over (order by month desc) as ordinal from (select distinct month from m) order by month desc limit 12),
+    k as (select distinct key from m semi join g using (month)), series as (select k.key, g.month, g.ordinal::int as ordinal, (select count(*) from m where m.key = k.key and m.month = g.month)::bigint as n from k cross join g)"""
+
+
+def _monthly(t: Tables) -> DataFrame:
+    return series.monthly(t.orders, c("o_orderdate"), F.array("o_orderpriority"))
+
+
+@query(f"with {_MONTHLY} select key, month, ordinal, n from series")
+def monthly_series(t: Tables) -> DataFrame:
+    return _monthly(t)
+
+
+@query(
+    f"""with {_MONTHLY}, p as (select key, sum(n) filter (ordinal <= 3)::bigint as recent, sum(n) filter (ordinal between 4 and 6)::bigint as prior from series group by 1), s as (select sum(recent) as r, sum(prior) as q from p)
+    select key, recent, prior, recent::double / r as recent_share, prior::double / q as prior_share, recent::double / r - prior::double / q as delta from p cross join s"""
+)
+def share_shift(t: Tables) -> DataFrame:
+    return series.share_shift(_monthly(t))
+
+
+_DAILY = """d as (select ts::date as day, count(*) as n from events where day(ts) % 7 <> 0 group by 1), dense as (
+    select day, coalesce(n, 0)::bigint as n from (select unnest(generate_series(max(day) - 29, max(day), interval 1 day))::date as day from d) left join d using (day))"""
+
+
+def _daily(t: Tables) -> DataFrame:
+    return series.dense_days(t.events.where(F.dayofmonth("ts") % 7 != 0), c("ts"), 30)
+
+
+@query(f"with {_DAILY} select strftime(day, '%Y-%m-%d') as day, n from dense")
+def daily_dense(t: Tables) -> DataFrame:
+    return _daily(t).withColumn("day", dates.day_key(c("day")))
+
+
+@query(
+    f"""with {_DAILY}, w as (select *, count(*) over f as k, sum(n) over f as s from dense window f as (order by day rows between 3 preceding and 3 following))
+    select strftime(day, '%Y-%m-%d') as day, n, case when k = 7 then s::double / 7 end as mean from w"""
+)
+def moving_avg_7(t: Tables) -> DataFrame:
+    return series.moving_average(_daily(t)).withColumn("day", dates.day_key(c("day")))
+
+
+@query(f"with {_DAILY} select strftime(day, '%Y-%m-%d') as day, n from dense order by n desc, day limit 1")
+def peak_day(t: Tables) -> DataFrame:
+    return series.peak(_daily(t)).withColumn("day", dates.day_key(c("day")))
+
+
+_FUNCTIONS = [("now", r"urgent|high"), ("soon", r"medium")]
+
+
+@query("select case when o_orderpriority ilike '%urgent%' or o_orderpriority ilike '%high%' then 'now' when o_orderpriority ilike '%medium%' then 'soon' else 'other' end as key, count(*)::bigint as n, count(*)::double / (select count(*) from orders) as share from orders group by 1")
+def function_mix(t: Tables) -> DataFrame:
+    return ranking.with_share(ranking.tally(t.orders, rules.first_match(c("o_orderpriority"), _FUNCTIONS, "other")))
+
+
+@query(
+    f"""with {_PLACED} select r_name as key, count(*)::bigint as n, count(*) filter (o_orderstatus <> 'F')::double / count(*) as open, count(*) filter (o_orderpriority = '1-URGENT' and o_orderstatus <> 'F')::double / nullif(count(*) filter (o_orderstatus <> 'F'), 0) as urgent
+    from placed group by 1"""
+)
+def profile_divisions(t: Tables) -> DataFrame:
+    is_open = c("o_orderstatus") != "F"
+    return ranking.profile(t.placed(), c("r_name"), {"open": (is_open, None), "urgent": (c("o_orderpriority") == "1-URGENT", is_open)})
+
+
+@query(f"with {_KEYS} select count(distinct o_orderkey)::bigint as n, count(id)::bigint as keys, count(id)::double / count(distinct o_orderkey) as mean from orders left join keys on id = o_orderkey")
+def breadth_mean(t: Tables) -> DataFrame:
+    return ranking.breadth(t.tagged(), c("tags"))
+
+
+_CATEGORY = {"PROMO": "cheap", "ECONOMY": "cheap", "LARGE": "sized", "MEDIUM": "sized", "SMALL": "sized"}
+
+
+@query(f"with {_KEYS} select case when key in ('PROMO', 'ECONOMY') then 'cheap' else 'sized' end as key, count(distinct id)::bigint as n from keys join orders on id = o_orderkey where key <> 'STANDARD' group by 1")
+def category_rollup(t: Tables) -> DataFrame:
+    return ranking.category_tally(t.tagged(), c("tags"), _CATEGORY)
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*)::bigint as n, count(*) filter (o_orderstatus <> 'F')::bigint as open, median(o_totalprice)::double as median from orders group by 1 having count(*) >= 25")
+def market_months(t: Tables) -> DataFrame:
+    return series.market_months(t.orders, c("o_orderdate"), {"open": c("o_orderstatus") != "F"}, c("o_totalprice"))
+
+
+@query("select strftime(o_orderdate, '%Y-%m-%d') as date, 'priority' as dim, o_orderpriority as key, count(*)::bigint as n from orders group by 1, 3 union all select strftime(o_orderdate, '%Y-%m-%d'), 'status', o_orderstatus, count(*)::bigint from orders group by 1, 3")
+def history_long(t: Tables) -> DataFrame:
+    return series.history(t.orders, dates.day_key(c("o_orderdate")), {"priority": c("o_orderpriority"), "status": c("o_orderstatus")})
+
+
+@query(
+    """with d as (select strftime(o_orderdate, '%Y-%m-%d') as date, count(*) as total, count(*) filter (o_orderstatus = 'O') as added, count(*) filter (o_orderstatus = 'F') as removed from orders group by 1)
+    select count(*)::bigint as days, (arg_max(total, date) - arg_min(total, date))::bigint as net, sum(added)::bigint as added, sum(removed)::bigint as removed from d"""
+)
+def net_change(t: Tables) -> DataFrame:
+    days = t.orders.groupBy(dates.day_key(c("o_orderdate")).alias("date")).agg(F.count("*").alias("total"), F.count_if(c("o_orderstatus") == "O").alias("added"), F.count_if(c("o_orderstatus") == "F").alias("removed"))
+    return series.net_change(days)
+
+
+def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(state, live): yesterday and today."""
+    key = c("o_orderkey")
+    base = t.orders.select(key.alias("id"), c("o_orderpriority").alias("priority"), c("o_orderdate").alias("posted"), "o_totalprice")
+    state = base.where(c("id") % 10 != 0).withColumn("priority", F.when(c("id") % 7 == 0, "9-OTHER").otherwise(c("priority"))).withColumn("status", F.when(c("id") % 11 == 0, "closed").otherwise("open"))
+    return state, base.where(c("id") % 13 != 0)
+
+
+_SNAPSHOTS = """a as (select o_orderkey as id, case when o_orderkey % 7 = 0 then '9-OTHER' else o_orderpriority end as priority, o_orderdate as posted, case when o_orderkey % 11 = 0 then 'closed' else 'open' end as status from orders where o_orderkey % 10 <> 0),
+    b as (select o_orderkey as id, o_orderpriority as priority, o_orderdate as posted from orders where o_orderkey % 13 <> 0),
+    f as (select coalesce(a.id, b.id) as id, a.id is not null as known, b.id is not null as listed, coalesce(a.status = 'closed', false) as closed, a.priority as p1, b.priority as p2 from a full join b on a.id = b.id)"""
+
+
+@query(
+    f"""with {_SNAPSHOTS} select id, case when listed and (not known or closed) then 'added' when not listed and closed then 'closed' when not listed then 'removed' when p1 is distinct from p2 then 'updated' else 'same' end as kind,
+    (known and listed and not closed and p1 is distinct from p2)::int as n_changed from f"""
+)
+def snapshot_diff(t: Tables) -> DataFrame:
+    state, live = _snapshots(t)
+    return changes.diff(state, live, "id", ["priority", "posted"]).select("id", "kind", F.size("changed").alias("n_changed"))
+
+
+@query(f"with {_SNAPSHOTS} select id, 'priority' as field, p1 as before, p2 as after from f where known and listed and not closed and p1 is distinct from p2")
+def field_diff(t: Tables) -> DataFrame:
+    state, live = _snapshots(t)
+    return changes.diff(state, live, "id", ["priority", "posted"]).select("id", F.explode("changed").alias("x")).select("id", "x.*")
+
+
+@query(
+    f"""with {_SNAPSHOTS} select id, case when listed then 'open' else 'closed' end as status, case when listed then p2 else p1 end as priority,
+    case when listed and (closed or not known) then '2002-01-01' else '2001-12-22' end as first_seen, case when listed then '2002-01-01' else '2001-12-31' end as last_seen,
+    case when listed then null when closed then '2001-12-31' else '2002-01-01' end as closed_at, case when listed then null when closed then 9 else 10 end::bigint as days_open from f"""
+)
+def scd_transition(t: Tables) -> DataFrame:
+    state, live = _snapshots(t)
+    closed = c("status") == "closed"
+    day = F.to_timestamp(F.lit("2001-12-31"))
+    state = state.withColumns({"first_seen": F.to_timestamp(F.lit("2001-12-22")), "last_seen": day, "closed_at": F.when(closed, day), "days_open": F.when(closed, F.lit(9)).cast("long")})
+    out = changes.next_state(state, live, "id", F.to_timestamp(F.lit("2002-01-01")))
+    return out.select("id", "status", "priority", *(dates.day_key(c(d)).alias(d) for d in ("first_seen", "last_seen", "closed_at")), "days_open")
+
+
+@query(f"with {_SNAPSHOTS} select a.id, a.priority from a anti join b using (id) where a.status = 'open'")
+def closures(t: Tables) -> DataFrame:
+    return changes.closures(*_snapshots(t), "id").select("id", "priority")
+
+
+@query("select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def latest_per_key(t: Tables) -> DataFrame:
+    return changes.latest_struct(t.events, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("select n_regionkey::varchar as key, r_name as label, count(*)::bigint as n from nation join region on n_regionkey = r_regionkey group by 1, 2")
+def dim_lookup(t: Tables) -> DataFrame:
+    names = t.region.select(c("r_regionkey").cast("string").alias("key"), c("r_name").alias("label"))
+    return ranking.labelled(ranking.tally(t.nation, c("n_regionkey").cast("string")), names)
+
+
+@query(
+    f"""with {_KEYS}, {_PLACED} select o_orderkey, c_name, o_orderpriority from placed where r_name = 'EUROPE' and o_orderkey in (select id from keys where key = 'PROMO') and contains(lower(c_name || ' ' || o_orderpriority), 'urgent')
+    order by o_orderdate desc, o_orderkey limit 40 offset 40"""
+)
+def facet_browse(t: Tables) -> DataFrame:
+    rows = t.placed(t.tagged()).withColumn("creationTs", F.unix_seconds(c("o_orderdate").cast("timestamp")))
+    found = browse.search(browse.facets(rows, {"r_name": "EUROPE"}, {"tags": "PROMO"}), " Urgent", ["c_name", "o_orderpriority"])
+    return browse.page(browse.ordered(found, "newest", key="o_orderkey"), 1).select("o_orderkey", "c_name", "o_orderpriority")
+
+
+@query("select o_orderkey, o_orderpriority from orders order by o_orderdate desc, o_orderkey limit 20")
+def newest_k(t: Tables) -> DataFrame:
+    return browse.page(browse.ordered(t.orders.withColumn("creationTs", F.unix_seconds(c("o_orderdate").cast("timestamp"))), "newest", key="o_orderkey"), 0, 20).select("o_orderkey", "o_orderpriority")
+
+
+@query(f"select w as key, count(*)::bigint as n from (select unnest(list_distinct(string_split_regex(lower(p_name), '[^a-z0-9+#.]+'))) as w from part) where length(w) >= 3 and w not in {tables.TITLE_WORDS} group by 1")
+def title_keywords(t: Tables) -> DataFrame:
+    return ranking.ranked(ranking.tally_many(t.part, text.title_words(c("p_name"))))
+
+
+@query()
+def html_to_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.plain_text(c("html")).alias("text"))
+
+
+def _texts(t: Tables) -> DataFrame:
+    return t.documents.where("n_chars > 200")
+
+
+@query()
+def distinctive_terms(t: Tables) -> DataFrame:
+    return cohorts.distinctive(_texts(t), cohorts.inside(c("lang"), ["en"]), c("text"))
+
+
+@query("select substr(sha1(coalesce(text, '')), 1, 16) as key, count(*)::bigint as n from documents group by 1 having count(*) > 1")
+def fingerprint_dups(t: Tables) -> DataFrame:
+    return ranking.tally(t.documents, text.fingerprint(c("text"))).where("n > 1")
+
+
+@query()
+def passages_evidence(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", text.passages(F.array(F.struct(F.lit("whole").alias("section"), F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
+    return evidence.evidence(rows, c("parts")).drop("parts")
+
+
+@query("select * from (values (1, 5), (2, 2), (3, null), (4, 3)) v(id, years)")
+def required_years(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(1, "5+ years of Java, 10 years in all"), (2, "2 YEARS or 30 years"), (3, "many yearsome things"), (4, "8 years; 3years")], "id int, text string")
+    return rows.select("id", text.required_years(c("text")).alias("years"))
+
+
+@query("select case when p_name like 'red %' then 'red' when p_name ilike '%bolt%' then 'bolt' else 'other' end as key, count(*)::bigint as n from part group by 1")
+def first_match_class(t: Tables) -> DataFrame:
+    return ranking.tally(t.part, rules.first_match(c("p_name"), [("red", r"^red\b"), ("bolt", "bolt")], "other"))
+
+
+@query("select * from (values (1, 'Oslo', 'Norway', 'NO'), (2, 'Reading', 'United Kingdom', 'GB'), (3, 'Japan', 'Japan', null), (4, 'Unknown', 'Unknown', null)) v(id, city, country, code)")
+def parse_location(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(1, "Norway, Oslo, Oslo", "Oslo, NO"), (2, "Reading, UK", "Reading, GB"), (3, "Japan", ""), (4, "", None)], "id int, l string, s string")
+    return rows.select("id", text.place(c("l"), c("s")).alias("p")).select("id", "p.*")
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, count(*)::bigint as n from events group by 1, 2")
+def day_month_keys(t: Tables) -> DataFrame:
+    return t.events.groupBy(dates.day_key(c("ts")).alias("day"), dates.month_key(c("ts")).alias("month")).agg(F.count("*").alias("n"))

@@ -21,7 +21,7 @@ def month_key(ts: Column) -> Column:
 
 def age_days(ts: Column, as_of: Column) -> Column:
     """Whole days, rounded down; negative for the future."""
-    return F.floor((F.unix_micros(as_of) - F.unix_micros(ts)) / 86_400_000_000).cast("long")
+    return F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 86_400_000_000).cast("long")
 
 
 def relative(days: Column) -> Column:

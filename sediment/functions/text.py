@@ -126,7 +126,7 @@ def place(location: Column, standardised: Column) -> Column:
     """struct<city, country, code>. "Country, Region, City"; two parts are "City, Country". The code is the last part of the standardised place."""
 
     def parts(x: Column) -> Column:
-        return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), F.trim), lambda p: p != "")
+        return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda w: F.trim(w)), lambda p: p != "")
 
     def of(p: Column) -> Column:
         n = F.size(p)
