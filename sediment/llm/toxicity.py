@@ -36,10 +36,15 @@ SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre
 NEAR = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[\d@$!*|.\-_]+[^\W\d_]+)+|(?<![^\W_])[\d@$!|]+[^\W\d_]+(?:[\d@$!*|]+[^\W\d_]*)*|(?<!\w)(?:[^\W\d_][ .\-*_]){3,}[^\W\d_](?!\w)")
+#: Words with digits or marks inside, or before them; a run of such marks is tried from its beginning only.
+_MIXED = re.compile(r"(?<![^\W_])[^\W\d_]++(?:[\d@$!*|.\-_]++[^\W\d_]++)+|(?<![^\W_])(?<![@$!|])[\d@$!|]++[^\W\d_]++(?:[\d@$!*|]++[^\W\d_]*+)*+")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _MARKS = re.compile(r"[^\w\s]{2,}")
+_UPPER, _SHOUTED = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+#: Tokens that a lexicon keeps in mind, and the longest of them.
+CACHE_TOKENS, CACHE_CHARS = 200_000, 64
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -59,44 +64,76 @@ def entries_of(text: str) -> set[str]:
 
 class Lexicon:
     def __init__(self, odds: dict[str, float]):
-        self.odds, self.cache = odds, {}
+        self.odds, self.known = odds, {}
+        self.beginnings = {e[:-1]: o for e, o in odds.items() if e.endswith("-")}
 
     def of(self, word: str) -> float:
         """The greatest log odds of a word and its beginnings; 0 if none is known."""
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            found = self.cache[word] = max([self.odds.get(word, 0.0), *(self.odds.get(word[:n] + "-", 0.0) for n in BEGINNINGS if len(word) > n)])
+        found, size = self.odds.get(word, 0.0), len(word)
+        for n in BEGINNINGS:
+            if size <= n:
+                break
+            o = self.beginnings.get(word[:n], 0.0)
+            if o > found:
+                found = o
         return found
 
+    def token(self, token: str) -> tuple[int, tuple, tuple, tuple]:
+        """What a text without white space brings: its number of words, the hits (place, odds, word), the places of second persons, and counts (empty if all are 0)."""
+        core = token[:-1] if token[-1] in ".," else token
+        if core.isalpha() and core == core.lower():  # one plain word: most tokens
+            o = self.of(core)
+            found = 1, ((0, o, core),) if o > 0.0 else (), (0,) if core in SECOND else (), (0, 0, 0, 0, 0, 0, 1, 0) if _DRAWN.search(core) else ()
+        else:
+            found = self._odd(token)
+        if len(token) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_TOKENS:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+    def _odd(self, token: str) -> tuple[int, tuple, tuple, tuple]:
+        lower = token.lower()
+        words = _WORD.findall(lower)
+        hits = tuple((i, o, w) for i, w in enumerate(words) if (o := self.of(w)) > 0.0)
+        second = tuple(i for i, w in enumerate(words) if w in SECOND)
+        mixed = [m.group() for m in _MIXED.finditer(lower)]
+        counts = (
+            len(_UPPER.findall(token)), len(_SHOUTED.findall(token)), token.count("!"), token.count("?"), len(_MARKS.findall(token)), len(mixed),
+            sum(_DRAWN.search(w) is not None for w in words), sum(self.of(p) >= 3.0 for p in map(plain, mixed) if p),
+        )
+        return len(words), hits, second, counts if any(counts) else ()
+
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    lower = text.lower()
-    words = _WORD.findall(lower)
-    n = max(1, len(words))
-    of, cache = lexicon.of, lexicon.cache
-    odds = [cache[w] if w in cache else of(w) for w in words]
-    hits = [i for i, o in enumerate(odds) if o > 0.0]
-    strong = sum(odds[i] >= 4.0 for i in hits)
-    second = [i for i, w in enumerate(words) if w in SECOND]
+    place, hits, second, totals, known = 0, [], [], [0] * 8, lexicon.known
+    for token in text.split():
+        n, own, you, counts = known.get(token) or lexicon.token(token)
+        if own:
+            hits += [(place + i, o, w) for i, o, w in own]
+        if you:
+            second += [place + i for i in you]
+        if counts:
+            totals = [a + b for a, b in zip(totals, counts, strict=True)]
+        place += n
+    upper, shouted, exclaimed, asked, marks, mixed, drawn, hidden = totals
+    for m in _SPACED.finditer(text.lower()):
+        mixed += 1
+        hidden += lexicon.of(plain(m.group())) >= 3.0
+    n, size = max(1, place), max(1, len(text))
+    strong = sum(o >= 4.0 for _, o, _ in hits)
     near, least = 0, 50.0
     if second and hits:
-        at = np.searchsorted(second, hits)
-        s = np.array([-1000, *second, len(words) + 1000])
-        gap = np.minimum(np.abs(s[at] - hits), np.abs(s[at + 1] - hits))
+        places = np.array([i for i, _, _ in hits])
+        at = np.searchsorted(second, places)
+        s = np.array([-1000, *second, place + 1000])
+        gap = np.minimum(np.abs(s[at] - places), np.abs(s[at + 1] - places))
         near, least = int((gap <= NEAR).sum()), float(min(50, gap.min()))
-    size = max(1, len(text))
-    upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
-    mixed = [m.group() for m in _MIXED.finditer(lower)]
-    hidden = sum(of(p) >= 3.0 for p in map(plain, mixed) if p)
-    drawn = [m for m in re.findall(r"[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*", lower)]
-    values = sorted((odds[i] for i in hits), reverse=True)
-    kinds = len({words[i] for i in hits})
+    values = sorted((o for _, o, _ in hits), reverse=True)
+    kinds = len({w for _, _, w in hits})
     return [
-        np.log1p(len(words)), len(hits) / n, np.log1p(len(hits)), strong / n, np.log1p(strong), sum(values) / n, values[0] if values else 0.0, values[1] if len(values) > 1 else 0.0, float(kinds),
-        near / n, float(near), least, len(second) / n, upper / size, shouted / n, text.count("!") / n, text.count("?") / n, len(_MARKS.findall(text)) / n, len(mixed) / n, len(drawn) / n, float(hidden), hidden / n, size / n,
+        np.log1p(place), len(hits) / n, np.log1p(len(hits)), strong / n, np.log1p(strong), sum(values) / n, values[0] if values else 0.0, values[1] if len(values) > 1 else 0.0, float(kinds),
+        near / n, float(near), least, len(second) / n, upper / size, shouted / n, exclaimed / n, asked / n, marks / n, mixed / n, drawn / n, float(hidden), hidden / n, size / n,
     ]
 
 
