@@ -204,8 +204,9 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["core", "key", "lo", "n", "anchor", "single", "bytes"])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """df to broadcast if it has few rows, or if rows, which its lists hold, are few."""
+    return F.broadcast(df) if (df if rows is None else rows).count() <= BROADCAST_ROWS else df
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -220,10 +221,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spans = whole.select("key", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + SIZE).alias("stop"))
 
     several = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("core", (F.col("kinds") > CROWD).alias("crowded"))
-    asked = kinds.join(several, "core").select("core", "crowded", "one.*", (F.col("c") == 1).alias("single"))
+    asked = common.written(kinds.join(several, "core").select("core", "one.*", (F.col("c") == 1).alias("single")), "contexts-asked")
     by_text = common.written(asked.groupBy("key").agg(F.collect_list(F.struct("core", "key", "lo", "n", "anchor", "single")).alias("asked")), "asked")
     crowded = common.written(several.where("crowded").select("core"), "crowded")
-    one_each = texts.select("key", "raw").join(_bounded(by_text), "key").select("raw", "asked")
+    one_each = texts.select("key", "raw").join(_bounded(by_text, asked), "key").select("raw", "asked")
     brought = common.written(one_each.mapInArrow(_cut_bytes, "core long, key long, lo long, n int, anchor int, single boolean, bytes binary"), "brought")
 
     calm = brought.join(_bounded(crowded), "core", "left_anti").repartition("core").sortWithinPartitions("core")
@@ -272,5 +273,5 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = common.written(repeated_spans(texts), "spans")
     # spans that touch are joined before they meet in one row
     by_key = common.written(spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "by_text")
-    joined = texts.join(_bounded(by_key), "key", "left").select("doc_id", "raw", "spans")
+    joined = texts.join(_bounded(by_key, spans), "key", "left").select("doc_id", "raw", "spans")
     return joined.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
