@@ -206,7 +206,22 @@ def test_pii(docs, none, rows):
     assert pii.digest(none).collect() == [] and pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(rows)
 
 
-def test_near_dedup(docs, none, rows):
+def test_prefixes_share_a_shingle():
+    rng = np.random.default_rng(3)
+    often = rng.integers(0, 9, near_dedup.BUCKETS)
+    for _ in range(300):
+        pool = np.sort(rng.choice(1 << 40, 30, replace=False)).astype(np.uint64)
+        mine = rng.random((2, 30)) < 0.9
+        weight = rng.random(30).astype(np.float32)
+        a, b = ((pool[m], weight[m]) for m in mine)
+        if near_dedup.similarity(a, b) >= 0.8:
+            x, y = (set(near_dedup.prefix(np.zeros(len(c), np.int64), c, w, often, 0.8)[1].tolist()) for c, w in (a, b))
+            assert x & y
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_near_dedup(docs, none, rows, monkeypatch, crowd):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     tok = lambda x: [w for w in re.split(r"[\W_]+", (x or "").lower()) if w]
     words = [tok(x) for _, x in rows]
     df = Counter(w for t in words for w in set(t))
