@@ -208,13 +208,18 @@ def test_pii(docs, none, rows):
 
 def test_prefixes_share_a_shingle():
     rng = np.random.default_rng(3)
-    often = rng.integers(0, 9, near_dedup.BUCKETS)
+    often = rng.integers(2, 9, 1 << 12)
     for _ in range(300):
         pool = np.sort(rng.choice(1 << 40, 30, replace=False)).astype(np.uint64)
         mine = rng.random((2, 30)) < 0.9
         weight = rng.random(30).astype(np.float32)
         a, b = ((pool[m], weight[m]) for m in mine)
         if near_dedup.similarity(a, b) >= 0.8:
+            one = a[0][~np.isin(a[0], b[0])], b[0][~np.isin(b[0], a[0])]
+            own = often.copy()
+            own[np.concatenate(one).astype(np.int64) & 4095] = 1
+            own[np.intersect1d(a[0], b[0]).astype(np.int64) & 4095] = 2
+            assert any(near_dedup.prefix(np.zeros(len(c), np.int64), c, w, own, 0.8)[2].any() for c, w in (a, b))
             x, y = (set(near_dedup.prefix(np.zeros(len(c), np.int64), c, w, often, 0.8)[1].tolist()) for c, w in (a, b))
             assert x & y
 
