@@ -5,8 +5,9 @@ Terms are the runs of four letters or more in the REACH characters on either sid
 What a term t discloses of an entity e is pmi(e, t) / information(e), both estimated from the whole
 corpus: pmi = log2(N * both / (docs(e) * docs(t))), information = log2(N / docs(e)), where docs() counts the distinct
 texts that hold e or t, both those that hold t within reach of e, and N all. It is 1
-if t is found beside e only, and falls to 0 as t becomes independent of e. Terms at THRESHOLD or above, seen beside e in MIN_BOTH
-texts or more, are spans of kind "term" wherever they stand within reach of e; sanitise() generalises them to [TERM] and removes the hits.
+if t is found beside e only, and falls to 0 as t becomes independent of e. It is estimated whatever docs(e): of an entity of one text
+it is 1 - log2(docs(t)) / log2(N), a bound on the texts that hold t. Terms at THRESHOLD or above are spans of kind "term"
+wherever they stand within reach of e; sanitise() generalises them to [TERM] and removes the hits.
 
 Null texts are empty. Documents are told apart by doc_id and text; every row gets its result, and
 equal texts count once in the statistics. An empty table gives no rows. Other columns are ignored
@@ -32,7 +33,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 REACH = 64
-THRESHOLD, MIN_BOTH = 0.75, 3
+THRESHOLD = 0.75
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string,hit:string>>"
 _TERM = r"\p{L}{4,}+"
 BROADCAST_ROWS = 1_000_000
@@ -105,7 +106,7 @@ def _disclosing(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the terms at the threshold. found: key, content, terms of each row."""
     near = found.select("content", F.explode("near").alias("x")).select("content", "x.entity", "x.term").distinct()
     held = found.select("content", F.explode("spans").alias("s")).select("content", _entity(F.col("s.kind"), F.col("s.hit")).alias("entity")).distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_BOTH)
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = common.written(both.join(held.groupBy("entity").agg(F.count("*").alias("docs_e")), "entity"), "pairs")
     # all texts, but only of the terms that are asked for
     asked = pairs.select("term").distinct()

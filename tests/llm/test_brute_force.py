@@ -206,6 +206,13 @@ def test_pii(docs, none, rows):
     assert pii.digest(none).collect() == [] and pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(rows)
 
 
+def test_pii_entity_of_one_text(spark):
+    texts = ["Letters for Marlborough go to me@here.org"] + [f"Letters for people number {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean == {**dict(enumerate(texts)), 0: "Letters for [TERM] go to [EMAIL]"}
+
+
 def test_prefixes_share_a_shingle():
     rng = np.random.default_rng(3)
     often = rng.integers(2, 9, 1 << 12)
