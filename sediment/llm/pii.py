@@ -1,13 +1,13 @@
-"""Personal data: patterns, and information-theoretic sanitisation of the terms around them. Expressions only.
+"""Personal data: patterns, and information-theoretic sanitisation of the terms that disclose them. Expressions only.
 
 Patterns find e-mail and IP addresses, card and phone numbers. Each distinct hit is a protected entity.
-Terms are the runs of four letters or more in the REACH characters on either side of a mention, up to the next one.
+Terms are the runs of four letters or more of the whole text of each document that holds an entity, cut at its hits.
 What a term t discloses of an entity e is pmi(e, t) / information(e), both estimated from the whole
 corpus: pmi = log2(N * both / (docs(e) * docs(t))), information = log2(N / docs(e)), where docs() counts the distinct
-texts that hold e or t, both those that hold t within reach of e, and N all. It is 1
-if t is found beside e only, and falls to 0 as t becomes independent of e. It is estimated whatever docs(e): of an entity of one text
+texts that hold e or t, both those that hold the two, and N all. It is 1
+if t is found with e only, and falls to 0 as t becomes independent of e. It is estimated whatever docs(e): of an entity of one text
 it is 1 - log2(docs(t)) / log2(N), a bound on the texts that hold t. Terms at THRESHOLD or above are spans of kind "term"
-wherever they stand within reach of e; sanitise() generalises them to [TERM] and removes the hits.
+at every place of the texts that hold e; sanitise() generalises them to [TERM] and removes the hits.
 
 Null texts are empty. Documents are told apart by doc_id and text; every row gets its result, and
 equal texts count once in the statistics. An empty table gives no rows. Other columns are ignored
@@ -32,7 +32,6 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-REACH = 64
 THRESHOLD = 0.75
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string,hit:string>>"
 _TERM = r"\p{L}{4,}+"
@@ -76,56 +75,65 @@ def _entity(kind: Column, hit: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(hit)).when(kind == "ip", hit).otherwise(_digits(hit)))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the terms beside each hit, up to the hit before or after it."""
+def _terms(text: Column, spans: Column) -> Column:
+    """array<struct<term, start, end>>: the terms of the whole text, cut at its hits; none for a text without hits."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("xs"))
 
-    def beside(t: Column, begin: Column, end: Column, lower: Column, upper: Column, entity: Column) -> Column:
-        def terms(lo: Column, hi: Column) -> Column:
-            # one more character on either side shows whether a term is cut there
-            def found(cut: Column) -> Column:
-                size = F.length(cut)
-                whole = F.filter(matches(cut, _TERM), lambda s: ((s["start"] > 0) | (lo <= lower)) & ((s["end"] < size) | (hi >= upper)))
-                return F.transform(whole, lambda s: F.struct(entity.alias("entity"), F.lower(s["hit"]).alias("term"), (s["start"] + lo).alias("start"), (s["end"] + lo).alias("end")))
+    def shifted(t: Column, lo: Column, hi: Column) -> Column:
+        return F.transform(matches(F.substring(t, lo + 1, hi - lo), _TERM), lambda m: F.struct(F.lower(m["hit"]).alias("term"), (m["start"] + lo).alias("start"), (m["end"] + lo).alias("end")))
 
-            return let(F.substring(t, lo + 1, F.greatest(hi - lo, F.lit(0))), found)
+    def between(t: Column, s: Column) -> Column:
+        done = F.aggregate(s, zero, lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["xs"], F.array(F.struct(a["at"].alias("lo"), x["start"].alias("hi")))).alias("xs")))
+        gaps = let(done, lambda d: F.filter(F.concat(d["xs"], F.array(F.struct(d["at"].alias("lo"), F.length(t).alias("hi")))), lambda g: g["hi"] > g["lo"]))
+        return F.flatten(F.transform(gaps, lambda g: shifted(t, g["lo"], g["hi"])))
 
-        return F.concat(terms(F.greatest(begin - REACH, lower), begin), terms(end, F.least(end + REACH, upper)))
-
-    def each(s: Column) -> Column:
-        n = F.size(s)
-        return F.flatten(F.transform(s, lambda x, i: let(F.struct(F.coalesce(F.get(s, i - 1)["end"], F.lit(0)).alias("lo"), F.coalesce(F.get(s, i + 1)["start"], F.length(text)).alias("hi")), lambda b: beside(text, x["start"], x["end"], b["lo"], b["hi"], _entity(x["kind"], x["hit"])))))
-
-    return F.when(F.size(spans) > 0, let(spans, each)).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
+    return F.when(F.size(spans) > 0, let(text, lambda t: let(spans, lambda s: between(t, s)))).otherwise(F.array().cast("array<struct<term:string,start:int,end:int>>"))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _docs_t(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, docs_t) of all terms; each of n equal texts counts 1 / n."""
+    copies = found.groupBy("content").agg(F.count("*").alias("copies")).where("copies > 1")
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), 0), F.lower))
+    every = texts.select(F.xxhash64("text").alias("content"), terms.alias("terms")).join(_small(common.written(copies, "copies")), "content", "left")
+    every = every.select((1 / F.coalesce("copies", F.lit(1))).alias("part"), F.explode("terms").alias("term"))
+    return every.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("docs_t"))
+
+
 def _disclosing(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the terms at the threshold. found: key, content, terms of each row."""
-    near = found.select("content", F.explode("near").alias("x")).select("content", "x.entity", "x.term").distinct()
-    held = found.select("content", F.explode("spans").alias("s")).select("content", _entity(F.col("s.kind"), F.col("s.hit")).alias("entity")).distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = common.written(both.join(held.groupBy("entity").agg(F.count("*").alias("docs_e")), "entity"), "pairs")
-    # all texts, but only of the terms that are asked for
-    asked = pairs.select("term").distinct()
-    every = texts.select(F.xxhash64("text").alias("content"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), 0))).alias("term"))
-    docs_t = every.join(_small(asked), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("docs_t"))
-    total = texts.select(F.xxhash64("text").alias("content")).distinct().agg(F.count("*").alias("total"))
-    counted = pairs.join(docs_t, "term").crossJoin(F.broadcast(total))
-    pmi = F.log2(F.col("total") * F.col("both") / (F.col("docs_e") * F.greatest("docs_t", "both")))
-    information = F.log2(F.col("total") / F.col("docs_e"))
-    return counted.select("entity", "term", F.when(information > 0, pmi / information).alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
+    """(content, term): the terms at the threshold for an entity of the same text. found: content, spans, terms of each row."""
+    held = found.where(F.size("spans") > 0).select("content", F.transform("spans", lambda s: F.xxhash64(_entity(s["kind"], s["hit"]))).alias("entities"), F.transform("terms", lambda x: x["term"]).alias("terms"))
+    held = common.written(held.dropDuplicates(["content"]).select("content", F.array_distinct("entities").alias("entities"), F.array_distinct("terms").alias("terms")), "held")
+    # entities of the very same texts have the same figures, so one stands for all of them
+    owners = held.select("content", F.explode("entities").alias("entity"))
+    sets = owners.groupBy("entity").agg(F.count("*").alias("docs_e"), F.bit_xor("content").alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "content")).alias("b"))
+    entities = common.written(sets.groupBy("docs_e", "a", "b").agg(F.min("entity").alias("entity")).select("entity", "docs_e"), "entities")
+    owners = common.written(owners.join(_small(entities), "entity"), "owners")
+
+    total = found.select("content").distinct().count()
+    docs_t = common.written(_docs_t(texts, found), "terms")
+    # no term of more texts than this is at the threshold, as both is docs_e at most
+    top = entities.where(F.col("docs_e") < total).agg(F.max("docs_e")).first()[0] or 0
+    often = docs_t.where(F.col("docs_t") > 1 + top * (total / max(top, 1)) ** (1 - THRESHOLD)).select("term")
+    seen = held.select("content", F.explode("terms").alias("term")).join(_small(often), "term", "left_anti")
+    both = seen.join(_small(owners), "content").groupBy("entity", "docs_e", "term").agg(F.count("*").alias("both"))
+    counted = both.join(docs_t, "term", "left")
+    pmi = F.log2(total * F.col("both") / (F.col("docs_e") * F.greatest("docs_t", "both")))
+    information = F.log2(total / F.col("docs_e"))
+    told = counted.where(F.when(information > 0, pmi / information) >= THRESHOLD).select("entity", "term")
+    return told.join(_small(owners.select("content", "entity")), "entity").select("content", "term").distinct()
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans): for every row all spans, base hits and disclosing terms, by start, then kind. key is the hash of doc_id and text."""
     texts = common.documents(docs)
-    found = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("content"), let(F.col("text"), lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), _near(t, s).alias("near")))).alias("f"))
-    found = common.written(found.select("doc_id", "key", "content", "f.spans", "f.near"), "mentions")
+    found = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("content"), let(F.col("text"), lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), _terms(t, s).alias("terms")))).alias("f"))
+    found = common.written(found.select("doc_id", "key", "content", "f.spans", "f.terms"), "mentions")
     told = common.written(_disclosing(texts, found), "disclosing")
-    terms = found.select("key", F.explode("near").alias("x")).select("key", "x.*").join(_small(told.select("entity", "term")), ["entity", "term"])
+    terms = found.select("key", "content", F.explode("terms").alias("x")).select("key", "content", "x.*").join(_small(told), ["content", "term"])
     terms = terms.select("key", F.struct(F.col("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("term").alias("hit")).alias("s")).distinct()
     terms = terms.groupBy("key").agg(F.collect_list("s").alias("more"))
     joined = found.select("doc_id", "key", "spans").join(terms, "key", "left")

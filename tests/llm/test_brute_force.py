@@ -213,6 +213,32 @@ def test_pii_entity_of_one_text(spark):
     assert clean == {**dict(enumerate(texts)), 0: "Letters for [TERM] go to [EMAIL]"}
 
 
+def test_pii_terms_of_the_whole_text(spark):
+    """Against plain counts: terms far from the hit, entities of several texts, equal texts, words cut by a hit."""
+    far = " ".join(["letters"] * 40)
+    texts = [f"Marlborough wrote {far} to me@here.org {far} for Marlborough again", f"Winchester {far} me@here.org", "Both p@q.de and r@s.de of Kensington wrote", "p@q.de wrote to Kensington", "éééé1x@y.de Zürich letters", "Kensington letters only"]
+    texts += [f"letters for people wrote again number {i}" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, texts[2]), (0, texts[0])]
+    found, docs_t, docs_e, both = {}, Counter(), Counter(), Counter()
+    for t in texts:
+        spans = base_spans(t)
+        entities = {f"{k}:{t[a:b].lower()}" for a, _, k, b in spans}
+        masked = list(t)
+        for a, _, _, b in spans:
+            masked[a:b] = " " * (b - a)
+        terms = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{4,}", "".join(masked))]
+        found[t] = entities, terms
+        docs_t.update({m.lower() for m in re.findall(r"[^\W\d_]{4,}", t)})
+        docs_e.update(entities)
+        both.update((e, x) for e in entities for x in {x for *_, x in terms})
+    n = len(texts)
+    tells = lambda e, x: math.log2(n * both[e, x] / (docs_e[e] * max(docs_t[x], both[e, x]))) / math.log2(n / docs_e[e]) >= pii.THRESHOLD
+    want = Counter((i, ",".join(f"term:{a}:{b}" for a, b, x in found[t][1] if any(tells(e, x) for e in found[t][0]))) for i, t in rows)
+    got = pii.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, ",".join(s for s in r.spans.split(",") if s.startswith("term"))) for r in got) == want
+    assert any(i == 0 and spans.count("term") >= 2 for i, spans in want)
+
+
 def test_prefixes_share_a_shingle():
     rng = np.random.default_rng(3)
     often = rng.integers(2, 9, 1 << 12)
