@@ -3,8 +3,8 @@
 A seed is the hash of a window's tokens at the positions that a mask keeps; the others are ignored, so
 that a substituted token leaves the seeds around it whole. The seeds of all documents are joined with
 those of the benchmark. A hit names a document, an item and a shift between their tokens; around each
-distinct shift the two are compared token by token, and the best segment (a match adds 1, a
-substitution takes MISMATCH) must hold MIN_MATCHES equal tokens, and at least MIN_SHARE of its tokens must be equal.
+distinct shift the two are compared token by token. They overlap if any segment holds MIN_MATCHES equal tokens that are
+at least MIN_SHARE of its tokens; the one with the most equal tokens is reported.
 
 Tokens are lower-case runs of letters and digits. Items and documents under SPAN tokens, nulls and
 empty texts have no seeds and are never reported. Documents are told apart by doc_id and text, so
@@ -23,7 +23,7 @@ from sediment.llm.native import indices, let, tokens
 #: Positions kept by each mask, of a window of SPAN tokens.
 MASKS = ("1101101001", "1010110011", "1100010111")
 SPAN = 10
-MIN_MATCHES, MIN_SHARE, MISMATCH = 12, 0.8, 2
+MIN_MATCHES, MIN_SHARE = 12, 0.8
 #: A side is broadcast up to so many rows, counted before; beyond it Spark shuffles both.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,19 +53,39 @@ def _positions(df: DataFrame, ids: list[str], hashes: Column) -> DataFrame:
 
 
 def _best(equal: Column) -> Column:
-    """struct<score, n, from, to> of the best segment of an array of booleans; its ends match."""
-    names = ("i", "run", "begin", "hits", "score", "n", "from", "to")
+    """struct<n, from, to> of the segment with the most equal tokens, of those with MIN_SHARE; its ends match. Null where fewer than MIN_MATCHES tokens are equal.
 
-    def step(a: Column, e: Column) -> Column:
-        fresh = a["run"] <= 0
-        run = F.when(e, F.when(fresh, 1).otherwise(a["run"] + 1)).otherwise(F.greatest(a["run"], F.lit(0)) - MISMATCH)
-        begin = F.when(fresh, a["i"]).otherwise(a["begin"])
-        hits = F.when(fresh, 0).otherwise(a["hits"]) + F.when(e, 1).otherwise(0)
-        better = e & (run > a["score"])
-        values = (a["i"] + 1, run, begin, hits, F.when(better, run).otherwise(a["score"]), F.when(better, hits).otherwise(a["n"]), F.when(better, begin).otherwise(a["from"]), F.when(better, a["i"] + 1).otherwise(a["to"]))
-        return F.struct(*(v.cast("int").alias(k) for k, v in zip(names, values, strict=True)))
+    A segment from the p-th equal token to the q-th has q - p + 1 equal ones. Its share is enough if and only if height(q) >= height(p) - (whole - part),
+    where height(k) rises by whole with k and falls by part with the token's place. Two pointers find the widest such pair: p moves over the
+    least heights up to it, q over the greatest heights from it on."""
+    whole, part = 100, round(100 * MIN_SHARE)
 
-    return F.aggregate(equal, F.struct(*(F.lit(0).alias(k) for k in names)), step)
+    def widest(at: Column) -> Column:
+        heights = F.transform(at, lambda e, k: k * whole - e * part)
+
+        def over(values: Column, pick) -> Column:
+            return F.aggregate(values, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(pick(x, F.get(a, F.size(a) - 1)), x))))
+
+        lows, highs = over(heights, F.least), F.reverse(over(F.reverse(heights), F.greatest))
+
+        def walk(low: Column, high: Column) -> Column:
+            zero = F.struct(*(F.lit(0).alias(k) for k in ("p", "q", "n", "first")))
+
+            def step(a: Column, _: Column) -> Column:
+                def moved(fits: Column) -> Column:
+                    more = fits & (a["q"] - a["p"] + 1 > a["n"])
+                    values = (a["p"] + F.when(fits, 0).otherwise(1), a["q"] + F.when(fits, 1).otherwise(0), F.when(more, a["q"] - a["p"] + 1).otherwise(a["n"]), F.when(more, a["p"]).otherwise(a["first"]))
+                    return F.struct(*(v.cast("int").alias(k) for k, v in zip(("p", "q", "n", "first"), values, strict=True)))
+
+                return let((a["p"] < F.size(at)) & (a["q"] < F.size(at)) & F.coalesce(F.get(high, a["q"]) >= F.get(low, a["p"]) - (whole - part), F.lit(False)), moved)
+
+            return F.aggregate(indices(2 * F.size(at)), zero, step)
+
+        done = let(lows, lambda low: let(highs, lambda high: walk(low, high)))
+        return let(done, lambda d: F.struct(d["n"].alias("n"), F.get(at, d["first"]).alias("from"), (F.get(at, d["first"] + d["n"] - 1) + 1).alias("to")))
+
+    places = F.filter(F.transform(equal, lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+    return let(places, lambda at: F.when(F.size(at) >= MIN_MATCHES, widest(at)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -88,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     compared = joined.select("doc_id", "key", F.explode(let(_hashes(F.col("text")), parts)).alias("c"))
     compared = compared.select("doc_id", "key", "c.*").join(_small(items), "entry")
     best = compared.select("doc_id", "key", "item_id", "shift", F.size("item").alias("item_tokens"), _best(F.zip_with("own", "item", lambda a, b: a.eqNullSafe(b))).alias("b"))
-    good = best.where((F.col("b.n") >= MIN_MATCHES) & (F.col("b.n") >= MIN_SHARE * (F.col("b.to") - F.col("b.from"))))
+    good = best.where(F.col("b.n") >= MIN_MATCHES)
     top = good.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct(F.col("b.n").alias("n"), -F.col("b.from"), F.col("b.from").alias("from"), F.col("b.to").alias("to"), "shift", "item_tokens")).alias("t"))
     length = (F.col("t.to") - F.col("t.from")).cast("long")
     return top.select("doc_id", "key", "item_id", F.col("t.n").cast("long").alias("n_equal"), length.alias("n_tokens"), (F.col("t.n") / length).alias("similarity"), F.col("t.item_tokens").cast("long").alias("item_tokens"), (F.col("t.from") + F.col("t.shift")).cast("long").alias("doc_token"), F.col("t.from").cast("long").alias("item_token"))

@@ -173,6 +173,30 @@ def test_decontaminate(spark, docs, none, rows):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontaminate_many_substitutions(spark):
+    """Any segment with both thresholds is a leak, however many tokens around it are changed."""
+    rng = np.random.default_rng(8)
+    items, docs, want = [], [], {}
+    for i in range(120):
+        n = 59 if i % 2 else 150
+        item = [f"i{i}x{k}" for k in range(n)]
+        changed = rng.random(n) < (0.2, 0.25, 0.4)[i % 3]
+        if i == 0:
+            item, changed = item[:59], np.array([0] * 15 + [1] * 7 + [0] * 15 + [1] * 7 + [0] * 15, bool)
+        doc = [f"d{i}x{k}" if c else w for k, (w, c) in enumerate(zip(item, changed, strict=True))]
+        items.append((i, " ".join(item)))
+        docs.append((i, "and so it began " + " ".join(doc) + " and ended"))
+        total = np.concatenate([[0], np.cumsum(~changed)])
+        runs = [total[b] - total[a] for a in range(len(item)) for b in range(a + 12, len(item) + 1) if total[b] - total[a] >= max(12, 0.8 * (b - a))]
+        # a leak needs a window, too, whose kept places are all equal
+        seed = any(not any(changed[k + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for k in range(len(item) - 9))
+        if runs and seed:
+            want[i] = max(runs)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want[0] == 30 and {r.doc_id: r.n_equal for r in got} == want
+    assert all(r.doc_id == r.item_id and r.n_equal >= 0.8 * r.n_tokens for r in got)
+
+
 def base_spans(text):
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     out = []
