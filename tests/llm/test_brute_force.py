@@ -263,6 +263,17 @@ def test_pii_terms_of_the_whole_text(spark):
     assert any(i == 0 and spans.count("term") >= 2 for i, spans in want)
 
 
+def test_document_frequencies_by_word(spark):
+    """More words than any fixed table would tell apart: rare words keep their own weight beside frequent ones."""
+    n = 400_000
+    texts = [" ".join(f"w{i}" for i in range(k, n, 8)) for k in range(8)] + ["rare often", "often", "often twice twice", ""]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).select(near_dedup._hashes(near_dedup.F.col("text")).alias("h")).cache()
+    asked = "w1 w399999 rare often twice unseen".split()
+    hashes = spark.createDataFrame([(" ".join(asked),)], "text string").select(near_dedup._hashes(near_dedup.F.col("text")).alias("h")).first().h
+    got = near_dedup.shingles(np.repeat(np.array(hashes, np.int64), 1), np.ones(len(asked), np.int64), near_dedup._idf(hashed))[2]
+    assert got == pytest.approx([math.log((len(texts) + 1) / (df + 1)) + 1 for df in (1, 1, 1, 3, 1, 1)], abs=1e-6)
+
+
 def test_prefixes_share_a_shingle():
     rng = np.random.default_rng(3)
     often = rng.integers(2, 9, 1 << 12)
