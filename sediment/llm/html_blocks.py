@@ -9,7 +9,7 @@ Training needs no labels of pages: the teacher is (a) a bounded sample of the pa
 whose blocks are labelled by what their tags are named, and (b) SYNTHETIC pages that are put together from the sample's words on varied
 templates, with known labels. The model is fitted on the driver with a fixed seed.
 
-Not text at all, and dropped by the reader: comments, doctype, the head, script, style, template, noscript, and markup. Character
+Not text at all, and dropped by the reader: comments, doctype, the head, script, style, template, and markup. Character
 references are decoded, white space inside a block becomes one space. A null or empty page has an empty text. Repeated rows and url ties give repeated
 results; an empty table gives none. Only page_id, url and html are read.
 """
@@ -35,7 +35,10 @@ STEPS_AT_ONCE = 20_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style template noscript head title textarea select svg math iframe object canvas".split())
+#: Elements of formulas and drawings; only these can close themselves. All but the texts of drawings stand in their line.
+FOREIGN = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd mstyle mpadded mphantom menclose mmultiscripts mprescripts merror maction annotation annotation-xml svg g defs symbol use path rect circle ellipse line polyline polygon lineargradient radialgradient stop clippath mask pattern marker filter image foreignobject text tspan textpath desc metadata".split())
+INLINE |= FOREIGN - {"text", "foreignobject"}
+DROPPED = frozenset("script style template head title textarea select annotation annotation-xml desc metadata".split())
 _RAW = "script style textarea title".split()
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*>|<\?[^>]*>"
@@ -118,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 if stack[k][0] in _BOUNDS:
                     break
         attrs = m["attrs"]
-        if name in VOID or attrs.endswith("/") and name not in INLINE and name in ("hr", "img"):
+        if name in VOID or attrs.endswith("/") and name in FOREIGN:
             continue
         names = (name, *(w for a in _ATTR.finditer(attrs) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())))
         stack.append((name, names))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sediment.llm import decontaminate, lattice_lm, near_dedup, packing, pii, quality, substring_dedup, token_file
+from sediment.llm import decontaminate, html_blocks, lattice_lm, near_dedup, packing, pii, quality, substring_dedup, token_file
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, h string, raw string, core string, bucket string"
@@ -274,6 +274,13 @@ def test_document_frequencies_by_word(spark):
     assert got == pytest.approx([math.log((len(texts) + 1) / (df + 1)) + 1 for df in (1, 1, 1, 3, 1, 1)], abs=1e-6)
 
 
+def test_blocks_of_shown_elements():
+    page = "<body><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></math> hold.</p><svg viewBox='0 0 1 1'/><math/><p>After <svg><path d='M0'/></svg>it</p>"
+    page += "<noscript><p>No script.</p></noscript><object data='x'><p>No object.</p></object><svg><desc>Hidden</desc><text>Axis</text><text>Scale</text></svg>"
+    page += "<canvas>No canvas.</canvas><form><select><option>One</option></select></form><script>var a</script><p>End.</p></body>"
+    assert [b[0] for b in html_blocks.blocks(page)] == ["Let x=2 hold.", "After it", "No script.", "No object.", "Axis", "Scale", "No canvas.", "End."]
+
+
 def test_prefixes_share_a_shingle():
     rng = np.random.default_rng(3)
     often = rng.integers(2, 9, 1 << 12)
