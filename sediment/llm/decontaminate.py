@@ -6,8 +6,8 @@ those of the benchmark. A hit names a document, an item and a shift between thei
 distinct shift the two are compared token by token. They overlap if any segment holds MIN_MATCHES equal tokens that are
 at least MIN_SHARE of its tokens; the one with the most equal tokens is reported.
 
-Tokens are lower-case runs of letters and digits. Items and documents under SPAN tokens, nulls and
-empty texts have no seeds and are never reported. Documents are told apart by doc_id and text, so
+Tokens are lower-case runs of letters and digits. An item under MIN_MATCHES tokens must be in the document whole; under
+SPAN tokens, its seed is the hash of all its tokens. Nulls and empty texts have no seeds and are never reported. Documents are told apart by doc_id and text, so
 rows that share a doc_id are each compared, and equal rows are reported once. An empty table on either
 side gives no rows. Other columns are ignored. Items with equal texts are each reported.
 """
@@ -52,8 +52,20 @@ def _positions(df: DataFrame, ids: list[str], hashes: Column) -> DataFrame:
     return seeds.select(*ids, F.col("s.n").alias("n"), F.posexplode("s.seeds").alias("p", "seed")).select(*ids, (F.col("p") % F.col("n")).alias("at"), "seed")
 
 
+def _whole(df: DataFrame, ids: list[str], hashes: Column, sizes: list[int]) -> DataFrame:
+    """(ids, at, seed) of the windows of so many tokens each, of items that are shorter than a mask."""
+
+    def windows(h: Column, m: int) -> Column:
+        return F.transform(indices(F.size(h) - (m - 1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(f"whole {m}"), *(F.get(h, i + k) for k in range(m))).alias("seed")))
+
+    def of(h: Column) -> Column:
+        return F.concat(*(windows(h, m) for m in sizes))
+
+    return df.select(*ids, F.explode(let(hashes, of)).alias("s")).select(*ids, "s.at", "s.seed")
+
+
 def _best(equal: Column) -> Column:
-    """struct<n, from, to> of the segment with the most equal tokens, of those with MIN_SHARE; its ends match. Null where fewer than MIN_MATCHES tokens are equal.
+    """struct<n, from, to> of the segment with the most equal tokens, of those with MIN_SHARE; its ends match. Null where fewer than MIN_MATCHES tokens are equal, or all of a shorter item.
 
     A segment from the p-th equal token to the q-th has q - p + 1 equal ones. Its share is enough if and only if height(q) >= height(p) - (whole - part),
     where height(k) rises by whole with k and falls by part with the token's place. Two pointers find the widest such pair: p moves over the
@@ -85,7 +97,7 @@ def _best(equal: Column) -> Column:
         return let(done, lambda d: F.struct(d["n"].alias("n"), F.get(at, d["first"]).alias("from"), (F.get(at, d["first"] + d["n"] - 1) + 1).alias("to")))
 
     places = F.filter(F.transform(equal, lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
-    return let(places, lambda at: F.when(F.size(at) >= MIN_MATCHES, widest(at)))
+    return let(places, lambda at: F.when(F.size(at) >= F.least(F.size(equal), F.lit(MIN_MATCHES)), widest(at)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -95,6 +107,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = common.written(items.withColumn("entry", F.xxhash64("item_id", "item")), "items")
     seeds = common.written(_positions(items, ["entry"], F.col("item")).withColumnRenamed("at", "item_at"), "seeds")
     found = _positions(texts, ["doc_id", "key"], _hashes(F.col("text")))
+    short = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item").between(1, SPAN - 1)).distinct().collect())
+    if short:
+        own = [_whole(items.where(F.size("item") == m), ["entry"], F.col("item"), [m]) for m in short]
+        for more in own:
+            seeds = seeds.unionByName(more.withColumnRenamed("at", "item_at"))
+        found = found.unionByName(_whole(texts, ["doc_id", "key"], _hashes(F.col("text")), short))
     hits = found.join(_small(seeds), "seed").select("key", "entry", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = common.written(hits, "hits")
 
@@ -108,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     compared = joined.select("doc_id", "key", F.explode(let(_hashes(F.col("text")), parts)).alias("c"))
     compared = compared.select("doc_id", "key", "c.*").join(_small(items), "entry")
     best = compared.select("doc_id", "key", "item_id", "shift", F.size("item").alias("item_tokens"), _best(F.zip_with("own", "item", lambda a, b: a.eqNullSafe(b))).alias("b"))
-    good = best.where(F.col("b.n") >= MIN_MATCHES)
+    good = best.where(F.col("b.n") >= F.least(F.col("item_tokens"), F.lit(MIN_MATCHES)))
     top = good.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct(F.col("b.n").alias("n"), -F.col("b.from"), F.col("b.from").alias("from"), F.col("b.to").alias("to"), "shift", "item_tokens")).alias("t"))
     length = (F.col("t.to") - F.col("t.from")).cast("long")
     return top.select("doc_id", "key", "item_id", F.col("t.n").cast("long").alias("n_equal"), length.alias("n_tokens"), (F.col("t.n") / length).alias("similarity"), F.col("t.item_tokens").cast("long").alias("item_tokens"), (F.col("t.from") + F.col("t.shift")).cast("long").alias("doc_token"), F.col("t.from").cast("long").alias("item_token"))

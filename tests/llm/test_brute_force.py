@@ -197,6 +197,13 @@ def test_decontaminate_many_substitutions(spark):
     assert all(r.doc_id == r.item_id and r.n_equal >= 0.8 * r.n_tokens for r in got)
 
 
+def test_decontaminate_short_items(spark):
+    items = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in range(1, 16)] + [(0, ""), (16, None)]
+    docs = [(n, f"It is said: {t}, and so on") for n, t in items] + [(100 + n, " ".join(t.split()[:-1] + ["other"])) for n, t in items if 1 <= n < 12] + [(200, items[4][1]), (201, "")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_equal, r.n_tokens, r.doc_token) for r in got) == [(n, n, n, n, 3) for n in range(1, 16)] + [(200, 5, 5, 5, 0)]
+
+
 def base_spans(text):
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     out = []
