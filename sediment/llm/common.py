@@ -48,3 +48,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with marks before it until no column of df is called so, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame, doc_id: str, key: str) -> DataFrame:
+    """docs with two more columns, which together tell its rows apart: the doc_id, and the hash of the text (a null is the empty one)."""
+    return docs.withColumns({doc_id: docs["doc_id"].cast("long"), key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+
+
+def one_row_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each of wanted (doc_id, key) one row of docs that has these, with all columns of docs."""
+    a, b, x, y, rows = fresh(docs, "own_id", "own_key", "wanted_id", "wanted_key", "rows")
+    wanted = wanted.select(F.col("doc_id").alias(x), F.col("key").alias(y))
+    found = keyed(docs, a, b).join(wanted, F.col(a).eqNullSafe(F.col(x)) & (F.col(b) == F.col(y)), "left_semi")
+    several = written(found.groupBy(a, b).agg(F.count("*").alias(rows)).where(F.col(rows) > 1).select(a, b), "several")
+    if not several.isEmpty():  # equal rows
+        found = found.dropDuplicates([a, b])
+    return found.select(*docs.columns)

@@ -288,27 +288,76 @@ def test_blocks_of_shown_elements():
     assert [b[0] for b in html_blocks.blocks(page)] == ["Let x=2 hold.", "After it", "No script.", "No object.", "Axis", "Scale", "No canvas.", "End."]
 
 
-def test_prefixes_share_a_shingle():
-    rng = np.random.default_rng(3)
-    often = rng.integers(2, 9, 1 << 12)
-    for _ in range(300):
-        pool = np.sort(rng.choice(1 << 40, 30, replace=False)).astype(np.uint64)
-        mine = rng.random((2, 30)) < 0.9
-        weight = rng.random(30).astype(np.float32)
-        a, b = ((pool[m], weight[m]) for m in mine)
-        if near_dedup.similarity(a, b) >= 0.8:
-            one = a[0][~np.isin(a[0], b[0])], b[0][~np.isin(b[0], a[0])]
-            own = often.copy()
-            own[np.concatenate(one).astype(np.int64) & 4095] = 1
-            own[np.intersect1d(a[0], b[0]).astype(np.int64) & 4095] = 2
-            assert any(near_dedup.prefix(np.zeros(len(c), np.int64), c, w, own, 0.8)[2].any() for c, w in (a, b))
-            x, y = (set(near_dedup.prefix(np.zeros(len(c), np.int64), c, w, often, 0.8)[1].tolist()) for c, w in (a, b))
-            assert x & y
-
-
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_near_dedup(docs, none, rows, monkeypatch, crowd):
-    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+def test_joint_bands():
+    for depth, number, _ in near_dedup.LADDER:
+        sets = near_dedup.joint_bands(depth, number)
+        assert len(set(sets)) == len(sets) == number and all(len(set(x)) == depth for x in sets)
+        uses = Counter(i for x in sets for i in x)
+        assert len(uses) == near_dedup.BANDS and max(uses.values()) - min(uses.values()) <= depth
+
+
+def exact_classes(words, total):
+    """Pairs at 0.8 and their components, by comparing all pairs."""
+    df = Counter(w for t in words for w in set(t))
+    idf = {w: math.log((total + 1) / (n + 1)) + 1 for w, n in df.items()}
+    weights = []
+    for t in words:
+        grams = [tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))] if t else []
+        weights.append({g: n * sum(idf[w] for w in g) / len(g) for g, n in Counter(grams).items()})
+    parent = list(range(len(words)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = {}
+    for i, x in enumerate(weights):
+        for j, y in enumerate(weights[:i]):
+            both = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+            if both:
+                pairs[i, j] = s = both / (sum(x.values()) + sum(y.values()) - both)
+                if s >= 0.8:
+                    parent[find(i)] = find(j)
+    return pairs, [find(i) for i in range(len(words))]
+
+
+def test_near_dedup_in_a_crowd(spark):
+    """A passage that all share, near copies of one text that often miss the threshold among themselves, and pairs in between: hardly a class is lost, none made up."""
+    rng = np.random.default_rng(12)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    passage, base = say(60), say(120)
+
+    def edited(t, n):
+        t = list(t)
+        for i in rng.integers(0, len(t), n):
+            t[i] = f"x{rng.integers(0, 10**9)}"
+        return t
+
+    texts = [passage + say(int(rng.integers(20, 60))) for _ in range(150)]
+    texts += [edited(t, 1) for t in texts[:40]]
+    texts += [edited(base, int(rng.integers(1, 5))) for _ in range(150)]
+    pairs, want = exact_classes(texts, len(texts))
+    assert sum(0.5 < s < 0.8 for s in pairs.values()) > 2000
+    got = near_dedup.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)).collect()
+    of = {r.doc_id: r.class_id for r in got}
+    whole = defaultdict(set)
+    for i, c in enumerate(want):
+        whole[c].add(of[i])
+    made_up = [c for c, n in Counter(x for v in whole.values() for x in v).items() if n > 1]
+    merges = len(texts) - len(set(want))
+    assert not made_up and len(texts) - len(set(of.values())) >= 0.97 * merges
+
+
+def test_near_dedup_clashing_names(spark):
+    schema = "doc_id long, text string, _key long, wanted_id string, Rows int, own_id int, id long, node string"
+    rows = [(1, "one two three four five six", 7, "a", 1, 2, 3, "n"), (1, "one two three four five six", 7, "a", 1, 2, 3, "n"), (2, "One two, three four five six!", 8, "b", 1, 2, 3, "n"), (3, None, 9, "c", 1, 2, 3, "n"), (3, "other words", 9, "c", 1, 2, 3, "n")]
+    got = near_dedup.deduplicated(spark.createDataFrame(rows, schema))
+    assert got.dtypes == spark.createDataFrame(rows, schema).dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+def test_near_dedup(docs, none, rows):
     tok = lambda x: [w for w in re.split(r"[\W_]+", (x or "").lower()) if w]
     words = [tok(x) for _, x in rows]
     df = Counter(w for t in words for w in set(t))
