@@ -8,6 +8,7 @@ this way is encoded whole.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -20,11 +21,13 @@ SAFE = "!-~¡-¬®-ɏ"
 #: A cache of encoded pieces is emptied beyond this number.
 CACHE_PIECES = 1_000_000
 #: Bytes of text that are encoded at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 
-#: Letters for every library, and marks that always begin a piece of their own behind one.
-LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
-_WORD = re.compile(rf"[ ]?[{LETTERS}]+")
+#: Letters for every library that stay one letter in lower case (which the dotted capital I does not), and marks that always begin a piece of their own behind one.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", ".,;:!?"
+_WORD, _SPACED_WORD = re.compile(rf"[{LETTERS}]+"), re.compile(rf" [{LETTERS}]+")
+#: Words that are encoded as one text.
+TOGETHER = 200
 _PIECES = re.compile(rf"(?<=[{SAFE}])(?= [{SAFE}])|(?<=[{SAFE}])(?=\n[{SAFE}])")
 #: Begins a piece that no space was before.
 _GLUE = "\x01"
@@ -38,14 +41,23 @@ class Encoder:
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split, WhitespaceSplit
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.tokenizer.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path)  # for single words, which the pre-tokenizer's pattern would leave as they are
-        self.plain.encode_special_tokens = True
-        self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.vocab = self.tokenizer.get_vocab_size()
+        #: Tokens that are found in a text before it is cut in pieces; texts that hold one are encoded whole.
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # single words, which the pre-tokenizer's pattern would leave as they are: many in a text, cut at the spaces
+        self.together = Tokenizer.from_file(path)
+        bytes_only = ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
+        self.together.pre_tokenizer = Sequence([Split(" ", "merged_with_next") if spaced else WhitespaceSplit(), bytes_only])
+        every = "".join(chr(c) for c in range(0x250) if _WORD.fullmatch(chr(c)))
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(every) == every.lower()
+        if self.lower:  # all that the normalizer does to these letters
+            self.together.normalizer = None
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocab)]
+        #: Whether an id begins a word (spaced) or ends one.
+        self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith("</w>") for x in names])
         self._clear()
 
     def _clear(self) -> None:
@@ -53,6 +65,22 @@ class Encoder:
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of single words (each behind its space, if spaced) and their number for each."""
+        glue = "" if self.spaced else " "
+        texts = [glue.join(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
+        got = self.together.encode_batch_fast([x.lower() for x in texts] if self.lower else texts, add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in got]) if got else np.zeros(0, np.uint32)
+        edges = np.flatnonzero(self.edge[flat])
+        if len(edges) != len(words):
+            raise ValueError("the vocabulary doesn't mark where words begin or end")
+        return flat, np.diff(edges, append=len(flat)) if self.spaced else np.diff(edges, prepend=-1)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum())), lens
+
     def _codes(self, pieces: list[str]) -> np.ndarray:
         """Numbers of pieces in the cache."""
         known = self.known
@@ -61,21 +89,32 @@ class Encoder:
             known = self.known
         new = [p for p in dict.fromkeys(pieces) if p not in known]
         if new:
-            single = [_WORD.fullmatch(p) is not None for p in new]
-            new = [p for p, one in zip(new, single, strict=True) if one] + [p for p, one in zip(new, single, strict=True) if not one]
-            n = sum(single)
-            got = [x.ids for x in self.plain.encode_batch_fast(new[:n], add_special_tokens=False)] + [x.ids for x in self.tokenizer.encode_batch_fast(new[n:], add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
+            word = _SPACED_WORD if self.spaced else _WORD
+            single = [word.fullmatch(p) is not None for p in new]
+            words, rest = list(itertools.compress(new, single)), [p for p, one in zip(new, single, strict=True) if not one]
+            (flat, lens), (more, more_lens) = self._together(words), self._apart(rest)
+            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, more_lens])
             starts = len(self.flat) + np.cumsum(lens) - lens
-            for p in new:
-                known[p] = len(known)
+            known.update(zip(itertools.chain(words, rest), range(len(known), len(known) + len(new)), strict=False))
             self.starts, self.lens, self.flat = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32) and their number for each text (long)."""
         texts = texts.cast(pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for x in self.literals:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._cut(texts)
+        ids, counts = self._cut(pc.if_else(pa.array(whole), "", texts))
+        slow, lens = self._apart(texts.filter(pa.array(whole)).to_pylist())
+        counts[whole] = lens
+        out, is_slow = np.zeros(int(counts.sum()), np.uint32), np.repeat(whole, counts)
+        out[is_slow], out[~is_slow] = slow, ids
+        return out, counts
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -121,7 +160,8 @@ class Encoder:
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[codes] - ends + lens, lens) + np.arange(total)]
+        kind = np.int32 if total + len(self.flat) < 1 << 31 else np.int64
+        ids = self.flat[np.repeat((self.starts[codes] - ends + lens).astype(kind), lens) + np.arange(total, dtype=kind)]
         bounds = np.concatenate([[0], ends])[at]
         return ids, np.diff(bounds)
 

@@ -26,6 +26,7 @@ def odd_texts():
     near[100] = "changed"
     texts = [None, "", " ", "x", "\n\n", "one two three four five", "a  b\tc\x0bd\x0ce\rf", a, a, " ".join(near), a + " " + b, b + "\n" + b, say(3000) + " " + b, "日本語 \U0001f600 text " * 60, "ab" * 700, "x" * 500 + say(30)]
     texts += ["mail a.b@c-d.e.fr, x@y z@w.de.", "ip 1.2.3.4 300.1.1.1 1.2.3.4.5 001.02.3.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 +49 (30) 1234567890 +1 2", "é" * 40 + " q@r.st " + "1" * 30000]
+    texts += ["hi <|endoftext|> x", "<|startoftext|>", "a<|endoftext|>b\n<|endoftext|>", "İstanbul İ ŉ ǆ it's 5's"]
     texts += [f"Contact Marlborough at me@here.org today about item {i}" for i in range(5)]
     return texts
 
@@ -55,7 +56,6 @@ def crc(ids):
 def test_token_file(spark, docs, none, rows, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     token_file.write(docs, str(tmp_path / "a"), path)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_file.read(spark, str(tmp_path / "a")).collect()), key=lambda r: r[1])
     ids = {(i, x): t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
@@ -71,7 +71,6 @@ def test_token_file(spark, docs, none, rows, tmp_path):
 def test_packing(docs, none, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.pack(docs, path, width=64, with_ids=True).collect()
     whole = defaultdict(list)
     for r in got:
