@@ -133,6 +133,15 @@ class _Reader:
         self.low[who], self.range[who], self.code[who] = low, rng, code
 
 
+def _place(cdf: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """np.searchsorted(cdf, values, side="right"), by every 64th entry first: those stay in the nearest cache."""
+    size = len(cdf)
+    at = np.searchsorted(cdf[63::64], values, side="right") * 64
+    for step in (32, 16, 8, 4, 2, 1):
+        at += step * (cdf[np.minimum(at + (step - 1), size - 1)] <= values)
+    return at
+
+
 def _shape(n: int) -> tuple[int, int, int]:
     """Lanes, steps, and the steps of the last lane."""
     lanes = max(1, -(-n // STEPS))
@@ -187,7 +196,7 @@ def decode_ids(words: np.ndarray, counts: np.ndarray, n: int, vocab: int) -> np.
         missed = np.zeros(0, np.int64)
         if len(miss):
             cdf = np.cumsum(model.zero)
-            missed = np.searchsorted(cdf, read.peek(miss, int(cdf[-1])), side="right")
+            missed = _place(cdf, read.peek(miss, int(cdf[-1])))
             size = model.zero[missed]
             read.take(miss, cdf[missed] - size, size)
             x[miss] = missed

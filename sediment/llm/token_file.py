@@ -51,10 +51,13 @@ def _write(tokenizer: str, spaced: bool, end: int):
         for batch in batches:
             for x in chunks(batch):
                 ids, counts = coder.encode(x.column("text"))
-                ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
+                ends, inner = np.cumsum(counts + 1) - 1, np.ones(len(ids) + len(counts), bool)
+                inner[ends] = False
+                whole = np.full(len(inner), end, np.uint32)
+                whole[inner] = ids
                 doc_id = x.column("doc_id")
-                held.append((doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False), counts + 1, ids))
-                waiting += len(ids)
+                held.append((doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False), counts + 1, whole))
+                waiting += len(whole)
                 if waiting >= BLOCK_IDS:
                     yield flush()
         if held:
