@@ -15,7 +15,7 @@ of bytes around the anchor, so contexts with a repeated window have equal cores.
 
 Hashes are 64-bit polynomials over the bytes; contexts are equal where core and context agree in both.
 
-Null texts are empty. Documents are rows: an equal row is another document, so both lose all from SIZE bytes on. A null doc_id
+Texts are joined with what is asked of them, and with their spans, by shuffles at any size: no broadcast grows with the input. Null texts are empty. Documents are rows: an equal row is another document, so both lose all from SIZE bytes on. A null doc_id
 stays null. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -37,12 +37,14 @@ CROWD = 2000
 #: Windows that are hashed at once; longer texts are cut, with an overlap.
 SEGMENT = 1 << 20
 BROADCAST_ROWS = 1_000_000
+#: Stands for a null doc_id where rows are told apart by doc_id and the hash of their text.
+NO_ID = -(1 << 63)
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
-_ROWS = "core long, context long, key long, lo long, n int, anchor int"
-_SPANS = "key long, start long, stop long"
+_ROWS = "core long, context long, doc long, key long, lo long, n int, anchor int"
+_SPANS = "doc long, key long, start long, stop long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def contexts(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def segments(raw: list[memoryview], keys: list[int]) -> Iterator[list[tuple[int, int, memoryview]]]:
+    def segments(raw: list[memoryview], keys: list[tuple[int, int]]) -> Iterator[list[tuple[tuple[int, int], int, memoryview]]]:
         held, size = [], 0
         for key, x in zip(keys, raw, strict=True):
             for a in range(0, max(1, len(x) - SIZE + 1), SEGMENT):
@@ -135,15 +137,15 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         raw = [memoryview(x.as_buffer()) for x in batch.column("raw")]
-        for held in segments(raw, batch.column("key").to_pylist()):
+        for held in segments(raw, list(zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), strict=True))):
             data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
             stops = np.cumsum([len(x) for _, _, x in held])
             starts = stops - np.array([len(x) for _, _, x in held])
             core, own, lo, n, anchor = contexts(data, starts, stops)
             which = np.searchsorted(starts, lo, side="right") - 1
-            key = np.array([k for k, _, _ in held], np.int64)[which]
+            doc, key = np.array([k for k, _, _ in held], np.int64).reshape(-1, 2).T[:, which]
             at = np.array([a for _, a, _ in held], np.int64)[which]
-            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(own.view(np.int64)), pa.array(key), pa.array(lo - starts[which] + at), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32))], names=["core", "context", "key", "lo", "n", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(own.view(np.int64)), pa.array(doc), pa.array(key), pa.array(lo - starts[which] + at), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32))], names=["core", "context", "doc", "key", "lo", "n", "anchor"])
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -160,9 +162,9 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         anchors, counts = rows.column("anchor").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
         groups = np.unique(rows.column("core").to_numpy(), return_inverse=True)[1]
         found = suffix_sort.repeated_windows(groups, texts, anchors, counts, SIZE)
-        keys, los = rows.column("key").to_pylist(), rows.column("lo").to_pylist()
-        out = [(k, lo + a, lo + b - 1 + SIZE) for k, lo, f, single in zip(keys, los, found, rows.column("single").to_pylist(), strict=True) if single for a, b in _runs(f)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["key", "start", "stop"])
+        docs, keys, los = (rows.column(k).to_pylist() for k in ("doc", "key", "lo"))
+        out = [(d, k, lo + a, lo + b - 1 + SIZE) for d, k, lo, f, single in zip(docs, keys, los, found, rows.column("single").to_pylist(), strict=True) if single for a, b in _runs(f)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["doc", "key", "start", "stop"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -189,7 +191,8 @@ def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             a = np.arange(n)
             h = _Hashes(data).of(a, a + SIZE)
             lo = batch.column("lo")[r].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(h).view(np.int64)), pa.array(np.full(n, batch.column("core")[r].as_py())), pa.array(np.full(n, batch.column("key")[r].as_py())), pa.array(lo + a), pa.array(np.full(n, batch.column("single")[r].as_py()))], names=["window", "core", "key", "start", "single"])
+            whole = [pa.array(np.full(n, batch.column(k)[r].as_py())) for k in ("core", "doc", "key", "single")]
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(h).view(np.int64)), pa.array(lo + a), *whole], names=["window", "start", "core", "doc", "key", "single"])
 
 
 def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,40 +201,44 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for r in range(batch.num_rows):
             raw = memoryview(batch.column("raw")[r].as_buffer())
+            doc, key = batch.column("doc")[r].as_py(), batch.column("key")[r].as_py()
             for x in batch.column("asked")[r].as_py():
-                out.append((x["core"], x["key"], x["lo"], x["n"], x["anchor"], x["single"], bytes(raw[x["lo"] : x["lo"] + x["n"] - 1 + SIZE])))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["core", "key", "lo", "n", "anchor", "single", "bytes"])
+                out.append((x["core"], doc, key, x["lo"], x["n"], x["anchor"], x["single"], bytes(raw[x["lo"] : x["lo"] + x["n"] - 1 + SIZE])))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["core", "doc", "key", "lo", "n", "anchor", "single", "bytes"])
 
 
-def _bounded(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """df to broadcast if it has few rows, or if rows, which its lists hold, are few."""
-    return F.broadcast(df) if (df if rows is None else rows).count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(key, start, stop) of repeated bytes; spans may overlap. texts: key, raw."""
-    rows = common.written(texts.where(F.octet_length("raw") >= SIZE).select("key", "raw").mapInArrow(_emit, _ROWS), "contexts")
-    twice = rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    rows = common.written(rows.join(twice, "core", "left_semi"), "shared")
+    """(doc, key, start, stop) of repeated bytes; spans may overlap. texts: doc, key, raw.
 
-    kinds = rows.groupBy("core", "context").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo", "n", "anchor")).alias("one"))
+    What is joined by a key that may be hot is a table of its own on both sides, so that Spark can deal out a large partition."""
+    rows = common.written(texts.where(F.octet_length("raw") >= SIZE).select("doc", "key", "raw").mapInArrow(_emit, _ROWS), "contexts")
+    twice = common.written(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
+    rows = common.written(rows.join(twice.hint("merge"), "core", "left_semi"), "shared")
+
+    kinds = rows.groupBy("core", "context").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "lo", "n", "anchor")).alias("one"))
     kinds = common.written(kinds, "kinds")
-    whole = rows.join(kinds.where("c > 1").select("core", "context"), ["core", "context"], "left_semi")
-    spans = whole.select("key", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + SIZE).alias("stop"))
+    repeated = common.written(kinds.where("c > 1").select("core", "context"), "repeated")
+    whole = rows.join(repeated.hint("merge"), ["core", "context"], "left_semi")
+    spans = whole.select("doc", "key", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + SIZE).alias("stop"))
 
     several = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("core", (F.col("kinds") > CROWD).alias("crowded"))
-    asked = common.written(kinds.join(several, "core").select("core", "one.*", (F.col("c") == 1).alias("single")), "contexts-asked")
-    by_text = common.written(asked.groupBy("key").agg(F.collect_list(F.struct("core", "key", "lo", "n", "anchor", "single")).alias("asked")), "asked")
+    several = common.written(several, "several")
+    asked = kinds.join(several.hint("merge"), "core").select("core", "one.*", (F.col("c") == 1).alias("single"))
+    by_text = common.written(asked.groupBy("doc", "key").agg(F.collect_list(F.struct("core", "lo", "n", "anchor", "single")).alias("asked")), "asked")
     crowded = common.written(several.where("crowded").select("core"), "crowded")
-    one_each = texts.select("key", "raw").join(_bounded(by_text, asked), "key").select("raw", "asked")
-    brought = common.written(one_each.mapInArrow(_cut_bytes, "core long, key long, lo long, n int, anchor int, single boolean, bytes binary"), "brought")
+    one_each = texts.select("doc", "key", "raw").join(by_text.hint("merge"), ["doc", "key"])
+    brought = common.written(one_each.mapInArrow(_cut_bytes, "core long, doc long, key long, lo long, n int, anchor int, single boolean, bytes binary"), "brought")
 
     calm = brought.join(_bounded(crowded), "core", "left_anti").repartition("core").sortWithinPartitions("core")
     spans = spans.unionByName(calm.mapInArrow(_sorted_groups, _SPANS))
-    windows = common.written(brought.join(_bounded(crowded), "core", "left_semi").mapInArrow(_hashed_windows, "window long, core long, key long, start long, single boolean"), "windows")
+    windows = common.written(brought.join(_bounded(crowded), "core", "left_semi").mapInArrow(_hashed_windows, "window long, start long, core long, doc long, key long, single boolean"), "windows")
     again = windows.groupBy("core", "window").agg(F.count("*").alias("c")).where("c > 1").select("core", "window")
-    more = windows.where("single").join(again, ["core", "window"], "left_semi").select("key", "start", (F.col("start") + SIZE).alias("stop"))
+    more = windows.where("single").join(again, ["core", "window"], "left_semi").select("doc", "key", "start", (F.col("start") + SIZE).alias("stop"))
     return spans.unionByName(more)
 
 
@@ -269,9 +276,8 @@ def _remove(with_text: bool):
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: bytes, bytes removed, runs removed, SHA-256 of what is left; with_text: what is left (bytes, as a cut may fall inside a character)."""
-    texts = common.documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("raw"))
+    texts = common.documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("raw"))
     spans = common.written(repeated_spans(texts), "spans")
-    # spans that touch are joined before they meet in one row
-    by_key = common.written(spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "by_text")
-    joined = texts.join(_bounded(by_key, spans), "key", "left").select("doc_id", "raw", "spans")
+    by_key = common.written(spans.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "by_text")
+    joined = texts.join(by_key.hint("merge"), ["doc", "key"], "left").select("doc_id", "raw", "spans")
     return joined.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
