@@ -8,7 +8,6 @@ this way is encoded whole.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 
@@ -25,7 +24,7 @@ CHUNK_BYTES = 8 << 20
 
 #: Letters for every library that stay one letter in lower case (which the dotted capital I does not), and marks that always begin a piece of their own behind one.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", ".,;:!?"
-_WORD, _SPACED_WORD = re.compile(rf"[{LETTERS}]+"), re.compile(rf" [{LETTERS}]+")
+_WORD = re.compile(rf"[{LETTERS}]+")
 #: Words that are encoded as one text.
 TOGETHER = 200
 _PIECES = re.compile(rf"(?<=[{SAFE}])(?= [{SAFE}])|(?<=[{SAFE}])(?=\n[{SAFE}])")
@@ -61,7 +60,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
@@ -81,23 +80,27 @@ class Encoder:
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum())), lens
 
-    def _codes(self, pieces: list[str]) -> np.ndarray:
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
         """Numbers of pieces in the cache."""
-        known = self.known
-        if len(known) > CACHE_PIECES:
+        coded = pc.dictionary_encode(pieces)
+        kinds = coded.dictionary
+        if len(self.known) > CACHE_PIECES:
             self._clear()
-            known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            word = _SPACED_WORD if self.spaced else _WORD
-            single = [word.fullmatch(p) is not None for p in new]
-            words, rest = list(itertools.compress(new, single)), [p for p, one in zip(new, single, strict=True) if not one]
-            (flat, lens), (more, more_lens) = self._together(words), self._apart(rest)
-            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, more_lens])
+        at = pc.index_in(kinds, value_set=self.known)
+        absent = at.is_null().to_numpy(zero_copy_only=False)
+        number = at.fill_null(0).to_numpy().astype(np.int64)
+        if absent.any():
+            new = kinds.filter(pa.array(absent))
+            single = pc.match_substring_regex(new, rf"^{' ' * self.spaced}[{LETTERS}]+$")
+            words, rest = new.filter(single), new.filter(pc.invert(single))
+            (flat, lens), (more, more_lens) = self._together(words.to_pylist()), self._apart(rest.to_pylist())
+            flat, lens, first = np.concatenate([flat, more]), np.concatenate([lens, more_lens]), len(self.known)
+            one = single.to_numpy(zero_copy_only=False)
+            number[absent] = first + np.where(one, np.cumsum(one) - 1, len(words) + np.cumsum(~one) - 1)
             starts = len(self.flat) + np.cumsum(lens) - lens
-            known.update(zip(itertools.chain(words, rest), range(len(known), len(known) + len(new)), strict=False))
+            self.known = pa.concat_arrays([self.known, words, rest])
             self.starts, self.lens, self.flat = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        return number[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32) and their number for each text (long)."""
@@ -133,19 +136,20 @@ class Encoder:
             owner_odd = np.repeat(odd, np.diff(at))
             first = np.zeros(len(words), bool)
             first[at[:-1][np.diff(at) > 0]] = True
+            first &= ~owner_odd
             coded = pc.dictionary_encode(words)
-            index = coded.indices.to_numpy().astype(np.int64)
-            names = coded.dictionary.to_pylist()
+            index, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             used = np.zeros(len(names), bool)
             used[index[~owner_odd & ~first]] = True
-            table = np.zeros(len(names) + 1, np.int64)
-            keys = [(w if w == "\n" else w[1:] if w[:1] == _GLUE else " " + w) for w, u in zip(names, used, strict=True) if u]
-            heads = words.filter(pa.array(first & ~owner_odd)).to_pylist()
+            glued = pc.if_else(pc.starts_with(names, _GLUE), pc.utf8_slice_codeunits(names, 1), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), names, pa.scalar("", pa.large_string())))
+            keys = pc.if_else(pc.equal(names, "\n"), names, glued).filter(pa.array(used))
+            heads = words.filter(pa.array(first))
             slow = [_PIECES.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-            every = self._codes([*keys, *heads, *(p for x in slow for p in x)])
+            every = self._codes(pa.concat_arrays([keys, heads, pa.array([p for x in slow for p in x], pa.large_string())]))
+            table = np.zeros(len(names) + 1, np.int64)
             table[:-1][used] = every[: len(keys)]
             codes = table[index]
-            codes[first & ~owner_odd] = every[len(keys) : len(keys) + len(heads)]
+            codes[first] = every[len(keys) : len(keys) + len(heads)]
             rest = every[len(keys) + len(heads) :]
             if len(slow):
                 counts = np.diff(at)
@@ -155,13 +159,11 @@ class Encoder:
                 whole[is_slow], whole[~is_slow] = rest, codes[~owner_odd]
                 codes, at = whole, np.concatenate([[0], np.cumsum(counts)])
         else:
-            coded = pc.dictionary_encode(words)
-            codes = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy().astype(np.int64)]
+            codes = self._codes(words)
         lens = self.lens[codes]
         ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if total + len(self.flat) < 1 << 31 else np.int64
-        ids = self.flat[np.repeat((self.starts[codes] - ends + lens).astype(kind), lens) + np.arange(total, dtype=kind)]
+        pieces = pa.LargeListArray.from_arrays(pa.array(np.append(self.starts, len(self.flat))), pa.array(self.flat))
+        ids = pieces.take(pa.array(codes)).flatten().to_numpy()
         bounds = np.concatenate([[0], ends])[at]
         return ids, np.diff(bounds)
 
