@@ -37,8 +37,6 @@ CROWD = 2000
 #: Windows that are hashed at once; longer texts are cut, with an overlap.
 SEGMENT = 1 << 20
 BROADCAST_ROWS = 1_000_000
-#: Stands for a null doc_id where rows are told apart by doc_id and the hash of their text.
-NO_ID = -(1 << 63)
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -237,8 +235,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     calm = brought.join(_bounded(crowded), "core", "left_anti").repartition("core").sortWithinPartitions("core")
     spans = spans.unionByName(calm.mapInArrow(_sorted_groups, _SPANS))
     windows = common.written(brought.join(_bounded(crowded), "core", "left_semi").mapInArrow(_hashed_windows, "window long, start long, core long, doc long, key long, single boolean"), "windows")
-    again = windows.groupBy("core", "window").agg(F.count("*").alias("c")).where("c > 1").select("core", "window")
-    more = windows.where("single").join(again, ["core", "window"], "left_semi").select("doc", "key", "start", (F.col("start") + SIZE).alias("stop"))
+    again = common.written(windows.groupBy("core", "window").agg(F.count("*").alias("c")).where("c > 1").select("core", "window"), "again")
+    more = windows.where("single").join(again.hint("merge"), ["core", "window"], "left_semi").select("doc", "key", "start", (F.col("start") + SIZE).alias("stop"))
     return spans.unionByName(more)
 
 
@@ -276,7 +274,7 @@ def _remove(with_text: bool):
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: bytes, bytes removed, runs removed, SHA-256 of what is left; with_text: what is left (bytes, as a cut may fall inside a character)."""
-    texts = common.documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("raw"))
+    texts = common.documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(common.NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("raw"))
     spans = common.written(repeated_spans(texts), "spans")
     by_key = common.written(spans.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "by_text")
     joined = texts.join(by_key.hint("merge"), ["doc", "key"], "left").select("doc_id", "raw", "spans")
