@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: space, tab, \n, \v, \f, \r. Everything else is part of a word.
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a null doc_id where rows are told apart by doc_id and the hash of their text.
+NO_ID = -(1 << 63)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string) of a documents table; a null text becomes the empty one. Other columns are left behind."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
@@ -27,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sediment-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get()
@@ -61,17 +67,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def keyed(docs: DataFrame, doc_id: str, key: str) -> DataFrame:
-    """docs with two more columns, which together tell its rows apart: the doc_id, and the hash of the text (a null is the empty one)."""
-    return docs.withColumns({doc_id: docs["doc_id"].cast("long"), key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+def all_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def keyed(docs: DataFrame, doc: str, key: str) -> DataFrame:
+    """docs with two more columns, which together tell its rows apart: the doc_id (NO_ID for null), and the hash of the text (a null is the empty one)."""
+    return docs.withColumns({doc: F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
 
 
 def one_row_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each of wanted (doc_id, key) one row of docs that has these, with all columns of docs."""
     a, b, x, y, rows = fresh(docs, "own_id", "own_key", "wanted_id", "wanted_key", "rows")
-    wanted = wanted.select(F.col("doc_id").alias(x), F.col("key").alias(y))
-    found = keyed(docs, a, b).join(wanted, F.col(a).eqNullSafe(F.col(x)) & (F.col(b) == F.col(y)), "left_semi")
+    wanted = wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(x), F.col("key").alias(y))
+    found = keyed(docs, a, b).join(wanted, (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_semi")
     several = written(found.groupBy(a, b).agg(F.count("*").alias(rows)).where(F.col(rows) > 1).select(a, b), "several")
     if not several.isEmpty():  # equal rows
         found = found.dropDuplicates([a, b])
-    return found.select(*docs.columns)
+    return found.select(*all_of(docs))

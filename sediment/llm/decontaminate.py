@@ -102,23 +102,23 @@ def _best(equal: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that share a verified overlap: its equal tokens, its length, their share, its first token in both. key tells documents of one doc_id apart."""
-    texts = common.documents(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    texts = common.documents(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(common.NO_ID)), "key": F.xxhash64("text")})
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), _hashes(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("item")).distinct()
     items = common.written(items.withColumn("entry", F.xxhash64("item_id", "item")), "items")
     seeds = common.written(_positions(items, ["entry"], F.col("item")).withColumnRenamed("at", "item_at"), "seeds")
-    found = _positions(texts, ["doc_id", "key"], _hashes(F.col("text")))
+    found = _positions(texts, ["doc", "key"], _hashes(F.col("text")))
     short = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item").between(1, SPAN - 1)).distinct().collect())
     if short:
         own = [_whole(items.where(F.size("item") == m), ["entry"], F.col("item"), [m]) for m in short]
         for more in own:
             seeds = seeds.unionByName(more.withColumnRenamed("at", "item_at"))
-        found = found.unionByName(_whole(texts, ["doc_id", "key"], _hashes(F.col("text")), short))
-    hits = found.join(_small(seeds), "seed").select("key", "entry", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        found = found.unionByName(_whole(texts, ["doc", "key"], _hashes(F.col("text")), short))
+    hits = found.join(_small(seeds), "seed").select("doc", "key", "entry", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = common.written(hits, "hits")
 
     sized = hits.join(_small(items.select("entry", F.size("item").alias("m"))), "entry")
-    by_text = sized.groupBy("key").agg(F.collect_list(F.struct("entry", "shift", "m")).alias("hits"))
-    joined = texts.join(F.broadcast(by_text) if hits.count() <= BROADCAST_ROWS else by_text, "key")
+    by_text = sized.groupBy("doc", "key").agg(F.collect_list(F.struct("entry", "shift", "m")).alias("hits"))
+    joined = texts.join(F.broadcast(by_text) if hits.count() <= BROADCAST_ROWS else by_text, ["doc", "key"])
 
     def parts(h: Column) -> Column:
         return F.transform(F.col("hits"), lambda c: F.struct(c["entry"].alias("entry"), c["shift"].alias("shift"), F.transform(indices(c["m"]), lambda i: F.get(h, i + c["shift"])).alias("own")))
@@ -134,6 +134,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that share no verified overlap with an item, with all their columns."""
-    bad = common.written(leaks(docs, benchmark).select("key").distinct(), "leaks")
-    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.withColumn("_key", key).join(_small(bad.withColumnRenamed("key", "_key")), "_key", "left_anti").select(*docs.columns)
+    a, b, x, y = common.fresh(docs, "own_id", "own_key", "bad_id", "bad_key")
+    bad = common.written(leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias(x), F.col("key").alias(y)).distinct(), "leaks")
+    return common.keyed(docs, a, b).join(_small(bad), (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_anti").select(*common.all_of(docs))

@@ -128,16 +128,16 @@ def _disclosing(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans): for every row all spans, base hits and disclosing terms, by start, then kind. key is the hash of doc_id and text."""
+    """(doc_id, key, base, spans): for every row its base hits, and all spans with the disclosing terms, by start, then kind. key is the hash of the text."""
     texts = common.documents(docs)
-    found = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("content"), let(F.col("text"), lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), _terms(t, s).alias("terms")))).alias("f"))
-    found = common.written(found.select("doc_id", "key", "content", "f.spans", "f.terms"), "mentions")
+    found = texts.select("doc_id", F.coalesce("doc_id", F.lit(common.NO_ID)).alias("doc"), F.xxhash64("text").alias("content"), let(F.col("text"), lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), _terms(t, s).alias("terms")))).alias("f"))
+    found = common.written(found.select("doc_id", "doc", "content", "f.spans", "f.terms"), "mentions")
     told = common.written(_disclosing(texts, found), "disclosing")
-    terms = found.select("key", "content", F.explode("terms").alias("x")).select("key", "content", "x.*").join(_small(told), ["content", "term"])
-    terms = terms.select("key", F.struct(F.col("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("term").alias("hit")).alias("s")).distinct()
-    terms = terms.groupBy("key").agg(F.collect_list("s").alias("more"))
-    joined = found.select("doc_id", "key", "spans").join(terms, "key", "left")
-    return joined.select("doc_id", "key", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(_SPANS)))).alias("spans"))
+    terms = found.select("doc", "content", F.explode("terms").alias("x")).select("doc", "content", "x.*").join(_small(told), ["content", "term"])
+    terms = terms.select("doc", "content", F.struct(F.col("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("term").alias("hit")).alias("s")).distinct()
+    terms = terms.groupBy("doc", "content").agg(F.collect_list("s").alias("more"))
+    joined = found.select("doc_id", "doc", "content", "spans").join(terms, ["doc", "content"], "left")
+    return joined.select("doc_id", F.col("content").alias("key"), F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(_SPANS)))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -170,9 +170,9 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with its texts sanitised; n_chars, where there is one, is counted again. A null text stays null."""
-    found = spans(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    joined = docs.withColumn("_key", key).join(found, "_key", "left").withColumn("text", _replaced(docs["text"], F.col("_spans")))
+    a, b, x, y, hits = common.fresh(docs, "own_id", "own_key", "hit_id", "hit_key", "hits")
+    found = spans(docs).where(F.size("spans") > 0).select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias(x), F.col("key").alias(y), F.col("spans").alias(hits)).dropDuplicates([x, y])
+    joined = common.keyed(docs, a, b).join(found, (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left").withColumn("text", _replaced(docs["text"].cast("string"), F.col(hits)))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*docs.columns)
+    return joined.select(*common.all_of(docs))

@@ -134,18 +134,18 @@ def measures(text: Column) -> Column:
     return let(text, of_text)
 
 
-def _verdicts() -> tuple[Column, Column]:
-    """base_failed and kept, from the struct _m."""
-    base_failed = (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    odd_chars = (F.col("_m.n_chars") >= GUARD_CHARS) & (F.col("_m.char_distance") > MAX_CHAR_DISTANCE)
-    odd_words = (F.col("_m.n_words") >= GUARD_WORDS) & (F.col("_m.word_distance") > MAX_WORD_DISTANCE)
+def _verdicts(m: Column) -> tuple[Column, Column]:
+    """base_failed and kept, from the struct of all figures."""
+    base_failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    odd_chars = (m["n_chars"] >= GUARD_CHARS) & (m["char_distance"] > MAX_CHAR_DISTANCE)
+    odd_words = (m["n_words"] >= GUARD_WORDS) & (m["word_distance"] > MAX_WORD_DISTANCE)
     return base_failed, ~base_failed & ~F.coalesce(odd_chars, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id with its figures and verdict."""
     texts = common.documents(docs)
-    base_failed, keep = _verdicts()
+    base_failed, keep = _verdicts(F.col("_m"))
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     m = texts.select("doc_id", measures(F.col("text")).alias("_m"))
     return m.select("doc_id", *(f"_m.{c}" for c in figures), base_failed.alias("base_failed"), keep.alias("kept"), "_m.char_distance", "_m.word_distance")
@@ -153,4 +153,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    return docs.withColumn("_m", measures(F.coalesce(docs["text"].cast("string"), F.lit("")))).where(_verdicts()[1]).select(*docs.columns)
+    (m,) = common.fresh(docs, "m")
+    return docs.withColumn(m, measures(F.coalesce(docs["text"].cast("string"), F.lit("")))).where(_verdicts(F.col(m))[1]).select(*common.all_of(docs))

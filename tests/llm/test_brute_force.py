@@ -26,8 +26,8 @@ def odd_texts():
     near[100] = "changed"
     texts = [None, "", " ", "x", "\n\n", "one two three four five", "a  b\tc\x0bd\x0ce\rf", a, a, " ".join(near), a + " " + b, b + "\n" + b, say(3000) + " " + b, "日本語 \U0001f600 text " * 60, "ab" * 700, "x" * 500 + say(30)]
     texts += ["mail a.b@c-d.e.fr, x@y z@w.de.", "ip 1.2.3.4 300.1.1.1 1.2.3.4.5 001.02.3.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 +49 (30) 1234567890 +1 2", "é" * 40 + " q@r.st " + "1" * 30000]
-    texts += ["hi <|endoftext|> x", "<|startoftext|>", "a<|endoftext|>b\n<|endoftext|>", "İstanbul İ ŉ ǆ it's 5's"]
     texts += [f"Contact Marlborough at me@here.org today about item {i}" for i in range(5)]
+    texts += ["hi <|endoftext|> x", "<|startoftext|>", "a<|endoftext|>b\n<|endoftext|>", "İstanbul İ ŉ ǆ it's 5's"]
     return texts
 
 
@@ -348,14 +348,82 @@ def test_near_dedup_in_a_crowd(spark):
     assert not made_up and len(texts) - len(set(of.values())) >= 0.97 * merges
 
 
+CLASHING = "doc_id long, text string, _key long, wanted_id string, Rows int, own_id int, id long, node string, M int, _m int, _spans string, hits int, hit_id int, bad_id int, doc int, key int, content int"
+
+
 def test_near_dedup_clashing_names(spark):
-    schema = "doc_id long, text string, _key long, wanted_id string, Rows int, own_id int, id long, node string"
-    rows = [(1, "one two three four five six", 7, "a", 1, 2, 3, "n"), (1, "one two three four five six", 7, "a", 1, 2, 3, "n"), (2, "One two, three four five six!", 8, "b", 1, 2, 3, "n"), (3, None, 9, "c", 1, 2, 3, "n"), (3, "other words", 9, "c", 1, 2, 3, "n")]
-    got = near_dedup.deduplicated(spark.createDataFrame(rows, schema))
-    assert got.dtypes == spark.createDataFrame(rows, schema).dtypes
+    more = (7, "a", 1, 2, 3, "n", 4, 5, "s", 6, 7, 8, 9, 10, 11)
+    rows = [(1, "one two three four five six", *more), (1, "one two three four five six", *more), (2, "One two, three four five six!", *more), (3, None, *more), (3, "other words", *more)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    got = near_dedup.deduplicated(docs)
+    assert got.dtypes == docs.dtypes
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
 
 
+def test_clashing_names_are_kept(spark):
+    more = (7, "a", 1, 2, 3, "n", 4, 5, "s", 6, 7, 8, 9, 10, 11)
+    plain = "The cat was in the house and it is on the table, as it was for this and that. " + " ".join(f"of word{chr(97 + i)} and" for i in range(20))
+    rows = [(1, plain, *more), (None, plain, *more), (2, "x", *more), (3, None, *more), (4, "write to a@b.de", *more), (4, "write to a@b.de", *more)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    bench = spark.createDataFrame([(1, "write to a b de")], "item_id long, text string")
+    for got, want in ((quality.kept(docs), rows[:2]), (decontaminate.clean(docs, bench), rows[:4]), (pii.sanitise(docs), None)):
+        assert got.dtypes == docs.dtypes
+        if want is not None:
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        else:
+            assert sorted((str(r.doc_id), str(r.text)[-8:], r._key, r.hits) for r in got.collect()) == sorted((str(r[0]), "[EMAIL]" if r[0] == 4 else str(r[1])[-8:], 7, 6) if r[0] != 4 else ("4", " [EMAIL]", 7, 6) for r in rows)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """All stages on nulls, empty and repeated texts, copies, a leak and personal data, and on no rows."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    common = "the of and to a in is that for it was as with on be by at are this from".split()
+    say = lambda n: " ".join(common[rng.integers(0, 20)] if rng.random() < 0.35 else "".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)).capitalize() + "."
+    base, leak = say(120), say(90)
+    texts = [None, "", " ", "short", "a b c " * 40, base, base, base[:-8] + "changed.", leak, say(100) + " Write to jo@ex.org please.", say(300), say(80)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)] + [(None, say(70), None, None, None), (10, texts[10], "en", "s", 1)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([(1, " ".join(leak.split()[20:60])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    seen, docs = [], spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.dtypes == spark.createDataFrame([], schema).dtypes
+        seen.append(sorted(str(r.doc_id) for r in docs.collect()))
+    assert seen[0] == sorted("5 6 7 8 9 10 10 11 None".split())
+    assert seen[1] == sorted("5 8 9 10 11 None".split()) and seen[2] == seen[3] == sorted("5 9 10 11 None".split())
+    text = next(r.text for r in docs.collect() if r.doc_id == 9)
+    assert "jo@ex.org" not in text and "[EMAIL]" in text
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    left = {r.doc_id: t.encode(r.text, add_special_tokens=False).ids + [1] for r in docs.collect()}
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) for i, x in left.items()} and sum(r.length for r in got) == sum(map(len, left.values()))
+    assert all(r.ids_crc32 == crc(left[r.doc_id][r.start : r.start + r.length]) for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_range_coder():
+    from sediment.llm import rangecoder
+
+    rng = np.random.default_rng(2)
+    for vocab, n in ((2, 1), (2, 5000), (300, 777), (49408, 70_000)):
+        ids = np.minimum(rng.zipf(1.3, n) - 1, vocab - 1).astype(np.uint32)
+        ids[n // 2 :] = ids[: n - n // 2]
+        words, counts = rangecoder.encode_ids(ids, vocab)
+        assert (rangecoder.decode_ids(words, counts, n, vocab) == ids).all()
+    block = rangecoder.pack_block(np.array([3, 1]), np.array([False, True]), np.array([700, 77]), np.arange(777, dtype=np.uint32) % 300, 300)
+    assert rangecoder.unpack_block(block)[3].tolist() == [i % 300 for i in range(777)]
+    for bad in (block[:-1], block[:40] + bytes([block[40] ^ 1]) + block[41:], b"", block[1:]):
+        with pytest.raises(rangecoder.BlockError):
+            rangecoder.unpack_block(bad)
+
+
 def test_near_dedup(docs, none, rows):
     tok = lambda x: [w for w in re.split(r"[\W_]+", (x or "").lower()) if w]
     words = [tok(x) for _, x in rows]
