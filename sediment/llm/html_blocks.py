@@ -332,4 +332,4 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     sample = rows.where(F.length("html") > 0).orderBy(F.xxhash64("url", "page_id"), "page_id", "html").limit(SAMPLE)
     model = train([r.html for r in sample.select("html").collect()])
-    return rows.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")
+    return rows.transform(common.in_arrow, _extract(model), "page_id long, url string, text string, n_chars long")

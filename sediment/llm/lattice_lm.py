@@ -251,7 +251,7 @@ def _score_documents(n: int, v: int, end: int, end_log10: float):
 def scores(docs: DataFrame, model: str) -> DataFrame:
     """One row for each document: what the contract asks, with the lattice's log10 probability as score."""
     texts = common.documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw"))
-    batches = common.written(texts.mapInArrow(_batches, _BATCH), "batches")
+    batches = common.written(texts.transform(common.in_arrow, _batches, _BATCH), "batches")
     entries = batches.select("batch", F.posexplode(F.arrays_zip("vocab", "train")).alias("i", "x")).select("batch", "i", F.col("x.vocab").alias("word"), F.col("x.train").alias("t"))
     counts = common.written(entries.groupBy("word").agg(F.sum("t").alias("c")), "counts")
     known = counts.where("c > 0")
@@ -263,12 +263,12 @@ def scores(docs: DataFrame, model: str) -> DataFrame:
     lattice = Lattice(pieces, byte_of, prior)
     end_log = np.log(0.01)
     for _ in range(ROUNDS if words else 0):
-        counted = known.mapInArrow(_count_pieces(lattice), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        counted = known.transform(common.in_arrow, _count_pieces(lattice), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
         uses = PRIOR * np.exp(prior)
         uses[counted.column("piece").to_numpy()] += counted.column("uses").to_numpy()
         total = uses.sum() + end
         lattice.weights, end_log = np.log(uses / total), np.log(end / total)
-    scored = common.written(counts.mapInArrow(_score_words(lattice), "word binary, c long, log10 float"), "words")
+    scored = common.written(counts.transform(common.in_arrow, _score_words(lattice), "word binary, c long, log10 float"), "words")
     back = entries.select("batch", "i", "word").join(scored, "word").groupBy("batch").agg(F.collect_list("i").alias("at"), F.collect_list("c").alias("c"), F.collect_list("log10").alias("log10"))
     joined = batches.select("batch", "doc_id", "held", "n_words", "kinds", "word", "times").join(back, "batch", "left").drop("batch")
-    return joined.mapInArrow(_score_documents(int(n), int(v), int(end), float(end_log / np.log(10))), _SCORES)
+    return joined.transform(common.in_arrow, _score_documents(int(n), int(v), int(end), float(end_log / np.log(10))), _SCORES)

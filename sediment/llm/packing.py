@@ -51,7 +51,7 @@ def _encode(tokenizer: str, spaced: bool, end: int):
 
 def encoded(docs: DataFrame, tokenizer: str, spaced: bool = True, end: int = END) -> DataFrame:
     """A written table (part, before, doc_id, n, ids): little-endian 32-bit ids of each document with its end id, and the number of ids before it in its part."""
-    return common.written(common.documents(docs).mapInArrow(_encode(tokenizer, spaced, end), _CODED), "ids")
+    return common.written(common.documents(docs).transform(common.in_arrow, _encode(tokenizer, spaced, end), _CODED), "ids")
 
 
 def offsets(coded: DataFrame) -> DataFrame:
@@ -88,4 +88,4 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, spaced: bool = Tru
     """One row for each piece of a document: its place in the document and in its sequence. with_ids: also the ids, 32-bit little-endian. Sequences are full but for the last, which a reader pads."""
     coded = encoded(docs, tokenizer, spaced, end)
     placed = coded.join(F.broadcast(offsets(coded)), "part").select("before", "base", "doc_id", "n", "ids")
-    return placed.mapInArrow(_cut(width, with_ids), _PIECES + (", ids binary" if with_ids else ""))
+    return placed.transform(common.in_arrow, _cut(width, with_ids), _PIECES + (", ids binary" if with_ids else ""))

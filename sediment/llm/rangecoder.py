@@ -190,11 +190,11 @@ class _Reader:
 
 
 def _place(cdf: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """np.searchsorted(cdf, values, side="right"), by every 64th entry first: those stay in the nearest cache."""
-    size = len(cdf)
-    at = np.searchsorted(cdf[63::64], values, side="right") * 64
-    for step in (32, 16, 8, 4, 2, 1):
-        at += step * (cdf[np.minimum(at + (step - 1), size - 1)] <= values)
+    """np.searchsorted(cdf, values, side="right"), asked in ascending order, which takes fewer steps through memory."""
+    bits = len(values).bit_length()
+    order = np.sort((values << bits) | np.arange(len(values)))
+    at = np.empty(len(values), np.int64)
+    at[order & ((1 << bits) - 1)] = np.searchsorted(cdf, order >> bits, side="right")
     return at
 
 

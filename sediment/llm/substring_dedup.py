@@ -214,7 +214,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, key, start, stop) of repeated bytes; spans may overlap. texts: doc, key, raw.
 
     What is joined by a key that may be hot is a table of its own on both sides, so that Spark can deal out a large partition."""
-    rows = common.written(texts.where(F.octet_length("raw") >= SIZE).select("doc", "key", "raw").mapInArrow(_emit, _ROWS), "contexts")
+    rows = common.written(texts.where(F.octet_length("raw") >= SIZE).select("doc", "key", "raw").transform(common.in_arrow, _emit, _ROWS), "contexts")
     twice = common.written(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     rows = common.written(rows.join(twice.hint("merge"), "core", "left_semi"), "shared")
 
@@ -230,11 +230,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     by_text = common.written(asked.groupBy("doc", "key").agg(F.collect_list(F.struct("core", "lo", "n", "anchor", "single")).alias("asked")), "asked")
     crowded = common.written(several.where("crowded").select("core"), "crowded")
     one_each = texts.select("doc", "key", "raw").join(by_text.hint("merge"), ["doc", "key"])
-    brought = common.written(one_each.mapInArrow(_cut_bytes, "core long, doc long, key long, lo long, n int, anchor int, single boolean, bytes binary"), "brought")
+    brought = common.written(one_each.transform(common.in_arrow, _cut_bytes, "core long, doc long, key long, lo long, n int, anchor int, single boolean, bytes binary"), "brought")
 
     calm = brought.join(_bounded(crowded), "core", "left_anti").repartition("core").sortWithinPartitions("core")
-    spans = spans.unionByName(calm.mapInArrow(_sorted_groups, _SPANS))
-    windows = common.written(brought.join(_bounded(crowded), "core", "left_semi").mapInArrow(_hashed_windows, "window long, start long, core long, doc long, key long, single boolean"), "windows")
+    spans = spans.unionByName(calm.transform(common.in_arrow, _sorted_groups, _SPANS))
+    windows = common.written(brought.join(_bounded(crowded), "core", "left_semi").transform(common.in_arrow, _hashed_windows, "window long, start long, core long, doc long, key long, single boolean"), "windows")
     again = common.written(windows.groupBy("core", "window").agg(F.count("*").alias("c")).where("c > 1").select("core", "window"), "again")
     more = windows.where("single").join(again.hint("merge"), ["core", "window"], "left_semi").select("doc", "key", "start", (F.col("start") + SIZE).alias("stop"))
     return spans.unionByName(more)
@@ -278,4 +278,4 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = common.written(repeated_spans(texts), "spans")
     by_key = common.written(spans.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "by_text")
     joined = texts.join(by_key.hint("merge"), ["doc", "key"], "left").select("doc_id", "raw", "spans")
-    return joined.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return joined.transform(common.in_arrow, _remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))

@@ -69,7 +69,7 @@ def _write(tokenizer: str, spaced: bool, end: int):
 def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end: int = END) -> None:
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranges = common.documents(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges.mapInArrow(_write(tokenizer, spaced, end), BLOCKS).write.option("compression", "none").parquet(path)
+    ranges.transform(common.in_arrow, _write(tokenizer, spaced, end), BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def _read(with_ids: bool):
@@ -96,4 +96,4 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("tokens").alias("total"))  # a row for each partition of the write
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
     placed = blocks.join(F.broadcast(base), "part").select("before", "base", "payload")
-    return placed.mapInArrow(_read(with_ids), _READ + (", ids binary" if with_ids else ""))
+    return placed.transform(common.in_arrow, _read(with_ids), _READ + (", ids binary" if with_ids else ""))

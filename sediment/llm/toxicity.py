@@ -168,11 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tupl
     if not toxic or not clean:
         model.values = np.array([1.0 if toxic else 0.0])
         return Lexicon({}), model
-    seen = texts.select("text", "toxic").mapInArrow(_entries, "entry string, toxic long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= LEAST_TEXTS)
+    seen = texts.select("text", "toxic").transform(common.in_arrow, _entries, "entry string, toxic long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= LEAST_TEXTS)
     odds = F.ln((F.col("t") + 0.5) / (toxic + 1.0)) - F.ln((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
     best = seen.select("entry", "t", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS).orderBy((F.col("t") * F.col("odds")).desc(), "entry").limit(ENTRIES).collect()
     lexicon = Lexicon({r.entry: r.odds for r in best})
-    rows_ = texts.mapInArrow(_featured(lexicon), "x array<double>, toxic long, fold int").toArrow()
+    rows_ = texts.transform(common.in_arrow, _featured(lexicon), "x array<double>, toxic long, fold int").toArrow()
     x, y, fold = np.array(rows_.column("x").to_pylist(), float), rows_.column("toxic").to_numpy().astype(float), rows_.column("fold").to_numpy()
     order = np.lexsort((*x.T, y, fold))  # the same model whatever the order of rows
     x, y, fold = x[order], y[order], fold[order]
@@ -199,4 +199,4 @@ def _score(lexicon: Lexicon, model: Trees):
 def scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     lexicon, model = train(docs, labels, rows)
-    return common.documents(docs).mapInArrow(_score(lexicon, model), "doc_id long, held_out boolean, score double, predicted int")
+    return common.documents(docs).transform(common.in_arrow, _score(lexicon, model), "doc_id long, held_out boolean, score double, predicted int")
