@@ -48,8 +48,8 @@ _POWERS = np.array([round(2 ** (24 - x / (1 << _LOG))) for x in range(1 << _LOG)
 _LEVELS = np.array([2, 200, 4000], np.int64)
 #: How fast weights follow their gradient.
 _RATE = 3
-#: Steps after which the mixture is made anew.
-_EVERY = 4
+#: Steps after which the mixture is made anew; before the first so many, after 1, 2, 4, 8.
+_EVERY = 16
 #: States: confidences of order 2 and 1 (8 each), whether they predict the same, levels of both ids (4 each).
 _STATES = 8 * 8 * 2 * 4 * 4
 
@@ -105,7 +105,7 @@ class _Model:
     def learn(self, ids: np.ndarray, flags: np.ndarray, missed: np.ndarray) -> None:
         self.seen += np.bincount(self.state * 3 + flags, minlength=3 * _STATES)
         self.steps += 1
-        if self.steps % _EVERY == 0:
+        if self.steps % _EVERY == 0 or self.steps in (1, 2, 4, 8):
             self._weigh()
         np.add.at(self.zero, missed, 24)
         self.level[missed] = np.searchsorted(_LEVELS, self.zero[missed], side="right")

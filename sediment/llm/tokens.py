@@ -25,8 +25,8 @@ CHUNK_BYTES = 8 << 20
 #: Letters for every library that stay one letter in lower case (which the dotted capital I does not), and marks that always begin a piece of their own behind one.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", ".,;:!?"
 _WORD = re.compile(rf"[{LETTERS}]+")
-#: Words that are encoded as one text.
-TOGETHER = 200
+#: Words that are encoded as one text, and texts that are encoded at once: the library keeps over 100 bytes for each id of these.
+TOGETHER, AT_ONCE = 200, 64
 _PIECES = re.compile(rf"(?<=[{SAFE}])(?= [{SAFE}])|(?<=[{SAFE}])(?=\n[{SAFE}])")
 #: Begins a piece that no space was before.
 _GLUE = "\x01"
@@ -68,15 +68,20 @@ class Encoder:
         """ids of single words (each behind its space, if spaced) and their number for each."""
         glue = "" if self.spaced else " "
         texts = [glue.join(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
-        got = self.together.encode_batch_fast([x.lower() for x in texts] if self.lower else texts, add_special_tokens=False)
-        flat = np.concatenate([np.array(x.ids, np.uint32) for x in got]) if got else np.zeros(0, np.uint32)
+        found = [np.zeros(0, np.uint32)]
+        for a in range(0, len(texts), AT_ONCE):
+            part = [x.lower() for x in texts[a : a + AT_ONCE]] if self.lower else texts[a : a + AT_ONCE]
+            found += [np.array(x.ids, np.uint32) for x in self.together.encode_batch_fast(part, add_special_tokens=False)]
+        flat = np.concatenate(found)
         edges = np.flatnonzero(self.edge[flat])
         if len(edges) != len(words):
             raise ValueError("the vocabulary doesn't mark where words begin or end")
         return flat, np.diff(edges, append=len(flat)) if self.spaced else np.diff(edges, prepend=-1)
 
     def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        got: list[list[int]] = []
+        for a in range(0, len(pieces), AT_ONCE * TOGETHER):
+            got += [x.ids for x in self.tokenizer.encode_batch_fast(pieces[a : a + AT_ONCE * TOGETHER], add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum())), lens
 
