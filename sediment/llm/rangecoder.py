@@ -45,11 +45,13 @@ _LIMIT = 1 << 14
 _LOGS = np.array([0, *(round(math.log2(x) * (1 << _LOG)) for x in range(1, 4 * _LIMIT))], np.int64)
 _POWERS = np.array([round(2 ** (24 - x / (1 << _LOG))) for x in range(1 << _LOG)], np.int64)
 #: Counts of order 0 from which an id is of the next level.
-_LEVELS = np.array([2, 200, 4000], np.int64)
+_LEVELS = (2, 200, 4000)
 #: How fast weights follow their gradient.
 _RATE = 3
 #: Steps after which the mixture is made anew; before the first so many, after 1, 2, 4, 8.
 _EVERY = 16
+#: The next confidence, by 8 times whether the prediction was right and the last one.
+_CONFIDENCE = np.array([*(max(k - 1, 0) for k in range(8)), *(min(k + 1, 7) for k in range(8))], np.int8)
 #: States: confidences of order 2 and 1 (8 each), whether they predict the same, levels of both ids (4 each).
 _STATES = 8 * 8 * 2 * 4 * 4
 
@@ -108,11 +110,11 @@ class _Model:
         if self.steps % _EVERY == 0 or self.steps in (1, 2, 4, 8):
             self._weigh()
         np.add.at(self.zero, missed, 24)
-        self.level[missed] = np.searchsorted(_LEVELS, self.zero[missed], side="right")
+        now = self.zero[missed]
+        self.level[missed] = sum((now >= x).view(np.int8) for x in _LEVELS)
         for table, conf, at, said, k in ((self.id2, self.conf2, self.at2, self.p2, self.k2), (self.id1, self.conf1, self.at1, self.p1, self.k1)):
-            hit = said == ids
-            table[at] = np.where(hit | (k > 0), said, ids)
-            conf[at] = np.where(hit, np.minimum(k + 1, 7), np.maximum(k - 1, 0))
+            table[at] = np.where(k > 0, said, ids)
+            conf[at] = _CONFIDENCE[((said == ids).view(np.int8) << 3) | k]
 
 
 class _Writer:
