@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.functions import dates, rules, tables, text
-from sediment.operators import browse, changes, cohorts, evidence, ranking, series
+from sediment.functions.numbers import quotient
+from sediment.operators import browse, changes, cohorts, evidence, ranking, reports, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,12 +216,12 @@ def share_shift(t: Tables) -> DataFrame:
     return series.share_shift(_monthly(t))
 
 
-_DAILY = """d as (select ts::date as day, count(*) as n from events where day(ts) % 7 <> 0 group by 1), dense as (
+_DAILY = """d as (select ts::date as day, count(*) as n from events group by 1), dense as (
     select day, coalesce(n, 0)::bigint as n from (select unnest(generate_series(max(day) - 29, max(day), interval 1 day))::date as day from d) left join d using (day))"""
 
 
 def _daily(t: Tables) -> DataFrame:
-    return series.dense_days(t.events.where(F.dayofmonth("ts") % 7 != 0), c("ts"), 30)
+    return series.dense_days(t.events, c("ts"), 30)
 
 
 @query(f"with {_DAILY} select strftime(day, '%Y-%m-%d') as day, n from dense")
@@ -368,18 +369,43 @@ def title_keywords(t: Tables) -> DataFrame:
     return ranking.ranked(ranking.tally_many(t.part, text.title_words(c("p_name"))))
 
 
-@query()
+def _replaced(expression: str, *steps: tuple[str, str, str]) -> str:
+    for pattern, by, flags in steps:
+        expression = f"regexp_replace({expression}, '{pattern}', {by}, '{flags}')"
+    return expression
+
+
+_PLAIN = _replaced(
+    "html", (r"<br\s*/?>", "chr(10)", "gi"), (r"</(p|div|li|h[0-9])>", "chr(10)", "gi"), ("<[^>]+>", "' '", "g"), ("&nbsp;", "' '", "gi"), ("&amp;", "'&'", "gi"), ("&lt;", "'<'", "gi"), ("&gt;", "'>'", "gi"),
+    ("&#39;|&rsquo;|&lsquo;", "chr(39)", "gi"), ("&quot;|&ldquo;|&rdquo;", "chr(34)", "gi"), ("&[a-z#0-9]+;", "' '", "gi"), (r"[ \t]+", "' '", "g"), (r"\n{3,}", "chr(10) || chr(10)", "g"), (r"^[\s\x{a0}\x{feff}]+", "''", "g"), (r"[\s\x{a0}\x{feff}]+$", "''", "g"),
+)
+
+
+@query(f"select page_id, {_PLAIN} as text from pages")
 def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.plain_text(c("html")).alias("text"))
 
 
-def _texts(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars > 200")
+_TERMS = f"""w as (select doc_id, coalesce(lang = 'en', false) as inside, list_filter(list_transform(string_split_regex(regexp_replace(lower(text), '[^a-z0-9+#&./ -]+', ' ', 'g'), ' +'), lambda x: regexp_replace(x, '^[-.]+|[-.]+$', '', 'g')), lambda x: x <> '') as t from documents),
+    x as (select doc_id, inside, unnest(t) as w, generate_subscripts(t, 1) as i from w), y as (select *, length(w) >= 3 and w not in {tables.COMMON_WORDS} and not regexp_matches(w, '^[0-9]+$') as good from x),
+    z as (select *, lead(w) over (partition by doc_id, inside order by i) as w2, lead(good) over (partition by doc_id, inside order by i) as good2 from y),
+    terms as (select distinct doc_id, inside, w as term from y where good union select distinct doc_id, inside, w || ' ' || w2 from z where good and good2),
+    counted as (select term, count(*) filter (inside)::bigint as n, count(*) filter (not inside)::bigint as rest_n from terms group by 1)"""
 
 
-@query()
+@query(f"with {_TERMS} select term, n, rest_n from counted")
+def tokens_df(t: Tables) -> DataFrame:
+    return cohorts.term_counts(t.documents, cohorts.inside(c("lang"), ["en"]), c("text"))
+
+
+@query(
+    f"""with {_TERMS}, s as (select greatest(count(*) filter (lang = 'en'), 1) as in_n, greatest(count(*) filter (lang is distinct from 'en'), 1) as out_n from documents),
+    r as (select term, n, rest_n, n::double / in_n as share, rest_n::double / out_n as rest_share, (n::double / in_n) / ((rest_n + 0.5) / out_n::double) as lift from counted cross join s where n >= 5),
+    g as (select * from r where lift >= 1.6), p as (select * from g where contains(term, ' ')), covered as (select distinct unnest(string_split(term, ' ')) as term from p)
+    select * from p union all select g.* from g anti join covered using (term) where not contains(term, ' ') and lift >= 3.0"""
+)
 def distinctive_terms(t: Tables) -> DataFrame:
-    return cohorts.distinctive(_texts(t), cohorts.inside(c("lang"), ["en"]), c("text"))
+    return cohorts.distinctive(t.documents, cohorts.inside(c("lang"), ["en"]), c("text"))
 
 
 @query("select substr(sha1(coalesce(text, '')), 1, 16) as key, count(*)::bigint as n from documents group by 1 having count(*) > 1")
@@ -387,9 +413,23 @@ def fingerprint_dups(t: Tables) -> DataFrame:
     return ranking.tally(t.documents, text.fingerprint(c("text"))).where("n > 1")
 
 
-@query()
+#: Adverts, and what is evidence in them.
+_ADVERTS = [
+    (1, "Overview\nWe deploy agentic systems in production for banks. We never build copilot demos.\nResponsibilities\nDeliver measurable business outcomes for customers.\nBenefits\nWe build AI for fun, and drive adoption of it."),
+    (2, "Overview\n\nResponsibilities\nYou will not deploy AI to production here at all. Accelerate adoption across the whole group."),
+    (3, "Responsibilities:\nBuild reusable accelerators.\nImplement governance, security and responsible AI controls."),
+    (4, ""),
+    (5, "Nothing of the kind is said in this advert, whatever you read."),
+]
+
+
+@query(
+    """select * from (values (1, 'production-ai', 'Overview', 'We deploy agentic systems in production for banks.'), (1, 'business-outcomes', 'Responsibilities', 'Deliver measurable business outcomes for customers.'),
+    (2, 'adoption', 'Responsibilities', 'Accelerate adoption across the whole group.'), (3, 'production-ai', 'Responsibilities', 'Implement governance, security and responsible AI controls.'),
+    (3, 'reusable-delivery', 'Responsibilities', 'Build reusable accelerators.'), (3, 'trusted-delivery', 'Responsibilities', 'Implement governance, security and responsible AI controls.')) v(id, signal, section, excerpt)"""
+)
 def passages_evidence(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", text.passages(F.array(F.struct(F.lit("whole").alias("section"), F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
+    rows = t.spark.createDataFrame(_ADVERTS, "id int, text string").select("id", text.passages(text.sections(c("text"))).alias("parts"))
     return evidence.evidence(rows, c("parts")).drop("parts")
 
 
@@ -413,3 +453,285 @@ def parse_location(t: Tables) -> DataFrame:
 @query("select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, count(*)::bigint as n from events group by 1, 2")
 def day_month_keys(t: Tables) -> DataFrame:
     return t.events.groupBy(dates.day_key(c("ts")).alias("day"), dates.month_key(c("ts")).alias("month")).agg(F.count("*").alias("n"))
+
+
+def _postings(t: Tables) -> DataFrame:
+    """Orders as postings, for the reports; what orders lack is dealt by their key."""
+    key = c("o_orderkey")
+
+    def dealt(n: int, *values: str | None):
+        out = F.when(key % n == 0, F.lit(values[0]))
+        for i, v in enumerate(values[1:], 1):
+            out = out.when(key % n == i, F.lit(v))
+        return out
+
+    rows = t.placed(t.tagged())
+    return rows.select(
+        key.cast("string").alias("id"), F.concat_ws(" ", "o_orderpriority", "c_mktsegment").alias("title"), c("c_mktsegment").alias("department"), c("o_orderpriority").alias("profession"), c("c_mktsegment").alias("discipline"),
+        dealt(3, "People Manager", "Individual Contributor", None).alias("roleType"), F.lit("Full-Time").alias("employmentType"), dealt(4, "Senior", "Principal", "Manager", "Mid / Unspecified").alias("seniority"),
+        dealt(5, "engineer", "sales", "architect", "csam", None).alias("archetype"), dealt(3, "3 days / week in-office", "Up to 100% remote", None).alias("workSite"), F.lit(None).cast("string").alias("workLocationOption"),
+        dealt(4, "0-25%", "25-50%", None, "50-75%").alias("travel"), F.when(key % 6 != 0, c("n_name")).alias("org"), F.when(key % 6 != 0, c("r_name")).alias("parent"), dealt(2, "department", "self").alias("orgSource"),
+        F.array(F.concat_ws(", ", "r_name", "n_name")).alias("locations"), F.array(F.lit("")).alias("countryCodes"), c("tags").alias("themes"), F.array("c_mktsegment").alias("industries"), F.array().cast("array<string>").alias("products"),
+        F.array().cast("array<string>").alias("solutionAreas"), F.when(key % 8 == 0, F.array(F.lit("agentic"))).otherwise(F.array().cast("array<string>")).alias("initiatives"), F.concat("tags", F.when(key % 10 == 0, F.array(F.lit("any_lang"))).otherwise(F.array().cast("array<string>"))).alias("skills"),
+        F.when(c("o_orderstatus") == "F", "closed").otherwise("open").alias("status"), F.unix_seconds(c("o_orderdate").cast("timestamp")).alias("creationTs"), F.when(key % 7 != 0, (key % 12).cast("int")).alias("requiredYears"),
+        dealt(4, "Bachelor's", "Master's", "PhD", None).alias("degree"), (key % 9 != 0).alias("hasQualifications"), F.when(c("o_orderstatus") == "F", key % 40).alias("daysOpen"), F.lit("").alias("url"),
+        F.when(key % 5 == 0, F.lit("works with Europe teams")).alias("descriptionHtml"),
+    )
+
+
+def _now():
+    return F.to_timestamp(F.lit("2001-08-01"))
+
+
+_BOOK = f"""{_KEYS}, {_PLACED}, book as (select o_orderkey as id, o_orderpriority as profession, c_mktsegment as discipline, case o_orderkey % 3 when 0 then 'People Manager' when 1 then 'Individual Contributor' end as role,
+    case o_orderkey % 4 when 0 then 'Senior' when 1 then 'Principal' when 2 then 'Manager' else 'Mid / Unspecified' end as seniority, case o_orderkey % 5 when 0 then 'engineer' when 1 then 'sales' when 2 then 'architect' when 3 then 'csam' else 'other' end as archetype,
+    case o_orderkey % 3 when 0 then '3 days / week in-office' when 1 then 'Up to 100% remote' end as site, case o_orderkey % 4 when 0 then '0-25%' when 1 then '25-50%' when 3 then '50-75%' end as travel,
+    case when o_orderkey % 6 <> 0 then n_name end as org, case when o_orderkey % 6 <> 0 then r_name end as parent, case o_orderkey % 2 when 0 then 'department' else 'self' end as source, r_name as city, n_name as country, o_orderdate as posted, o_orderstatus = 'F' as closed,
+    case when o_orderkey % 7 <> 0 then o_orderkey % 12 end as years, case o_orderkey % 4 when 0 then 'Bachelor''s' when 1 then 'Master''s' when 2 then 'PhD' end as degree, o_orderkey % 9 <> 0 as asks, o_orderkey % 40 as days_open from placed),
+    o as (select * from book where not closed), k as (select o.*, key from o join keys using (id))"""
+
+
+@query(
+    f"""with {_BOOK}, age as (select date_diff('day', posted, timestamp '2001-08-01') as d from o), tw as (select id, unnest(list_distinct(string_split_regex(lower(profession || ' ' || discipline), '[^a-z0-9+#.]+'))) as w from o)
+    select 'meta' as section, 'open' as key, count(*)::bigint as n from o union all select 'meta', 'closed', count(*) from book where closed union all select 'meta', 'tracked', count(*) from book
+    union all select 'meta', 'multiLocation', 0 union all select 'meta', 'remoteEligible', count(*) from o where site like '%remote%' union all select 'meta', 'untagged', count(*) from o where id not in (select id from keys)
+    union all select 'meta', 'orgIdentified', count(org) from o union all select 'meta', 'orgFrom_department', count(org) from o where source = 'department' union all select 'meta', 'orgFrom_profession', 0 union all select 'meta', 'orgFrom_self', count(org) from o where source = 'self'
+    union all select 'meta', 'aged', count(*) from o union all select 'meta', 'ageDays', sum(d)::bigint from age union all select 'meta', 'medianDaysToClose', quantile_disc(days_open, 0.5 order by days_open desc)::bigint from book where closed
+    union all select 'profession', profession, count(*) from o group by 2 union all select 'discipline', discipline, count(*) from o group by 2 union all select 'department', discipline, count(*) from o group by 2
+    union all select 'roleType', coalesce(role, 'Unspecified'), count(*) from o group by 2 union all select 'employmentType', 'Full-Time', count(*) from o union all select 'seniority', seniority, count(*) from o group by 2
+    union all select 'workSite', coalesce(site, 'Unspecified'), count(*) from o group by 2 union all select 'travel', coalesce(travel, 'Unspecified'), count(*) from o group by 2 union all select 'archetype', archetype, count(*) from o group by 2
+    union all select 'org', coalesce(org, 'not_stated'), count(*) from o group by 2 union all select 'division', coalesce(parent, 'not_stated'), count(*) from o group by 2
+    union all select 'country', country, count(*) from o group by 2 union all select 'city', city || ', ' || country, count(*) from o group by 2 union all select 'theme', key, count(*) from k group by 2 union all select 'industry', discipline, count(*) from o group by 2
+    union all select 'initiative', 'agentic', count(*) from o where id % 8 = 0 having count(*) > 0 union all select 'titleWord', w, count(*) from tw where length(w) >= 3 and w not in {tables.TITLE_WORDS} group by 2
+    union all select 'age', case when d <= 7 then '0-7 days' when d <= 30 then '8-30 days' when d <= 60 then '31-60 days' when d <= 90 then '61-90 days' when d <= 180 then '91-180 days' else '180+ days' end, count(*) from age group by 2"""
+)
+def report_overview(t: Tables) -> DataFrame:
+    found = reports.overview(_postings(t), _now())
+    return found["meta"].select(F.lit("meta").alias("section"), "key", "n").unionByName(found["breakdowns"].withColumnRenamed("dim", "section"))
+
+
+@query(
+    f"""with {_BOOK}, cells as (select profession as row, coalesce(role, 'Unspecified') as col, count(*) as n from o group by 1, 2), p as (select x.key as a, y.key as b, count(*) as n from k x join k y on x.id = y.id and x.key < y.key group by 1, 2 order by n desc, a, b limit 15),
+    m as (select strftime(posted, '%Y-%m') as month, key from k), g as (select distinct month from (select strftime(posted, '%Y-%m') as month from o) order by month desc limit 12), top as (select key, count(*) as s from m semi join g using (month) group by 1 order by s desc, key limit 8)
+    select 'pair' as section, a || '|' || b as key, n::bigint as n from p
+    union all select 'cross', r.row || '|' || q.col, coalesce(cells.n, 0)::bigint from (select row from cells group by 1 order by sum(n) desc, row limit 12) r cross join (values ('Individual Contributor'), ('People Manager'), ('Unspecified')) q(col) left join cells on cells.row = r.row and cells.col = q.col
+    union all select 'day', strftime(d.day, '%Y-%m-%d'), (select count(*) from o where posted::date = d.day)::bigint from (select unnest(generate_series(max(posted::date) - 179, max(posted::date), interval 1 day))::date as day from o) d
+    union all select 'month', top.key || '|' || g.month, (select count(*) from m where m.key = top.key and m.month = g.month)::bigint from top cross join g"""
+)
+def report_overview_tables(t: Tables) -> DataFrame:
+    found = reports.overview(_postings(t), _now())
+
+    def of(section: str, df: DataFrame, *key) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.concat_ws("|", *key).alias("key"), "n")
+
+    cross = found["crosstabs"].where("dim = 'profession by roleType'")
+    months = found["timeline"].where("dim = 'theme'")
+    return of("pair", found["themePairs"], "a", "b").unionByName(of("cross", cross, "row", "col")).unionByName(of("day", found["trend"], dates.day_key(c("day")))).unionByName(of("month", months, "key", "month"))
+
+
+@query(
+    f"""with {_BOOK}, s as (select * from o where asks), sk as (select s.*, key from s join keys using (id)), bands as (select *, case seniority when 'Senior' then 'senior' when 'Principal' then 'principal' when 'Manager' then 'manager' else 'mid' end as band from s),
+    kc as (select distinct id, case when key in ('PROMO', 'ECONOMY') then 'cheap' else 'sized' end as kind from sk where key <> 'STANDARD'), r as (select *, posted >= timestamp '2001-08-01' - interval 90 day as recent from sk)
+    select 'coverage' as section, 'open' as key, count(*)::bigint as n, null::double as value from o union all select 'coverage', 'n', count(*), null from s union all select 'breadth', 'keys', count(*), null from sk
+    union all select 'skill', key, count(*), count(*)::double / (select count(*) from s) from sk group by 2 union all select 'category', kind, count(*), count(*)::double / (select count(*) from s) from kc group by 2
+    union all select 'openList', 'any_lang', count(*), count(*)::double / (select count(*) from s) from s where id % 10 = 0 having count(*) > 0
+    union all select 'years', case when years <= 1 then '0-1 years' when years <= 3 then '2-3 years' when years <= 5 then '4-5 years' when years <= 8 then '6-8 years' else '9+ years' end, count(*), null from s where years is not null group by 2
+    union all select 'band', band, count(*), median(years)::double from bands where years is not null group by 2 having count(*) >= 5 union all select 'degree', coalesce(degree, 'Not stated'), count(*), null from s group by 2
+    union all select 'demand', key, count(*) filter (recent), coalesce((count(*) filter (recent) * (select count(distinct id) from r))::double / nullif((select count(distinct id) from r where recent) * count(*), 0)::double, 0) from r group by 2 having count(*) >= 12
+    union all select 'gradient', kind || '|' || band, count(*), count(*)::double / (select count(*) from bands b where b.band = bands.band) from kc join bands using (id) group by kind, band"""
+)
+def report_requirements(t: Tables) -> DataFrame:
+    found = reports.requirements(_postings(t), _now(), _CATEGORY)
+
+    def of(section: str, df: DataFrame, key, n, value=None) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), key.alias("key"), n.cast("long").alias("n"), (F.lit(None) if value is None else value).cast("double").alias("value"))
+
+    key, n, share = c("key"), c("n"), c("share")
+    parts = [of("coverage", found["coverage"], F.lit("open"), c("open")), of("coverage", found["coverage"], F.lit("n"), n), of("breadth", found["breadth"], F.lit("keys"), c("keys"))]
+    parts += [of("skill", found["skills"], key, n, share), of("category", found["categories"], key, n, share), of("openList", found["openList"], key, n, share), of("years", found["years"], c("bucket"), n), of("band", found["bands"], key, n, c("median"))]
+    parts += [of("degree", found["degrees"], key, n), of("demand", found["demand"], key, c("recent"), c("index")), of("gradient", found["gradient"], F.concat_ws("|", "key", "band"), n, share)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_COHORT = "('FRANCE', 'GERMANY', 'NATION_3', 'NATION_7')"
+
+
+@query(
+    f"""with {_BOOK}, w as (select *, coalesce(org in (select n_name from nation where n_regionkey = 3), false) as inside from o)
+    select 'archetype' as section, archetype as key, count(*) filter (inside)::bigint as n, count(*) filter (not inside)::bigint as rest_n from w group by 2 having count(*) filter (inside) >= 1
+    union all select 'seniority', seniority, count(*) filter (inside), count(*) filter (not inside) from w group by 2 having count(*) filter (inside) >= 1
+    union all select 'theme', key, count(*) filter (inside), count(*) filter (not inside) from w join keys using (id) group by 2 having count(*) filter (inside) >= 3
+    union all select 'country', country, count(*) filter (inside), count(*) filter (not inside) from w group by 2 having count(*) filter (inside) >= 1
+    union all select 'travel', coalesce(travel, 'Unspecified'), count(*) filter (inside), count(*) filter (not inside) from w group by 2 having count(*) filter (inside) >= 1
+    union all select 'newness', d::varchar, count(*) filter (inside and posted >= timestamp '2001-08-01' - d * interval 1 day), count(*) filter (not inside and posted >= timestamp '2001-08-01' - d * interval 1 day) from w cross join (values (30), (60), (90)) v(d) group by d
+    union all select 'shape', 'delivery', count(*) filter (archetype in ('engineer', 'architect')), count(*) filter (archetype in ('sales', 'csam')) from w where inside
+    union all select 'surface', 'mentions', count(*), 0 from w where not inside and id % 5 = 0
+    union all select 'managers', case when inside then 'cohort' else coalesce(parent, 'none') end, count(*) filter (role = 'People Manager'), count(role) from w group by 2
+    union all select 'travels', case when inside then 'cohort' else coalesce(parent, 'none') end, count(*) filter (travel in ('25-50%', '50-75%')), count(travel) from w group by 2"""
+)
+def report_cohort(t: Tables) -> DataFrame:
+    members = [r.n_name for r in t.nation.where("n_regionkey = 3").select("n_name").collect()]  # a lookup table of nations
+    found = reports.cohort(_postings(t), members, _now(), "europe")
+
+    def of(section, df: DataFrame, key, n, rest) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"), rest.cast("long").alias("rest_n"))
+
+    compared = found["compared"].where(c("dim").isin("archetype", "seniority", "theme", "country", "travel")).select(c("dim").alias("section"), "key", "n", "rest_n")
+    sizes = t.spark.createDataFrame([("managers", "manager"), ("travels", "travel")], "section string, measure string")
+    rows = _postings(t).where("status = 'open'").select(F.when(cohorts.inside(c("org"), members), "cohort").otherwise(F.coalesce("parent", F.lit("none"))).alias("key"), "roleType", "travel").groupBy("key").agg(F.count("roleType").alias("manager"), F.count("travel").alias("travel"))
+    given = rows.select("key", F.explode(F.array(F.struct(F.lit("manager").alias("measure"), c("manager").alias("given")), F.struct(F.lit("travel").alias("measure"), c("travel").alias("given")))).alias("x")).select("key", "x.*")
+    profile = found["profile"].select("key", F.explode(F.array(F.struct(F.lit("manager").alias("measure"), c("manager").alias("share")), F.struct(F.lit("travel").alias("measure"), c("travel").alias("share")))).alias("x")).select("key", "x.*")
+    shares = profile.join(given, ["key", "measure"]).join(sizes, "measure").select("section", "key", F.round(c("share") * c("given")).cast("long").alias("n"), c("given").alias("rest_n"))
+    shape = of("shape", found["shape"], F.lit("delivery"), c("delivery"), c("demand"))
+    return compared.unionByName(of("newness", found["newness"], c("days"), c("recent"), c("rest_recent"))).unionByName(shape).unionByName(of("surface", found["surface"], F.lit("mentions"), c("n"), F.lit(0))).unionByName(shares)
+
+
+@query(
+    f"""with {_BOOK}, w as (select count(*)::bigint as n, count(*) filter (seniority = 'Manager')::bigint as leadership, count(*) filter (role = 'People Manager')::bigint as managers, count(*) filter (role = 'Individual Contributor')::bigint as contributors,
+    count(*) filter (site like '3 days%')::bigint as office, count(*) filter (site like '%remote%')::bigint as remote, count(site)::bigint as site_stated, count(*) filter (posted >= timestamp '2001-08-01' - interval 30 day)::bigint as posted30,
+    (select count(distinct id) from k where key in ('PROMO', 'ECONOMY'))::bigint as together from o) select *, null::double as build_to_sell from w"""
+)
+def report_brief(t: Tables) -> DataFrame:
+    kpis = reports.brief(_postings(t), _now(), None, ("PROMO", "ECONOMY"))["kpis"]
+    return kpis.select("n", "leadership", "managers", "contributors", "office", "remote", "site_stated", "posted30", "together", "build_to_sell")
+
+
+@query(
+    f"""with {_BOOK}, s as (select key, count(*) as total, count(*) filter (posted >= timestamp '2001-08-01' - interval 30 day) as recent from k group by 1 having count(*) >= 25), d as (select count(distinct id) as all_n, count(distinct id) filter (posted >= timestamp '2001-08-01' - interval 30 day) as recent_n from k)
+    select key, total::bigint as total, recent::bigint as recent, coalesce((recent * all_n)::double / nullif(recent_n * total, 0)::double, 0) as index from s cross join d"""
+)
+def report_brief_skew(t: Tables) -> DataFrame:
+    return reports.brief(_postings(t), _now())["skew"].where("dim = 'theme'").select("key", "total", "recent", "index")
+
+
+_RUNS = """select r.run, o_orderkey as id, case o_orderkey % 3 when 0 then 'added' when 1 then 'removed' else 'updated' end as kind, o_orderpriority as title from orders join (values (1), (2), (3)) r(run) on o_orderkey % 4 = r.run"""
+
+
+def _run_changes(t: Tables) -> DataFrame:
+    key = c("o_orderkey")
+    return t.orders.where(key % 4 != 0).select((key % 4).cast("int").alias("run"), key.alias("id"), F.when(key % 3 == 0, "added").when(key % 3 == 1, "removed").otherwise("updated").alias("kind"), c("o_orderpriority").alias("title"))
+
+
+@query(
+    f"""with x as ({_RUNS}), f as (select *, row_number() over (partition by run, kind order by id) as k from x)
+    select run::int as run, count(*) filter (kind = 'added')::bigint as added, count(*) filter (kind = 'removed')::bigint as removed, count(*) filter (kind = 'updated')::bigint as updated,
+    string_agg(title, '; ' order by id) filter (kind = 'added' and k <= 8) as opened, string_agg(title, '; ' order by id) filter (kind = 'removed' and k <= 6) as closed from f group by 1"""
+)
+def report_change_log(t: Tables) -> DataFrame:
+    return reports.change_log(_run_changes(t)).withColumns({"opened": F.array_join("opened", "; "), "closed": F.array_join("closed", "; ")})
+
+
+@query(f"with x as ({_RUNS}), f as (select *, row_number() over (partition by run, kind order by id) as k from x where run >= 2) select run::int as run, id, kind from f where k <= 40")
+def retention(t: Tables) -> DataFrame:
+    return series.recent_changes(_run_changes(t), "run", "id", 2, 40).select("run", "id", "kind")
+
+
+@query("select count(*) filter (kind = 'added')::bigint as added, count(*) filter (kind = 'removed')::bigint as removed, count(*) filter (kind = 'updated')::bigint as updated, (select count(*) from orders where o_orderstatus <> 'F')::bigint as open, (select count(*) from orders where o_orderstatus <> 'F' and o_orderkey % 5 <> 0)::bigint as missing_detail, (select count(*) from events where event_type = (select min(event_type) from events))::bigint as search_errors, 0::bigint as detail_errors, 0::bigint as blocked_errors from (" + _RUNS + ")")
+def run_summary(t: Tables) -> DataFrame:
+    state = t.orders.select(F.when(c("o_orderstatus") == "F", "closed").otherwise("open").alias("status"), F.when(c("o_orderkey") % 5 == 0, True).alias("has_detail"))
+    first = t.events.agg(F.min("event_type").alias("first"))
+    errors = t.events.join(first, c("event_type") == c("first"), "left").select(F.when(c("first").isNotNull(), "search").otherwise("other").alias("kind"))
+    return changes.run_summary(_run_changes(t), state, errors)
+
+
+@query("with x as (select coalesce(p_size > 10, false) as inside, o_orderdate from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey), w as (select inside, o_orderdate >= (select max(o_orderdate) from orders) - interval 60 day as recent from x), s as (select count(*) filter (inside) as n, count(*) filter (not inside) as rest_n, count(*) filter (inside and recent) as recent, count(*) filter (not inside and recent) as rest_recent from w) select n::bigint as n, rest_n::bigint as rest_n, recent::bigint as recent, rest_recent::bigint as rest_recent, recent::double / n as share, rest_recent::double / rest_n as rest_share, (recent::double / n) / nullif(rest_recent::double / rest_n, 0) as growth from s")
+def newness(t: Tables) -> DataFrame:
+    rows = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).join(t.orders, c("l_orderkey") == c("o_orderkey"))
+    return series.newness(rows, c("o_orderdate"), c("p_size") > 10, t.as_of())
+
+
+@query("select count(*)::bigint as n, sum(date_diff('day', o_orderdate::date, (select max(o_orderdate) from orders)::date))::bigint as days, sum(date_diff('day', o_orderdate::date, (select max(o_orderdate) from orders)::date))::double / count(*) as mean from orders")
+def mean_age(t: Tables) -> DataFrame:
+    return ranking.mean_age(t.orders, c("o_orderdate"), t.as_of())
+
+
+@query("select count(*)::bigint as n from orders where o_orderpriority ilike '%urgent%' or o_orderstatus ilike 'p%'")
+def regex_rows(t: Tables) -> DataFrame:
+    return ranking.matching(t.orders, r"\burgent\b|^p$", "o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("select count(*)::bigint as n from part where coalesce(p_brand <> (select min(p_brand) from part), true) and (lower(p_name) like '%red%' or lower(p_type) like '%promo%')")
+def mentions_outside(t: Tables) -> DataFrame:
+    first = t.part.agg(F.min("p_brand").alias("first"))
+    return cohorts.mentions(t.part.crossJoin(F.broadcast(first)), F.coalesce(c("p_brand") == c("first"), F.lit(False)), "red|promo", "p_name", "p_type").agg(F.count("*").alias("n"))
+
+
+@query("with x as (select o_orderpriority as row, o_orderstatus as col, count(*) as n from orders group by 1, 2), y as (select * from x union all select 'nothing', 'F', 0 union all select row, 'nothing', 0 from x) select row, col, n::bigint as n from y where row <> 'nothing' and col <> 'nothing'")
+def nonzero_cells(t: Tables) -> DataFrame:
+    cells = t.orders.groupBy(c("o_orderpriority").alias("row"), c("o_orderstatus").alias("col")).agg(F.count("*").alias("n"))
+    zeros = t.spark.createDataFrame([("nothing", "F", 0)], "row string, col string, n long").unionByName(cells.select("row", F.lit("nothing").alias("col"), F.lit(0).cast("long").alias("n")))
+    return ranking.without_zeros(cells.unionByName(zeros))
+
+
+@query("with x as (select o_orderpriority as row, o_orderstatus as col, count(*) as n from orders group by 1, 2) select row, col, n::bigint as n, n::double / max(n) over (partition by col) as part from x")
+def column_max(t: Tables) -> DataFrame:
+    return ranking.by_column_max(t.orders.groupBy(c("o_orderpriority").alias("row"), c("o_orderstatus").alias("col")).agg(F.count("*").alias("n")))
+
+
+@query(f"with x as ({_recency_sql(90)}) (select 'rising' as kind, key, index from x where index >= 1.0 order by index desc, key limit 5) union all (select 'cooling', key, index from x where index <= 1.0 and index > 0 order by index, key limit 4)")
+def rising_cooling(t: Tables) -> DataFrame:
+    index = series.recency(t.tagged(), c("o_orderdate"), c("tags"), t.as_of(), 90)
+    return series.rising(index, 1.0).select(F.lit("rising").alias("kind"), "key", "index").unionByName(series.cooling(index, 1.0).select(F.lit("cooling").alias("kind"), "key", "index"))
+
+
+@query(
+    f"""with {_MONTHLY}, p as (select key, sum(n) filter (ordinal <= 3)::bigint as recent, sum(n) filter (ordinal between 4 and 6)::bigint as prior from series group by 1), s as (select sum(recent) as r, sum(prior) as q from p)
+    select key, recent::double / r - prior::double / q as delta from p cross join s order by abs(recent::double / r - prior::double / q) desc, key limit 3"""
+)
+def most_changed(t: Tables) -> DataFrame:
+    return series.most_changed(series.share_shift(_monthly(t)), 3).select("key", "delta")
+
+
+@query("select distinct c_mktsegment as value, 'segment' as facet from customer where coalesce(c_mktsegment, '') <> '' union all select distinct p_type, 'tag' from lineitem join part on l_partkey = p_partkey where coalesce(p_type, '') <> ''")
+def facet_values(t: Tables) -> DataFrame:
+    one, many = browse.facet_values(t.customer, "c_mktsegment"), browse.facet_values(t.tagged(), "tags", True)
+    return one.withColumn("facet", F.lit("segment")).unionByName(many.withColumn("facet", F.lit("tag")))
+
+
+@query("with d as (select strftime(o_orderdate, '%Y-%m-%d') as date, o_orderstatus as key, count(*) as n from orders group by 1, 2) select date, string_agg(key || '=' || n, ',' order by key) as statuses from d group by 1")
+def history_maps(t: Tables) -> DataFrame:
+    long = series.history(t.orders, dates.day_key(c("o_orderdate")), {"status": c("o_orderstatus")})
+    maps = series.as_maps(long, ["status"])
+    pairs = F.transform(F.array_sort(F.map_entries("status")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return maps.select("date", F.array_join(pairs, ",").alias("statuses"))
+
+
+@query(f"with {_SNAPSHOTS} select id, priority from b where id not in (select id from a where status = 'open')")
+def additions(t: Tables) -> DataFrame:
+    return changes.additions(*_snapshots(t), "id").select("id", "priority")
+
+
+@query("with x as (select o_orderkey as id, o_orderkey % 3 <> 0 as known, o_orderkey % 2 = 0 as has, o_orderkey % 5 = 0 as moved, o_orderkey % 7 = 0 as old from orders) select id, (known and has) as had_detail from x where not (known and has) or moved or old order by (known and has), id limit 500")
+def stale_details(t: Tables) -> DataFrame:
+    key = c("o_orderkey")
+    now = F.to_timestamp(F.lit("2001-08-01"))
+    live = t.orders.select(key.alias("id"), F.lit(1).alias("posted"))
+    fetched = F.when(key % 7 == 0, now - F.make_dt_interval(F.lit(15))).otherwise(now)
+    state = t.orders.where(key % 3 != 0).select(key.alias("id"), F.when(key % 5 == 0, 2).otherwise(1).alias("posted"), (key % 2 == 0).alias("has_detail"), fetched.alias("fetched"))
+    return changes.stale(live, state, "id", now, budget=500).select("id", "had_detail")
+
+
+@query("select o_orderkey as id, o_orderkey % 2 = 0 as listed from orders where o_orderkey % 3 = 0")
+def failed_details(t: Tables) -> DataFrame:
+    key = c("o_orderkey")
+    return changes.gone_or_failed(t.orders.where(key % 3 == 0).select(key.alias("id")), t.orders.where(key % 2 == 0).select(key.alias("id")), "id")
+
+
+@query("select strftime(o_orderdate, '%Y-%m-%d') as date, case when o_orderkey % 2 = 0 then 'new' else 'old' end as kind, count(*)::bigint as n from orders where o_orderkey % 2 = 0 or strftime(o_orderdate, '%Y-%m-%d') not in (select strftime(o_orderdate, '%Y-%m-%d') from orders where o_orderkey % 2 = 0) group by 1, 2")
+def history_upsert(t: Tables) -> DataFrame:
+    days = t.orders.groupBy(dates.day_key(c("o_orderdate")).alias("date"), F.when(c("o_orderkey") % 2 == 0, "new").otherwise("old").alias("kind")).agg(F.count("*").alias("n"))
+    return changes.upsert(days.where("kind = 'old'"), days.where("kind = 'new'"), ["date"])
+
+
+@query("select case when n_regionkey % 2 = 0 then 'Not stated' else 'Bachelor''s' end as key, count(*)::bigint as n from nation group by 1")
+def degree_distribution(t: Tables) -> DataFrame:
+    return ranking.in_order(ranking.tally(t.nation, F.when(c("n_regionkey") % 2 == 1, "Bachelor's").otherwise("Not stated")), tables.DEGREE_ORDER)
+
+
+@query("select o_orderpriority as key, count(*) filter (o_orderstatus = 'O')::bigint as a, count(*) filter (o_orderstatus = 'X')::bigint as b, count(*) filter (o_orderstatus = 'O')::double / nullif(count(*) filter (o_orderstatus = 'F'), 0) as ratio, null::double as none from orders group by 1")
+def ratio_kpis(t: Tables) -> DataFrame:
+    found = t.orders.groupBy(c("o_orderpriority").alias("key")).agg(F.count_if(c("o_orderstatus") == "O").alias("a"), F.count_if(c("o_orderstatus") == "X").alias("b"), F.count_if(c("o_orderstatus") == "F").alias("f"))
+    return found.select("key", "a", "b", quotient(c("a"), c("f")).alias("ratio"), quotient(c("a"), c("b")).alias("none"))

@@ -33,3 +33,14 @@ def ratio(a: Column, b: Column, digits: int = 2) -> Column:
 def quotient(a: Column, b: Column) -> Column:
     """Not rounded; null if b is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def counted(n: Column, one: str, many: str | None = None) -> Column:
+    """A number with thousands separators, and the word for one or for many."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many or one + "s"))
+
+
+def lift_note(index: Column) -> Column:
+    """How many times as often; whole numbers from ten on."""
+    figure = F.when(index >= 10, F.format_number(F.floor(index + 0.5), 0)).otherwise(F.format_number(to_fixed(index, 1), 1))
+    return F.when(index.isNull(), "only in this cohort").otherwise(F.concat(figure, F.lit("×")))

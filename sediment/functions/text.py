@@ -148,3 +148,8 @@ def city_label(city: Column, country: Column) -> Column:
 def short_label(label: Column) -> Column:
     """Without the first acronym in brackets."""
     return F.regexp_replace(label, r"^(.*?)\s*\([A-Z&+]{2,6}\)", "$1")
+
+
+def short_unit(label: Column) -> Column:
+    """Without any acronym in brackets at the end."""
+    return F.regexp_replace(label, r"\s*\([^)]*\)\s*\z", "")

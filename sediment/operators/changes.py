@@ -15,7 +15,7 @@ def latest(rows: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
 def latest_struct(rows: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     """latest() as an aggregation, which combines before the shuffle; rows of a key may be very many."""
     others = [c for c in rows.columns if c not in key and c not in by]
-    top = rows.groupBy(*key).agg(F.max(F.struct(*by, *others)).alias("_top"))
+    top = rows.groupBy(*key).agg(F.max_by(F.struct(*by, *others), F.struct(*by)).alias("_top"))
     return top.select(*key, "_top.*").select(*rows.columns)
 
 
@@ -92,3 +92,12 @@ def gone_or_failed(failed: DataFrame, live: DataFrame, key: str) -> DataFrame:
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """rows, and what table has of other keys."""
     return table.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def run_summary(found: DataFrame, state: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row on a run: counts of each kind of change (found: diff()), open rows without a detail in the new state (status, has_detail), and errors by kind (kind)."""
+    kinds = found.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "updated")))
+    is_open = F.col("status") == "open"
+    rows = state.agg(F.count_if(is_open).alias("open"), F.count_if(is_open & ~F.coalesce("has_detail", F.lit(False))).alias("missing_detail"))
+    failed = errors.agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_errors") for k in ("search", "detail", "blocked")))
+    return kinds.crossJoin(rows).crossJoin(failed)

@@ -21,7 +21,7 @@ def skills(strong: Column, qualifications: Column) -> Column:
     return F.when(qualifications != "", hits(F.concat_ws("\n", strong, qualifications), F.concat_ws("\n", strong, trimmed))).otherwise(F.array().cast("array<string>"))
 
 
-def classified(postings: DataFrame, themes: dict[str, list[str]], industries: dict[str, list[str]]) -> DataFrame:
+def classified(postings: DataFrame, themes: dict[str, list[str]] = tables.THEMES, industries: dict[str, list[str]] = tables.INDUSTRIES) -> DataFrame:
     """postings with seniority, archetype, themes, industries, products, unit, solution areas, initiatives, skills, years, degree, overview and fingerprint.
 
     Texts are put in columns of their own first, so that each is made once.
@@ -62,6 +62,32 @@ def function(profession: Column) -> Column:
     return rules.first_match(profession, tables.FUNCTIONS, "other")
 
 
+def is_delivery(archetype: Column) -> Column:
+    return archetype.isin(*tables.DELIVERY)
+
+
+def is_demand(archetype: Column) -> Column:
+    return archetype.isin(*tables.DEMAND)
+
+
+def is_consulting(archetype: Column) -> Column:
+    return archetype.isin(*tables.CONSULTING)
+
+
+def is_senior(seniority: Column) -> Column:
+    """Senior as an individual contributor."""
+    return seniority.isin(*tables.SENIOR_PLUS)
+
+
+def is_leader(seniority: Column) -> Column:
+    return seniority.isin(*tables.LEADERSHIP)
+
+
+def asks_for_ai(skills: Column) -> Column:
+    """Whether one of the skills is of the stack of language models."""
+    return F.arrays_overlap(F.coalesce(skills, F.array().cast("array<string>")), F.array(*map(F.lit, tables.AI_STACK)))
+
+
 def parent(unit: Column) -> Column:
     """The division of a unit."""
     return rules.lookup(unit, {u: p for u, p, _, _ in tables.UNITS})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions.numbers import pct, quotient, ratio
 from sediment.functions.text import terms
+from sediment.operators.ranking import matching
 
 
 def inside(key: Column, members: list[str]) -> Column:
@@ -29,6 +30,11 @@ def published(compared: DataFrame) -> DataFrame:
     return compared.select("key", "n", share.alias("share"), rest.alias("rest_share"), F.when(rest != 0, ratio(share, rest)).alias("index"))
 
 
+def mentions(rows: DataFrame, cohort: Column, pattern: str, *columns: str) -> DataFrame:
+    """Rows outside the cohort whose texts speak of it."""
+    return matching(rows.where(~cohort), pattern, *columns)
+
+
 def term_counts(texts: DataFrame, cohort: Column, text: Column) -> DataFrame:
     """(term, n, rest_n): documents with each word or pair of words."""
     marked = texts.select(cohort.alias("inside"), F.explode(terms(text)).alias("term"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sediment.functions.dates import age_days
 from sediment.functions.numbers import quotient
+from sediment.functions.patterns import java
 
 UNSPECIFIED = "Unspecified"
 
@@ -129,5 +133,30 @@ def category_tally(rows: DataFrame, keys: Column, category: dict[str, str]) -> D
 
 
 def labelled(counts: DataFrame, dimension: DataFrame, key: str = "key") -> DataFrame:
-    """Adds the label of a dimension (key, label), which is a lookup table and so broadcast; without one the key itself."""
-    return counts.join(F.broadcast(dimension.select(F.col(key), "label")), key, "left").withColumn("label", F.coalesce("label", key))
+    """Adds the label of a dimension (key, label); without one the key itself. Spark broadcasts whichever side is small enough by its own bound."""
+    return counts.join(dimension.select(F.col(key), "label"), key, "left").withColumn("label", F.coalesce("label", key))
+
+
+def matching(rows: DataFrame, pattern: str, *columns: str) -> DataFrame:
+    """Rows in which a pattern is found in one of these columns, whatever its case; nulls hold nothing."""
+    tests = [F.coalesce(F.col(c).rlike(java(pattern)), F.lit(False)) for c in columns]
+    return rows.where(reduce(lambda a, b: a | b, tests))
+
+
+def without_zeros(cells: DataFrame, row: str = "row", col: str = "col", n: str = "n") -> DataFrame:
+    """Cells of a cross table without the rows and columns that are zero throughout."""
+    rows = cells.groupBy(row).agg(F.sum(n).alias("_t")).where("_t <> 0").select(row)
+    cols = cells.groupBy(col).agg(F.sum(n).alias("_t")).where("_t <> 0").select(col)
+    return cells.join(rows, row, "left_semi").join(cols, col, "left_semi").select(*cells.columns)
+
+
+def by_column_max(cells: DataFrame, col: str = "col", n: str = "n") -> DataFrame:
+    """Adds each cell's part of its column's greatest (0 where that is 0)."""
+    top = cells.groupBy(F.col(col).alias("_c")).agg(F.max(n).alias("_m"))
+    return cells.join(top, F.col(col) == F.col("_c")).withColumn("part", F.coalesce(quotient(F.col(n), F.col("_m")), F.lit(0.0))).drop("_c", "_m")
+
+
+def mean_age(rows: DataFrame, ts: Column, as_of: DataFrame) -> DataFrame:
+    """One row: rows with a time, the sum of their ages in whole days, and the mean age. as_of: a frame of one row and column."""
+    aged = rows.crossJoin(F.broadcast(as_of.toDF("_now"))).select(age_days(ts, F.col("_now")).alias("age")).where("age is not null")
+    return aged.agg(F.count("*").alias("n"), F.coalesce(F.sum("age"), F.lit(0)).alias("days")).withColumn("mean", quotient(F.col("days"), F.col("n")))

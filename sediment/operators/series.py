@@ -114,3 +114,28 @@ def net_change(days: DataFrame) -> DataFrame:
     """One row of (date, total, added, removed): last total minus first, sums of the others; no change for under two days."""
     found = days.agg(F.count("*").alias("days"), (F.max_by("total", "date") - F.min_by("total", "date")).alias("net"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
     return found.withColumn("net", F.when(F.col("days") >= 2, F.col("net")))
+
+
+def newness(rows: DataFrame, ts: Column, cohort: Column, as_of: DataFrame, days: int = 60) -> DataFrame:
+    """One row: rows of the cohort and of the rest, how many of each are of the last days, their shares, and growth, the ratio of the shares (null if the rest has none)."""
+    marked = rows.crossJoin(F.broadcast(as_of.toDF("_now"))).select(cohort.alias("inside"), F.coalesce(ts >= F.col("_now") - F.make_dt_interval(F.lit(days)), F.lit(False)).alias("recent"))
+    found = marked.agg(F.count_if("inside").alias("n"), F.count_if(~F.col("inside")).alias("rest_n"), F.count_if(F.col("inside") & F.col("recent")).alias("recent"), F.count_if(~F.col("inside") & F.col("recent")).alias("rest_recent"))
+    found = found.withColumns({"share": quotient(F.col("recent"), F.col("n")), "rest_share": quotient(F.col("rest_recent"), F.col("rest_n"))})
+    return found.withColumn("growth", quotient(F.col("share"), F.nullif("rest_share", F.lit(0.0))))
+
+
+def retained(runs: DataFrame, by: str, k: int = 120) -> DataFrame:
+    """The last k runs, the latest first."""
+    return runs.orderBy(F.col(by).desc()).limit(k)
+
+
+def recent_changes(changes: DataFrame, run: str, order: str, runs: int = 5, each: int = 40) -> DataFrame:
+    """Of the last runs the first changes of each kind, in their order."""
+    last = changes.select(run).distinct().orderBy(F.col(run).desc()).limit(runs)
+    place = F.row_number().over(Window.partitionBy(run, "kind").orderBy(order))
+    return changes.join(last, run, "left_semi").withColumn("_k", place).where(F.col("_k") <= each).drop("_k")
+
+
+def stated_points(points: DataFrame, value: str) -> DataFrame:
+    """Points of a line that have a value."""
+    return points.where(F.col(value).isNotNull())

@@ -20,6 +20,22 @@ class Moved(RuntimeError):
     """Another writer has published meanwhile."""
 
 
+#: Files of the state and of what is derived from it.
+FILES = {"postings": "jobs", "changes": "changes", "history": "history", "last_run": "last-run", "stats": "stats", "browse": "jobs.min"}
+
+
+def layout(root: str) -> dict[str, str]:
+    """Where each table and document of a root is."""
+    return {name: f"{root.rstrip('/')}/{file}" for name, file in FILES.items()}
+
+
+def write_derived(root: str, stats: Any, browse: DataFrame) -> None:
+    """What is derived from a state: the document of statistics, and the rows that are browsed, as one new table. root: a folder that all executors share."""
+    places = layout(root)
+    browse.write.mode("overwrite").parquet(places["browse"])
+    write_document(f"{places['stats']}.json", stats)
+
+
 def read_document(path: str, default: Any = None) -> Any:
     """A JSON document; the default only if there is none. A broken one raises."""
     file = Path(path)
@@ -93,7 +109,11 @@ def validate(postings: DataFrame, runs: DataFrame, history: DataFrame) -> None:
 
 
 class Store:
-    """Tables in <root>/v<N>/<name>, and the pointer <root>/current, which names the version that counts."""
+    """Tables in <root>/data-<unique>/<name>, and pointers <root>/current-<N>, each of which holds the name of its version's folder.
+
+    A pointer is written beside and renamed into place, which fails if another writer's is there: that one step both claims the version and
+    publishes it. A writer that dies before leaves a folder that nobody reads.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -108,8 +128,15 @@ class Store:
         names = [s.getPath().getName() for s in self.files.listStatus(self._path(""))] if self.files.exists(self._path("")) else []
         return max([int(n.removeprefix("current-")) for n in names if n.startswith("current-")], default=0)
 
+    def _folder(self, version: int) -> str:
+        found = self.files.open(self._path(f"current-{version}"))
+        try:
+            return bytes(found.readAllBytes()).decode()
+        finally:
+            found.close()
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{version or self.version()}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{self._folder(version or self.version())}/{name}")
 
     def restore(self) -> dict[str, DataFrame]:
         """The tables of the current version, validated before anyone sees them."""
@@ -117,21 +144,47 @@ class Store:
         validate(**found)
         return found
 
-    def publish(self, tables: dict[str, DataFrame], base: int) -> int:
-        """Writes version base + 1 whole, then claims it. Creating the claim fails if anyone else has, and then nothing that is read has changed."""
-        if base != self.version():
-            raise Moved(f"version {self.version()} is current, not {base}")
-        part = f"part-{uuid.uuid4().hex}"
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """A folder with these tables, which no version names yet."""
+        folder = f"data-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{part}/{name}")
+            df.write.parquet(f"{self.root}/{folder}/{name}")
         if {"postings", "runs", "history"} <= tables.keys():
-            validate(*(self.spark.read.parquet(f"{self.root}/{part}/{n}") for n in ("postings", "runs", "history")))
-        claim = self._path(f"claim-{base + 1}")
+            validate(*(self.spark.read.parquet(f"{self.root}/{folder}/{n}") for n in ("postings", "runs", "history")))
+        return folder
+
+    def point(self, version: int, folder: str) -> None:
+        """Makes a folder this version, or raises Moved if the version is another's. Nothing that is read has changed then."""
+        part = self._path(f".{folder}-pointer")
+        out = self.files.create(part, True)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        target = self._path(f"current-{version}")
+        # a local file system's rename would replace an existing file
+        if self.files.exists(target) or not self._claimed(part, target):
+            self.files.delete(part, False)
+            raise Moved(f"version {version} is another's")
+
+    def _claimed(self, part, target) -> bool:
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        none = self.spark.sparkContext._gateway.new_array(options, 1)
+        none[0] = options.NONE
         try:
-            self.files.create(claim, False).close()
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, target, none)
+            return True
         except Exception as error:
-            self.files.delete(self._path(part), True)
-            raise Moved(f"version {base + 1} is another's") from error
-        self.files.rename(self._path(part), self._path(f"v{base + 1}"))
-        self.files.create(self._path(f"current-{base + 1}"), False).close()
+            if "FileAlreadyExists" in str(error) or "already exist" in str(error):
+                return False
+            raise
+
+    def publish(self, tables: dict[str, DataFrame], base: int) -> int:
+        """Writes the tables whole, then points version base + 1 at them. If anyone else has published meanwhile, Moved is raised."""
+        if base != self.version():
+            raise Moved(f"version {self.version()} is current, not {base}")
+        folder = self.write(tables)
+        try:
+            self.point(base + 1, folder)
+        except Moved:
+            self.files.delete(self._path(folder), True)
+            raise
         return base + 1

@@ -15,7 +15,9 @@ from sediment.sources.state import Store
 def capture(store: Store, key: str, fields: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch. A batch's rows of one snapshot time are one snapshot (column snapshot, timestamp); several are applied in their order.
 
-    A snapshot that the change table has already is passed over, so a batch that is run again changes nothing.
+    Changes are appended as a partition of their snapshot, so that their cost doesn't grow with the history; a partition is overwritten whole if a
+    snapshot is applied again. Which snapshots are in the state is told by its latest one, so that a batch that is run again, or one without
+    changes, isn't published twice. A snapshot that is older than the state is passed over.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -25,20 +27,26 @@ def capture(store: Store, key: str, fields: list[str], order: list[str]) -> Call
             base = store.version()
             live = latest_struct(batch.where(F.col("snapshot") == F.lit(at)).drop("snapshot"), [key], order)
             if base:
-                state, log = store.read("state"), store.read("changes")
-                if not log.where(F.col("snapshot") == F.lit(at)).isEmpty():
+                state, seen = store.read("state", base), store.read("snapshots", base)
+                if seen.first()[0] >= at:
                     continue
             else:
                 kinds = {f.name: f.dataType.simpleString() for f in live.schema}
                 state = spark.createDataFrame([], ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", status string, first_seen timestamp, last_seen timestamp, closed_at timestamp, days_open long")
-                log = spark.createDataFrame([], f"snapshot timestamp, `{key}` {kinds[key]}, kind string, changed array<struct<field:string,before:string,after:string>>")
             found = diff(state, live, key, fields).where(F.col("kind").isin("added", "removed", "updated"))
-            log = log.unionByName(found.select(F.lit(at).alias("snapshot"), key, "kind", "changed"))
-            store.publish({"state": next_state(state, live, key, F.lit(at)), "changes": log}, base)
+            found.select(key, "kind", "changed").write.mode("overwrite").parquet(f"{store.root}/changes/snapshot={at.strftime('%Y%m%dT%H%M%S%f')}")
+            store.publish({"state": next_state(state, live, key, F.lit(at)), "snapshots": spark.createDataFrame([(at,)], "snapshot timestamp")}, base)
 
     return run
 
 
+def changes(store: Store) -> DataFrame:
+    """(key, kind, changed, snapshot) of all published snapshots. A partition that a dead writer left behind belongs to a later time than the state, and isn't read."""
+    latest = store.read("snapshots").first()[0].strftime("%Y%m%dT%H%M%S%f")
+    kept = store.spark.read.option("basePath", f"{store.root}/changes").option("inferSchema", "false").parquet(f"{store.root}/changes")
+    return kept.where(F.col("snapshot").cast("string") <= latest)
+
+
 def start(stream: DataFrame, store: Store, key: str, fields: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(capture(store, key, fields, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
