@@ -51,7 +51,7 @@ _RATE = 3
 #: Steps after which the mixture is made anew; before the first so many, after 1, 2, 4, 8.
 _EVERY = 16
 #: The next confidence, by 8 times whether the prediction was right and the last one.
-_CONFIDENCE = np.array([*(max(k - 1, 0) for k in range(8)), *(min(k + 1, 7) for k in range(8))], np.int8)
+_CONFIDENCE = np.array([*(max(k - 1, 0) for k in range(8)), *(min(k + 1, 7) for k in range(8))], np.int32)
 #: States: confidences of order 2 and 1 (8 each), whether they predict the same, levels of both ids (4 each).
 _STATES = 8 * 8 * 2 * 4 * 4
 
@@ -59,8 +59,8 @@ _STATES = 8 * 8 * 2 * 4 * 4
 class _Model:
     def __init__(self, vocab: int):
         self.zero, self.level = np.ones(vocab, np.int64), np.zeros(vocab, np.int8)
-        self.id2, self.conf2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int8)
-        self.id1, self.conf1 = np.zeros(vocab + 1, np.int32), np.zeros(vocab + 1, np.int8)
+        # predicted ids with their confidences in the lowest three bits
+        self.two, self.one = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(vocab + 1, np.int32)
         # of each expert, the axes of the states that it knows
         self.experts = [((1, 3, 4), np.tile(np.array([6, 3, 6], np.int64), (8, 2, 1))), ((0, 3, 4), np.tile(np.array([6, 3, 6], np.int64), (8, 2, 1))), ((0, 1, 2), np.tile(np.array([6, 3, 6], np.int64), (4, 4, 1)))]
         self.weights = [(1 << _WEIGHT) * 5 // 8, (1 << _WEIGHT) * 3 // 8, (1 << _WEIGHT) * 3 // 8]
@@ -100,9 +100,10 @@ class _Model:
         """What orders 1 and 2 say of the next ids. 0 stands for no id, others are moved up by 1."""
         self.at1 = before
         self.at2 = ((before2.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + before.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - _HASH_BITS)).astype(np.int64)
-        self.p2, self.k2, self.p1, self.k1 = self.id2[self.at2], self.conf2[self.at2], self.id1[self.at1], self.conf1[self.at1]
+        self.said2, self.said1 = self.two[self.at2], self.one[self.at1]
+        self.p2, self.k2, self.p1, self.k1 = self.said2 >> 3, self.said2 & 7, self.said1 >> 3, self.said1 & 7
         known = (self.k2 << 4) | (self.k1 << 1) | (self.p1 == self.p2)
-        self.state = (known.astype(np.int64) << 4) | ((self.level[self.p2] << 2) | self.level[self.p1])
+        self.state = ((known << 4) | (self.level[self.p2] << 2) | self.level[self.p1]).astype(np.int64)
 
     def learn(self, ids: np.ndarray, flags: np.ndarray, missed: np.ndarray) -> None:
         self.seen += np.bincount(self.state * 3 + flags, minlength=3 * _STATES)
@@ -112,9 +113,9 @@ class _Model:
         np.add.at(self.zero, missed, 24)
         now = self.zero[missed]
         self.level[missed] = sum((now >= x).view(np.int8) for x in _LEVELS)
-        for table, conf, at, said, k in ((self.id2, self.conf2, self.at2, self.p2, self.k2), (self.id1, self.conf1, self.at1, self.p1, self.k1)):
-            table[at] = np.where(k > 0, said, ids)
-            conf[at] = _CONFIDENCE[((said == ids).view(np.int8) << 3) | k]
+        moved = ids.astype(np.int32) << 3
+        for table, at, said, p, k in ((self.two, self.at2, self.said2, self.p2, self.k2), (self.one, self.at1, self.said1, self.p1, self.k1)):
+            table[at] = np.where(k > 0, said - k, moved) | _CONFIDENCE[((p == ids).view(np.int8) << 3) | k]
 
 
 class _Writer:
@@ -219,7 +220,7 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
             before, before2 = before[:-1], before2[:-1]
         x = grid[t, : len(before)]
         model.predict(before, before2)
-        flags = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
+        flags = (np.int64(2) - (x == model.p1)) * (x != model.p2)
         at = model.state * 3 + flags
         out.put(len(x), model.begins[at], model.sizes[at])
         miss = np.flatnonzero(flags == 2)
@@ -263,8 +264,8 @@ def decode_ids(words: np.ndarray, counts: np.ndarray, n: int, vocab: int) -> np.
 
 def pack_block(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
     """A block of whole documents."""
-    if len(ids) and int(ids.max()) >= vocab:
-        raise ValueError("an id is outside the vocabulary")
+    if len(ids) and int(ids.max()) >= vocab or vocab > 1 << 28:
+        raise ValueError("an id is outside the vocabulary, or that is too large")
     index = zlib.compress(np.diff(doc_ids.astype("<i8"), prepend=0).tobytes() + nulls.astype(np.uint8).tobytes() + counts.astype("<i8").tobytes(), 6)
     words, n = encode_ids(ids, vocab) if len(ids) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
     body = MAGIC + struct.pack("<5I", vocab, len(counts), len(ids), len(n), len(index)) + index + n.astype("<u4").tobytes() + words.astype("<u2").tobytes() + struct.pack("<I", zlib.crc32(ids.astype("<u4").tobytes()))
