@@ -29,6 +29,8 @@ from sediment.llm import common
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in one batch.
 BATCH_BYTES = 8 << 20
+#: Distinct words whose lattices are built at once.
+WORDS_AT_ONCE = 60_000
 SHIFT, ROUNDS, PRIOR = 10, 2, 1000.0
 START = "▁"
 _U = np.uint64
@@ -69,17 +71,17 @@ class Lattice:
         order = np.argsort(np.array(keys, _U))
         self.keys, self.ids = np.array(keys, _U)[order], np.array(ids, np.int64)[order]
 
-    def _edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(from, to, piece or -1) of words of one length, by from, then to."""
+    def _edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words that have a piece there, the pieces) of words of one length, by from, then to."""
         n, size = codes.shape
         for i in range(size):
             h = np.zeros(n, _U)
             for j in range(i + 1, min(size, i + self.longest) + 1):
                 h = _mix(h, codes[:, j - 1])
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                found = self.keys[at] == h
-                if found.any():
-                    yield i, j, np.where(found, self.ids[at], -1)
+                rows = np.flatnonzero(self.keys[at] == h)
+                if len(rows):
+                    yield i, j, rows, self.ids[at[rows]]
 
     def _single(self, codes: np.ndarray) -> np.ndarray:
         """Log weight of each character as bytes."""
@@ -87,19 +89,18 @@ class Lattice:
         log = np.array([self.weights[self.bytes[list(chr(c).encode("utf-8", "surrogatepass"))]].sum() for c in flat.tolist()])
         return log[back].reshape(codes.shape)
 
-    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
         n, size = codes.shape
         alpha = np.full((size + 1, n), _NEVER)
         alpha[0] = 0.0
-        single, edges, kept, at = self._single(codes), list(self._edges(codes)), [], 0
+        single, edges, at = self._single(codes), list(self._edges(codes)), 0
         for i in range(size):
             alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i] + single[:, i])
             while at < len(edges) and edges[at][0] == i:
-                _, j, piece = edges[at]
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.where(piece >= 0, self.weights[piece], _NEVER))
-                kept.append(edges[at])
+                _, j, rows, piece = edges[at]
+                alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.weights[piece])
                 at += 1
-        return alpha, kept
+        return alpha, edges
 
     def expected(self, codes: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in words that occur so many times."""
@@ -109,24 +110,24 @@ class Lattice:
         beta = np.full((size + 1, n), _NEVER)
         beta[size] = 0.0
         uses = np.zeros(len(self.weights))
+        kinds, back = np.unique(codes, return_inverse=True)
+        back, by_char = back.reshape(codes.shape), np.zeros(len(kinds))
         at = len(edges) - 1
         for i in range(size - 1, -1, -1):
             beta[i] = single[:, i] + beta[i + 1]
             first = at
             while at >= 0 and edges[at][0] == i:
-                _, j, piece = edges[at]
-                beta[i] = np.logaddexp(beta[i], np.where(piece >= 0, self.weights[piece], _NEVER) + beta[j])
+                _, j, rows, piece = edges[at]
+                beta[i, rows] = np.logaddexp(beta[i, rows], self.weights[piece] + beta[j, rows])
                 at -= 1
-            for k in range(at + 1, first + 1):
-                _, j, piece = edges[k]
-                some = piece >= 0
-                share = np.exp(alpha[i][some] + self.weights[piece[some]] + beta[j][some] - alpha[size][some]) * times[some]
-                uses += np.bincount(piece[some], weights=share, minlength=len(uses))
+            for _, j, rows, piece in edges[at + 1 : first + 1]:
+                share = np.exp(alpha[i, rows] + self.weights[piece] + beta[j, rows] - alpha[size, rows]) * times[rows]
+                uses += np.bincount(piece, weights=share, minlength=len(uses))
             share = np.exp(alpha[i] + single[:, i] + beta[i + 1] - alpha[size]) * times
-            for c in np.unique(codes[:, i]).tolist():
-                total = share[codes[:, i] == c].sum()
-                if total > 1e-12:
-                    np.add.at(uses, self.bytes[list(chr(c).encode("utf-8", "surrogatepass"))], total)
+            by_char += np.bincount(back[:, i], weights=share, minlength=len(kinds))
+        for c, total in zip(kinds.tolist(), by_char.tolist(), strict=True):
+            if total > 1e-12:
+                np.add.at(uses, self.bytes[list(chr(c).encode("utf-8", "surrogatepass"))], total)
         return uses
 
 
@@ -200,10 +201,22 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(ids, words, counts)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many words: words of one length run together, and few of them would hardly use numpy."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _count_pieces(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = np.zeros(len(lattice.weights))
-        for batch in batches:
+        for batch in _gathered(batches):
             times = batch.column("c").to_numpy().astype(float)
             for own, codes in _by_length(batch.column("word").to_pylist()):
                 uses += lattice.expected(codes, times[own])
@@ -215,7 +228,7 @@ def _count_pieces(lattice: Lattice):
 
 def _score_words(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             log = np.zeros(batch.num_rows)
             for own, codes in _by_length(batch.column("word").to_pylist()):
                 log[own] = lattice.forward(codes)[0][-1]
