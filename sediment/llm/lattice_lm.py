@@ -30,7 +30,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in one batch.
 BATCH_BYTES = 8 << 20
 #: Distinct words whose lattices are built at once.
-WORDS_AT_ONCE = 60_000
+WORDS_AT_ONCE = 30_000
 SHIFT, ROUNDS, PRIOR = 10, 2, 1000.0
 START = "▁"
 _U = np.uint64
