@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sediment.llm import common
 from sediment.llm.lstm import BiLSTM, padded
 
 SAMPLE, SYNTHETIC, EPOCHS, HIDDEN = 300, 600, 8, 16
@@ -330,6 +331,9 @@ def _extract(model: BiLSTM):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    sample = rows.where(F.length("html") > 0).orderBy(F.xxhash64("url", "page_id"), "page_id", "html").limit(SAMPLE)
-    model = train([r.html for r in sample.select("html").collect()])
+    # chosen by key first, so that tasks send keys, and then so many pages at most
+    keyed = rows.where(F.length("html") > 0).withColumn("key", F.xxhash64("url", "page_id", "html"))
+    some = keyed.select("key").distinct().orderBy("key").limit(SAMPLE)
+    sample = keyed.join(F.broadcast(some), "key").groupBy("key").agg(F.first("html").alias("html")).collect()
+    model = train([r.html for r in sorted(sample, key=lambda r: r.key)])
     return rows.transform(common.in_arrow, _extract(model), "page_id long, url string, text string, n_chars long")

@@ -509,3 +509,16 @@ def test_substrings(docs, none, rows, monkeypatch, crowd):
     got = Counter((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup(docs).collect())
     assert got == want
     assert substring_dedup.dedup(none).collect() == []
+
+
+def test_html_on_odd_rows(spark):
+    """Known main texts on layouts that name their parts; nulls, empty pages, repeated rows, clashing names, no rows."""
+    page = lambda body: f"<html><head><title>t</title><style>p {{}}</style></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav><article><h1>Heading of it</h1>{body}</article><div class='comments'><p>Great read, thanks a lot.</p></div><footer><p>&copy; Some site</p></footer><script>var x = '<p>no</p>'</script></body></html>"
+    bodies = [f"<p>First words of page {i}, which go on for a while.</p>\n<p>Second &amp; last   words of it; {'more of them ' * (i % 5)}end.</p>" for i in range(40)]
+    rows = [(i, f"u{i}", page(b), 5) for i, b in enumerate(bodies)] + [(100, "n", None, 5), (101, None, "", 5), (None, "x", "<p", 5), (0, "u0", page(bodies[0]), 5)]
+    got = html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, key int").repartition(3)).collect()
+    want = {i: f"Heading of it First words of page {i}, which go on for a while. Second & last words of it; " + "more of them " * (i % 5) + "end." for i in range(40)}
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    of = {r.page_id: r.text for r in got}
+    assert of[100] == of[101] == "" and sum(of[i] == want[i] for i in range(40)) == 40
+    assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
