@@ -522,3 +522,22 @@ def test_html_on_odd_rows(spark):
     of = {r.page_id: r.text for r in got}
     assert of[100] == of[101] == "" and sum(of[i] == want[i] for i in range(40)) == 40
     assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_toxicity_on_held_out_rows(spark, none):
+    """Ranking and calibration on labelled rows that training never saw, at sf0.1 (14 toxic rows are held out at sf0.01, and some 300 train there); odd rows get a score, too."""
+    from sediment.llm import toxicity
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    odd = spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (None, "hello there"), (None, "x " * 50_000)], "doc_id long, text string")
+    docs = read("documents").select("doc_id", "text").unionByName(odd)
+    got = toxicity.scores(docs, read("labels")).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    marks = {r.doc_id: r.toxic for r in read("labels").where("toxic is not null").collect()}
+    rows = [(r.score, marks[r.doc_id]) for r in got if r.held_out and r.doc_id in marks]
+    toxic, clean = [s for s, m in rows if m], [s for s, m in rows if not m]
+    assert toxic and sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) >= 0.9 * len(toxic) * len(clean)
+    assert abs(sum(s for s, _ in rows) / len(rows) - len(toxic) / len(rows)) < 0.1
+    assert toxicity.scores(none, read("labels")).collect() == []
+    assert {r.score for r in toxicity.scores(odd, read("labels").limit(0)).collect()} == {0.0}
