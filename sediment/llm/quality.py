@@ -6,6 +6,9 @@ are near the reference of one language and its common words near one; a histogra
 characters or words than its guard isn't judged. Before that come the plain rules: too few
 words, or more than half of the words in repeated three-word windows.
 
+Identifiers (keys, hashes, card numbers, addresses that hold digits) say nothing of the prose around them, yet one of them outweighs the digits
+of a whole short text. So character classes are counted without them, unless they are more than half of the text.
+
 A null text is the empty one: no words, base_failed, not kept. Repeated rows give repeated results;
 an empty table gives none. Only doc_id and text are read, so other columns cannot clash.
 """
@@ -25,6 +28,9 @@ MIN_WORDS = 50
 GUARD_CHARS, GUARD_WORDS = 200, 50
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.16, 0.37
 
+#: What is left of a word from its first digit on, if that is long: identifiers, not prose.
+IDENTIFIER = r"[0-9][^\s]{11,}"
+
 #: Shares of lower-case letters, capitals, digits, white space, punctuation and the rest in ordinary prose.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\s", "punct": r"[.,;:!?'\"()\-]"}
 CHAR_REFERENCES = {
@@ -52,8 +58,17 @@ def _root(x: Column) -> Column:
     return F.sqrt(F.greatest(x, F.lit(0.0)))
 
 
-def char_distance(text: Column, n_chars: Column) -> Column:
-    """The least distance of a text's character classes from a language's; null for an empty text."""
+def prose(text: Column) -> Column:
+    """A text without its identifiers; the whole text if these are more than half of it."""
+    return let(F.regexp_replace(text, IDENTIFIER, ""), lambda rest: F.when(2 * F.length(rest) >= F.length(text), rest).otherwise(text))
+
+
+def char_distance(text: Column) -> Column:
+    """The least distance of a text's character classes, identifiers apart, from a language's; null for an empty text."""
+    return let(prose(text), lambda t: _class_distance(t, F.length(t)))
+
+
+def _class_distance(text: Column, n_chars: Column) -> Column:
     counts = F.array(*(F.regexp_count(text, F.lit(p)) for p in CLASSES.values()))
 
     def against(c: Column) -> Column:
@@ -125,7 +140,7 @@ def measures(text: Column) -> Column:
                 let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
                 repeated_words(w).alias("n_repeat_words"),
                 n_chars.alias("n_chars"),
-                char_distance(t, n_chars).alias("char_distance"),
+                char_distance(t).alias("char_distance"),
                 F.when(n >= MIN_WORDS, word_distance(t, n)).alias("word_distance"),
             )
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from sediment.llm import decontaminate, html_blocks, lattice_lm, near_dedup, packing, pii, quality, substring_dedup, token_file
@@ -135,10 +136,28 @@ def test_quality(docs, none, rows):
                 p = [found[w] / r.n_words for w in ref]
                 dist.append(js([*p, max(0.0, 1 - sum(p))], [*ref.values(), 1 - sum(ref.values())]))
             assert r.word_distance == pytest.approx(min(dist), abs=1e-9)
+        prose = re.sub(r"[0-9][^ \t-\r]{11,}", "", text)
+        prose = prose if 2 * len(prose) >= len(text) else text
+        if not prose:
+            assert r.char_distance is None
+        else:
+            shares = [len(regex.findall(c, prose)) / len(prose) for c in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[ \t-\r]", r"[.,;:!?'\"()\-]")]
+            shares.append(max(0.0, 1 - sum(shares)))
+            assert r.char_distance == pytest.approx(min(js(shares, ref) for ref in quality.CHAR_REFERENCES.values()), abs=1e-6)
+        odd = len(text) >= quality.GUARD_CHARS and r.char_distance > quality.MAX_CHAR_DISTANCE or r.n_words >= quality.GUARD_WORDS and r.word_distance > quality.MAX_WORD_DISTANCE
+        assert r.kept == (not r.base_failed and not odd)
     assert quality.judge(none).collect() == []
     assert quality.kept(docs).columns == docs.columns and quality.kept(docs).count() == sum(r.kept for r in got)
 
 
+def test_quality_of_short_texts_with_identifiers(spark):
+    prose = "The report of the town was read to the people in it, and for the most part they were glad. It is a long one, as it was made with care by a clerk on the staff. That is from the first of the lists, and this one is to be put in the books at the end of the year."
+    key = 'token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"'
+    texts = [prose, f"{prose} {key}", f"{key} {prose} {key}", f"{prose} " + f"{key} " * 8, f"{prose} " + f"{key} " * 20, f"{prose} " + "| # " * 60]  # identifiers are 49 % of the fourth, 64 % of the fifth
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality.judge(docs).collect()} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
+
+
 def test_decontaminate(spark, docs, none, rows):
     tok = lambda x: [w for w in re.split(r"[\W_]+", (x or "").lower()) if w]
     long = [tok(x) for _, x in rows if x and len(tok(x)) > 100]
