@@ -7,7 +7,9 @@ stands before and behind decides too. Blocks labelled as main are joined by one
 
 Training needs no labels of pages: the teacher is (a) a bounded sample of the pages themselves, SAMPLE by hash of the url,
 whose blocks are labelled by what their tags are named, and (b) SYNTHETIC pages that are put together from the sample's words on varied
-templates, with known labels. The model is fitted on the driver with a fixed seed.
+templates, with known labels. The vectors know nothing of the teacher's lists of names, and the model also learns each sampled page and half of the synthetic ones
+with their names taken away (see unnamed()), so that it must tell blocks apart by their shape, words and neighbours where a layout names nothing. The model is fitted
+on the driver with a fixed seed.
 
 Not text at all, and dropped by the reader: comments, doctype, the head, script, style, template, and markup. Character
 references are decoded, white space inside a block becomes one space. A null or empty page has an empty text. Repeated rows and url ties give repeated
@@ -31,6 +33,8 @@ from sediment.llm.lstm import BiLSTM, padded
 
 SAMPLE, SYNTHETIC, EPOCHS, HIDDEN = 300, 600, 8, 16
 PATH_DIM, WORD_DIM = 48, 32
+#: Of a block's vector: hashed path, hashed words, eight numbers.
+DIM = PATH_DIM + WORD_DIM + 8
 #: Blocks that are labelled at once.
 STEPS_AT_ONCE = 20_000
 
@@ -54,7 +58,9 @@ _BOUNDS = frozenset("ul ol dl table article section div main body aside nav head
 
 #: Names that tell what an element isn't, for the teacher: words of tags, classes, ids and roles.
 ASIDE = frozenset("nav navigation menu menubar header masthead footer aside sidebar side rail ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay form login signup subscribe newsletter search comment comments reply replies discussion disqus related recommended recommendations share sharing social breadcrumb breadcrumbs toolbar pagination pager tags widget copyright legal complementary contentinfo".split())
-MAIN = frozenset("article main post entry story content body text".split())
+#: Tags that tell a part's role, and tags that don't.
+ROLES = frozenset("nav article main aside section header footer".split())
+PLAIN = frozenset("html body div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tr td th form label".split())
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
@@ -150,7 +156,7 @@ def _place(word: str, size: int) -> tuple[int, float]:
 def vectors(page_blocks: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
     """One row for each block."""
     n = len(page_blocks)
-    x = np.zeros((n, PATH_DIM + WORD_DIM + 10), np.float32)
+    x = np.zeros((n, DIM), np.float32)
     seen: dict[tuple[str, ...], np.ndarray] = {}
     for i, (text, path, linked) in enumerate(page_blocks):
         if path not in seen:
@@ -160,9 +166,8 @@ def vectors(page_blocks: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray
                 v[k] += sign
                 k, sign = _place(f"{min(depth, 2)}:{name}", PATH_DIM)
                 v[k] += 0.5 * sign
-            known = {*path}
-            seen[path] = np.concatenate([np.clip(v, -3, 3), np.float32([bool(known & ASIDE), bool(known & MAIN)])])
-        x[i, :PATH_DIM], x[i, -2:] = seen[path][:PATH_DIM], seen[path][PATH_DIM:]
+            seen[path] = np.clip(v, -3, 3)
+        x[i, :PATH_DIM] = seen[path]
         words = text.split(" ")
         w = np.zeros(WORD_DIM, np.float32)
         for word in words:
@@ -170,7 +175,7 @@ def vectors(page_blocks: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray
             w[k] += sign
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = w / np.sqrt(len(words))
         size = len(text)
-        x[i, PATH_DIM + WORD_DIM : -2] = (np.log1p(len(words)) / 3, np.log1p(size) / 5, linked, (text.count(".") + text.count(",")) / len(words), text[-1] in ".!?…", size / len(words) / 8, i / n, (n - i) / n)
+        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 3, np.log1p(size) / 5, linked, (text.count(".") + text.count(",")) / len(words), text[-1] in ".!?…", size / len(words) / 8, i / n, (n - i) / n)
     return x
 
 
@@ -182,6 +187,11 @@ def teach(page_blocks: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray |
     return np.array([m and not ({*path} & ASIDE) for m, (_, path, _) in zip(named, page_blocks, strict=True)], float)
 
 
+def unnamed(page_blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[str, tuple[str, ...], float]]:
+    """The blocks of the same page on a layout that names nothing: classes, ids and roles go, and tags that tell a role are div."""
+    return [(text, tuple("div" if n in ROLES else n for n in path if n in PLAIN or n in ROLES), linked) for text, path, linked in page_blocks]
+
+
 def synthetic(words: list[str], number: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages on varied templates from given words: html, and for each block in order whether it is main text."""
     rng = np.random.default_rng(seed)
@@ -285,15 +295,15 @@ def train(pages: list[str], epochs: int = EPOCHS) -> BiLSTM:
         own = blocks(page)
         y = teach(own) if own else None
         if y is not None:
-            sequences.append(vectors(own))
-            labels.append(y)
+            sequences += [vectors(own), vectors(unnamed(own))]
+            labels += [y, y]
             words += [w for t, _, _ in own for w in t.split(" ")][:200]  # words to put synthetic pages together
-    for page, truth in synthetic(words or ["word"], SYNTHETIC):
+    for k, (page, truth) in enumerate(synthetic(words or ["word"], SYNTHETIC)):
         own = blocks(page)
         if len(own) == len(truth):
-            sequences.append(vectors(own))
+            sequences.append(vectors(unnamed(own) if k % 2 else own))
             labels.append(np.array(truth, float))
-    model = BiLSTM(PATH_DIM + WORD_DIM + 10, HIDDEN)
+    model = BiLSTM(DIM, HIDDEN)
     model.fit([s.astype(float) for s in sequences], labels, epochs)
     return model
 

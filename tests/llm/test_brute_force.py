@@ -543,6 +543,23 @@ def test_html_on_odd_rows(spark):
     assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_on_layouts_without_names():
+    """Pages the model never saw, also with every name that tells a part's role taken away: their blocks are labelled as before."""
+    import pyarrow.parquet as pq
+
+    read = lambda sf: sorted({x for x in pq.read_table(f"/root/testdata/{sf}/pages.parquet", columns=["html"]).column("html").to_pylist() if x})
+    train = read("sf0.01")
+    model = html_blocks.train(train)
+    held = [html_blocks.blocks(x) for x in sorted({*read("sf0.1")} - {*train})[:400]]
+    truth = [(b, html_blocks.teach(b)) for b in held]
+    pairs = [(b, y > 0) for b, y in truth if y is not None]
+    assert len(pairs) > 200
+    for hide in (list, html_blocks.unnamed):
+        found = html_blocks.label(model, [html_blocks.vectors(hide(b)) for b, _ in pairs])
+        assert sum((f == y).all() for f, (_, y) in zip(found, pairs, strict=True)) >= 0.97 * len(pairs)
+    assert {n for b, _ in pairs for _, path, _ in html_blocks.unnamed(b) for n in path} <= html_blocks.PLAIN
+
+
 def test_toxicity_on_held_out_rows(spark, none):
     """Ranking and calibration on labelled rows that training never saw, at sf0.1 (14 toxic rows are held out at sf0.01, and some 300 train there); odd rows get a score, too."""
     from sediment.llm import toxicity
