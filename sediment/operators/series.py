@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions.dates import month_key
 from sediment.functions.numbers import quotient
+from sediment.operators.ranking import medians
 
 
 def last_months(rows: DataFrame, ts: Column, k: int = 12) -> DataFrame:
@@ -91,8 +92,9 @@ def both_ends(index: DataFrame, k: int = 6) -> DataFrame:
 
 def market_months(rows: DataFrame, ts: Column, conditions: dict[str, Column], value: Column, least: int = 25) -> DataFrame:
     """(month, n, a count for each condition, median of value) of months with so many rows or more."""
-    found = rows.where(ts.isNotNull()).groupBy(month_key(ts).alias("month")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in conditions.items()), F.median(value).alias("median"))
-    return found.where(F.col("n") >= least)
+    found = rows.where(ts.isNotNull()).groupBy(month_key(ts).alias("month")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in conditions.items())).where(F.col("n") >= least)
+    middle = medians(rows.where(ts.isNotNull()), month_key(ts), value).select(F.col("key").alias("month"), "median")
+    return found.join(middle, "month", "left")
 
 
 def history(rows: DataFrame, date: Column, dims: dict[str, Column]) -> DataFrame:
