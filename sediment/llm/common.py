@@ -106,3 +106,20 @@ def _tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(run, schema), whose tasks give memory back at their end: workers are kept for later tasks, of other operators too."""
     return df.mapInArrow(_tidied(run), schema)
+
+
+#: A key with over 1 / HOT of all rows is joined by a broadcast; there are HOT such keys at most, whatever the data.
+HOT = 4096
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows with the columns of groups, inner, by keys that are never null. groups has one row for each key, and in weight how many of the total rows have it.
+
+    The at most HOT keys with more than total / HOT rows are broadcast, so that none of them meets in one task; all others are shuffled.
+    """
+    (mark,) = fresh(rows.join(groups.limit(0), keys), "is_hot")
+    hot = F.col(weight) * HOT > total
+    marked = rows.join(F.broadcast(groups.where(hot).withColumn(mark, F.lit(True))), keys, "left")
+    own = [F.col(c) for c in rows.columns]
+    cold = marked.where(F.col(mark).isNull()).select(*own).join(groups.where(~hot), keys)
+    return marked.where(F.col(mark)).drop(mark).unionByName(cold)

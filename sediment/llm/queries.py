@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sediment.llm import common, decontaminate, html_blocks, lattice_lm, near_dedup, packing, pii, quality, substring_dedup, token_file, toxicity
+from sediment.llm import common, decontaminate, html_blocks, lattice_lm, line_runs, lloyd, near_dedup, packing, pii, quality, release, sql, substring_dedup, token_file, toxicity
 
 WORD_BPE, BYTE_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -52,5 +52,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_toxicity, op3_quality, op4_decontaminate, op5_html, op6_near_dedup, op7_lattice, op8_pii, op9_packing, op10_substrings)}
-ORACLES: dict[str, str] = {}
+def op11_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.replay(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(common.table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_token_file, op2_toxicity, op3_quality, op4_decontaminate, op5_html, op6_near_dedup, op7_lattice, op8_pii, op9_packing, op10_substrings, op11_release, op12_lloyd, op13_lines)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op11_release": sql.OP11, "op12_lloyd": sql.OP12, "op13_lines": sql.OP13}
