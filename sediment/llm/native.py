@@ -34,6 +34,21 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def running(values: Column, pick: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's ints the pick (least or greatest) of it and all before: within blocks first, then with what the blocks before them have."""
+    none = F.array().cast("array<int>")
+
+    def inner(block: Column) -> Column:
+        return F.aggregate(block, none, lambda a, x: F.concat(a, F.array(F.coalesce(pick(x, F.get(a, F.size(a) - 1)), x))))
+
+    def carried(blocks: Column) -> Column:
+        ends = inner(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: F.coalesce(pick(x, F.get(e, k - 1)), x)))))
+
+    cut = let(values, lambda v: F.transform(indices(F.ceil(F.size(v) / BLOCK)), lambda k: inner(F.slice(v, k * BLOCK + 1, BLOCK))))
+    return let(cut, carried)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start int, end int, hit string>> of a pattern's matches, left to right, in code points, end exclusive.
 

@@ -10,9 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sediment.llm import decontaminate, html_blocks, lattice_lm, near_dedup, packing, pii, quality, substring_dedup, token_file
+from sediment.llm import decontaminate, html_blocks, lattice_lm, native, near_dedup, packing, pii, quality, substring_dedup, token_file
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, h string, raw string, core string, bucket string"
@@ -577,3 +578,38 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert abs(sum(s for s, _ in rows) / len(rows) - len(toxic) / len(rows)) < 0.1
     assert toxicity.scores(none, read("labels")).collect() == []
     assert {r.score for r in toxicity.scores(odd, read("labels").limit(0)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("chunk", [8192, 70])
+def test_decontaminate_repeated_tokens(spark, monkeypatch, chunk):
+    """Texts of one token, of two or three in turn, with a few others between: every pair's best overlap is that of all shifts, whatever the chunks."""
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    say = lambda cycle, n: [cycle[i % len(cycle)] for i in range(n)]
+    items = {1: ["ha"] * 60, 2: [*"it is so".split(), *["ha"] * 25, "and", "ends"], 3: say("ho hum".split(), 40), 4: say("ha ha ho".split(), 50), 5: [f"u{i}" for i in range(30)], 6: ["ha"] * 13}
+    docs = {1: ["ha"] * 300, 2: say("ho hum".split(), 201), 3: say("ha ha ho".split(), 150) + ["ha"] * 40, 4: ["ha"] * 20, 5: ["x", *items[5][4:], *items[5][:20]], 6: ["none"] * 90, 7: list(items[2])}
+    for k in (1, 3):
+        for at in rng.integers(0, len(docs[k]), 6):
+            docs[k][at] = f"z{at}"
+
+    def best(doc, item):
+        top = 0
+        for shift in range(1 - len(item), len(doc)):
+            at = [i for i in range(max(0, -shift), min(len(item), len(doc) - shift)) if item[i] == doc[i + shift]]
+            if not any(all(k + j in set(at) for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for k in range(len(item) - 9)):
+                continue
+            top = max([top, *(q - p + 1 for p in range(len(at)) for q in range(p + max(11, top), len(at)) if 5 * (q - p + 1) >= 4 * (at[q] - at[p] + 1))])
+        return top
+
+    want = {(d, i): n for d, x in docs.items() for i, y in items.items() if (n := best(x, y)) >= 12}
+    rows = lambda of, name: spark.createDataFrame([(k, " ".join(v)) for k, v in of.items()], f"{name} long, text string")
+    got = decontaminate.leaks(rows(docs, "doc_id").unionByName(rows({1: docs[1]}, "doc_id")), rows(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id): r.n_equal for r in got} == want and len(got) == len(want) > 12
+
+
+def test_running_least(spark):
+    """Blocks: the same as one pass, also beyond one block and for none."""
+    values = [int(x) for x in np.random.default_rng(3).integers(-1000, 1000, 1300)]
+    for own in ([], values[:1], values[:512], values[:513], values):
+        got = spark.createDataFrame([(own,)], "v array<int>").select(native.running(F.col("v"), F.least).alias("low"), native.running(F.col("v"), F.greatest).alias("high")).first()
+        assert got.low == [min(own[: i + 1]) for i in range(len(own))] and got.high == [max(own[: i + 1]) for i in range(len(own))]
