@@ -66,6 +66,28 @@ def next_state(state: DataFrame, live: DataFrame, key: str, now: Column) -> Data
     )
 
 
+def transition(state: DataFrame, live: DataFrame, key: str, fields: list[str] | tuple[str, ...], now: Column) -> DataFrame:
+    """next_state() of the rows that a snapshot changes, with kind (added, removed or updated) and changed, by one join. Rows that stay as they are, or are only seen again, are left out."""
+    own = [c for c in live.columns if c != key]
+    both = state.alias("a").join(live.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
+    known, listed, closed = F.col(f"a.{key}").isNotNull(), F.col(f"b.{key}").isNotNull(), F.coalesce(F.col("a.status") == "closed", F.lit(False))
+    changed = F.when(known & listed & ~closed, field_changes("a", "b", fields)).otherwise(F.array().cast("array<struct<field:string,before:string,after:string>>"))
+    kind = F.when(listed & (~known | closed), "added").when(~listed & ~closed, "removed").when(listed & (F.size(changed) > 0), "updated")
+    days = F.floor((F.unix_micros(now) - F.unix_micros("a.first_seen")) / 86_400_000_000 + 0.5).cast("long")
+    rows = both.select(
+        F.coalesce(f"a.{key}", f"b.{key}").alias(key),
+        *(F.when(listed, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in own),
+        F.when(listed, "open").otherwise("closed").alias("status"),
+        F.when(listed & (closed | F.col("a.first_seen").isNull()), now).otherwise(F.col("a.first_seen")).alias("first_seen"),
+        F.when(listed, now).otherwise(F.col("a.last_seen")).alias("last_seen"),
+        F.when(~listed, now).alias("closed_at"),
+        F.when(~listed, days).cast("long").alias("days_open"),
+        kind.alias("kind"),
+        changed.alias("changed"),
+    )
+    return rows.where(F.col("kind").isNotNull())
+
+
 def closures(state: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """Open rows that are listed no longer."""
     return state.where(F.col("status") == "open").join(live.select(key), key, "left_anti")

@@ -47,16 +47,21 @@ def tolerant(pages: DataFrame, expected: int, most: float = MAX_FAILED) -> DataF
 
 
 def complete(pages: DataFrame, most: int = MAX_PASSES) -> tuple[int, DataFrame]:
-    """(pass, its rows by id) of the first whole pass: all pages good, one total, as many different ids, and first and last page the same when read again (column again).
+    """(pass, its rows by id) of the first whole pass: all pages good, one total, as many different ids, and its first and last page read again (column again) with the same ids.
 
-    Passes are never put together.
+    A pass whose first or last page wasn't read again isn't whole. Passes are never put together.
     """
     pages = pages.where(F.col("pass") <= most)
     faults = pages.groupBy("pass").agg(F.count_if(page_faults().isNotNull()).alias("faults"), F.min("total").alias("low"), F.max("total").alias("high"))
     ids = pages.where(~F.col("again")).select("pass", F.explode("positions").alias("p")).groupBy("pass").agg(F.count_distinct("p.id").alias("ids"))
     seen = pages.select("pass", "page", "again", fingerprint().alias("print"))
-    twice = seen.where("again").join(seen.where(~F.col("again")).select("pass", "page", F.col("print").alias("first")), ["pass", "page"], "left").groupBy("pass").agg(F.count_if(~F.col("print").eqNullSafe(F.col("first"))).alias("moved"))
-    verdict = faults.join(ids, "pass", "left").join(twice, "pass", "left").where("faults = 0 and low = high and ids = low and coalesce(moved, 0) = 0")
+    first = seen.where(~F.col("again"))
+    ends = first.groupBy("pass").agg(F.array_distinct(F.array(F.min("page"), F.max("page"))).alias("ends")).select("pass", F.explode("ends").alias("page"))
+    # every page that was read again must be as before, and both ends must be among them
+    again = seen.where("again").select("pass", "page", F.col("print").alias("second"))
+    checked = ends.join(again, ["pass", "page"], "left").unionByName(again.join(ends, ["pass", "page"], "left_anti"))
+    moved = checked.join(first.select("pass", "page", "print"), ["pass", "page"], "left").groupBy("pass").agg(F.count_if(F.col("second").isNull() | ~F.col("second").eqNullSafe(F.col("print"))).alias("moved"))
+    verdict = faults.join(ids, "pass").join(moved, "pass").where("faults = 0 and low = high and ids = low and moved = 0")
     found = verdict.agg(F.min("pass")).first()[0]
     if found is None:
         raise IncompleteIndex("no pass is whole")

@@ -109,7 +109,7 @@ def validate(postings: DataFrame, runs: DataFrame, history: DataFrame) -> None:
 
 
 class Store:
-    """Tables in <root>/data-<unique>/<name>, and pointers <root>/current-<N>, each of which holds the name of its version's folder.
+    """Tables in <root>/data-<unique>/<name>, and pointers <root>/versions/<N>, each of which holds the name of its version's folder.
 
     A pointer is written beside and renamed into place, which fails if another writer's is there: that one step both claims the version and
     publishes it. A writer that dies before leaves a folder that nobody reads.
@@ -123,13 +123,18 @@ class Store:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
 
+    def versions(self) -> list[int]:
+        """Those that can be read."""
+        place = self._path("versions")
+        names = [s.getPath().getName() for s in self.files.listStatus(place)] if self.files.exists(place) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
     def version(self) -> int:
         """0 before the first publication."""
-        names = [s.getPath().getName() for s in self.files.listStatus(self._path(""))] if self.files.exists(self._path("")) else []
-        return max([int(n.removeprefix("current-")) for n in names if n.startswith("current-")], default=0)
+        return max(self.versions(), default=0)
 
     def _folder(self, version: int) -> str:
-        found = self.files.open(self._path(f"current-{version}"))
+        found = self.files.open(self._path(f"versions/{version}"))
         try:
             return bytes(found.readAllBytes()).decode()
         finally:
@@ -155,11 +160,11 @@ class Store:
 
     def point(self, version: int, folder: str) -> None:
         """Makes a folder this version, or raises Moved if the version is another's. Nothing that is read has changed then."""
-        part = self._path(f".{folder}-pointer")
+        part = self._path(f"versions/.{uuid.uuid4().hex}")
         out = self.files.create(part, True)
         out.write(bytearray(folder.encode()))
         out.close()
-        target = self._path(f"current-{version}")
+        target = self._path(f"versions/{version}")
         # a local file system's rename would replace an existing file
         if self.files.exists(target) or not self._claimed(part, target):
             self.files.delete(part, False)

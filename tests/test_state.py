@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from sediment import schema
 from sediment.operators import changes
 from sediment.sources import landing, state
-from sediment.streaming import capture
 
 UTC = dt.timezone.utc
 
@@ -37,7 +36,11 @@ def test_a_whole_pass_is_taken(spark):
         [(1, 0, False, 4, [1, 2], "timestamp"), (1, 1, False, 4, [3, None], "timestamp")],  # a blank id
         [(1, 0, False, 4, [1, 2], "relevance"), (1, 1, False, 4, [3, 4], "timestamp")],  # another order
         [(1, 0, False, 4, [1, 2], "timestamp"), (1, 1, False, 4, [], "timestamp")],  # an empty page
-        [(1, 0, False, 4, [1, 2], "timestamp"), (1, 1, False, 4, [3, 4], "timestamp"), (1, 0, True, 4, [9, 1], "timestamp")],  # the first page moved
+        [*whole()[:2], (1, 0, True, 4, [9, 1], "timestamp"), whole()[3]],  # the first page moved
+        [*whole()[:3], (1, 1, True, 4, [4, 9], "timestamp")],  # the last page moved
+        whole()[:2],  # no page was read again
+        whole()[:3],  # the last page wasn't
+        [*whole()[:2], whole()[3]],  # the first wasn't
     ],
 )
 def test_spoiled_passes_are_refused_and_never_put_together(spark, spoiled):
@@ -147,33 +150,6 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert two.version() == 2 and two.read("x").count() == 2
 
 
-def snapshot(spark, at, rows):
-    return spark.createDataFrame([(at, i, t, n) for n, (i, t) in enumerate(rows)], "snapshot timestamp, id int, title string, at int")
-
-
-def test_change_capture(spark, tmp_path):
-    store = state.Store(spark, str(tmp_path / "s"))
-    run = capture.capture(store, "id", ["title"], ["at"])
-    days = [dt.datetime(2024, 5, d) for d in (1, 2, 3, 4)]
-    first = [(1, "one"), (2, "two"), (3, "three")]
-    run(snapshot(spark, days[0], first), 0)
-    assert store.version() == 1 and capture.changes(store).groupBy("kind").count().collect()[0]["count"] == 3
-    both = snapshot(spark, days[1], [(1, "ONE"), (3, "three"), (4, "four")]).unionByName(snapshot(spark, days[2], [(1, "ONE"), (2, "two"), (3, "three"), (4, "four")]))
-    run(both, 1)
-    assert store.version() == 3
-    run(both, 1)  # run again: nothing changes
-    run(snapshot(spark, days[2], [(9, "late")]), 2)  # of a time that the state has
-    assert store.version() == 3
-    log = sorted((r.snapshot[:8], r.id, r.kind, [tuple(x) for x in r.changed]) for r in capture.changes(store).where("snapshot > '20240502'").collect())
-    assert log == [("20240502", 1, "updated", [("title", "one", "ONE")]), ("20240502", 2, "removed", []), ("20240502", 4, "added", []), ("20240503", 2, "added", [])]
-    run(snapshot(spark, days[3], [(1, "ONE"), (2, "two"), (3, "three"), (4, "four")]), 3)  # no change, but seen
-    rows = {r.id: r for r in store.read("state").collect()}
-    assert store.version() == 4 and rows[2].status == "open" and rows[2].first_seen == days[2] and rows[3].first_seen == days[0] and rows[3].last_seen == days[3]
-    # a writer that died after its changes and before its state: they aren't read, and are written again
-    snapshot(spark, days[3], [(1, "x")]).selectExpr("id", "'added' as kind", "cast(array() as array<struct<field:string,before:string,after:string>>) as changed").write.parquet(f"{store.root}/changes/snapshot=20240601T000000000000")
-    assert capture.changes(store).where("id = 1").count() == 2
-
-
 def test_a_snapshot_against_itself_changes_nothing(spark):
     live = spark.createDataFrame([(1, "a", [1, 2]), (2, None, None)], "id int, title string, tags array<int>")
     now = F.to_timestamp(F.lit("2024-05-01"))
