@@ -6,57 +6,17 @@ Each query reads whole tables; limits are those of top-k reports and pages.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment import schema
-from sediment.functions import dates, numbers, patterns, rules, tables, text
+from sediment import adverts, registry
+from sediment.functions import dates, rules, tables, text
 from sediment.functions.numbers import quotient
-from sediment.operators import browse, changes, classify, cohorts, evidence, ranking, reports, series
-from sediment.sources import landing
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from sediment.operators import browse, changes, cohorts, ranking, reports, series
+from sediment.registry import Tables, query
 
 c = F.col
 
-
-class Tables:
-    """The driver's tables of one folder, and the postings made of them."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-    def tagged(self) -> DataFrame:
-        """orders with tags: the different part types of their items."""
-        tags = self.lineitem.join(self.part, c("l_partkey") == c("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_type").alias("tags"))
-        return self.orders.join(tags, c("o_orderkey") == c("l_orderkey"), "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-
-    def placed(self, orders: DataFrame | None = None) -> DataFrame:
-        """orders with customer, nation and region."""
-        where = self.nation.join(self.region, c("n_regionkey") == c("r_regionkey"))
-        people = self.customer.join(where, c("c_nationkey") == c("n_nationkey"))
-        return (self.orders if orders is None else orders).join(people, c("o_custkey") == c("c_custkey"))
-
-    def as_of(self) -> DataFrame:
-        return self.orders.agg(F.max("o_orderdate").alias("now"))
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _KEYS = "keys as (select distinct l_orderkey as id, p_type as key from lineitem join part on l_partkey = p_partkey)"
 _PLACED = "placed as (select * from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
 
@@ -415,43 +375,11 @@ def fingerprint_dups(t: Tables) -> DataFrame:
     return ranking.tally(t.documents, text.fingerprint(c("text"))).where("n > 1")
 
 
-#: Adverts, and what is evidence in them.
-_ADVERTS = [
-    (1, "Overview\nWe deploy agentic systems in production for banks. We never build copilot demos.\nResponsibilities\nDeliver measurable business outcomes for customers.\nBenefits\nWe build AI for fun, and drive adoption of it."),
-    (2, "Overview\n\nResponsibilities\nYou will not deploy AI to production here at all. Accelerate adoption across the whole group."),
-    (3, "Responsibilities:\nBuild reusable accelerators.\nImplement governance, security and responsible AI controls."),
-    (4, ""),
-    (5, "Nothing of the kind is said in this advert, whatever you read."),
-]
-
-
-@query(
-    """select * from (values (1, 'production-ai', 'Overview', 'We deploy agentic systems in production for banks.'), (1, 'business-outcomes', 'Responsibilities', 'Deliver measurable business outcomes for customers.'),
-    (2, 'adoption', 'Responsibilities', 'Accelerate adoption across the whole group.'), (3, 'production-ai', 'Responsibilities', 'Implement governance, security and responsible AI controls.'),
-    (3, 'reusable-delivery', 'Responsibilities', 'Build reusable accelerators.'), (3, 'trusted-delivery', 'Responsibilities', 'Implement governance, security and responsible AI controls.')) v(id, signal, section, excerpt)"""
-)
-def passages_evidence(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_ADVERTS, "id int, text string").select("id", text.passages(text.sections(c("text"))).alias("parts"))
-    return evidence.evidence(rows, c("parts")).drop("parts")
-
-
-@query("select * from (values (1, 5), (2, 2), (3, null), (4, 3)) v(id, years)")
-def required_years(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, "5+ years of Java, 10 years in all"), (2, "2 YEARS or 30 years"), (3, "many yearsome things"), (4, "8 years; 3years")], "id int, text string")
-    return rows.select("id", text.required_years(c("text")).alias("years"))
-
-
 @query("select case when p_name like 'red %' then 'red' when p_name ilike '%bolt%' then 'bolt' else 'other' end as key, count(*)::bigint as n from part group by 1")
 def first_match_class(t: Tables) -> DataFrame:
     return ranking.tally(t.part, rules.first_match(c("p_name"), [("red", r"^red\b"), ("bolt", "bolt")], "other"))
 
 
-@query("select * from (values (1, 'Oslo', 'Norway', 'NO'), (2, 'Reading', 'United Kingdom', 'GB'), (3, 'Japan', 'Japan', null), (4, 'Unknown', 'Unknown', null)) v(id, city, country, code)")
-def parse_location(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, "Norway, Oslo, Oslo", "Oslo, NO"), (2, "Reading, UK", "Reading, GB"), (3, "Japan", ""), (4, "", None)], "id int, l string, s string")
-    return rows.select("id", text.place(c("l"), c("s")).alias("p")).select("id", "p.*")
-
-
 @query("select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, count(*)::bigint as n from events group by 1, 2")
 def day_month_keys(t: Tables) -> DataFrame:
     return t.events.groupBy(dates.day_key(c("ts")).alias("day"), dates.month_key(c("ts")).alias("month")).agg(F.count("*").alias("n"))
@@ -739,91 +667,6 @@ def ratio_kpis(t: Tables) -> DataFrame:
     return found.select("key", "a", "b", quotient(c("a"), c("f")).alias("ratio"), quotient(c("a"), c("b")).alias("none"))
 
 
-#: Postings whose classes can be read off the rule tables.
-_CLASSED = [
-    (1, "Senior Software Engineer", "Software Engineering", "Software Engineering", "CO+I", "<p>Overview</p><p>Join the Cloud Operations + Innovation team. We run Azure datacenters and critical environment work.</p><p>Qualifications</p><p>Bachelor's degree. 5+ years of Python, Kubernetes and distributed systems.</p><p>Responsibilities</p><p>Build things.</p>"),
-    (2, "Principal Consultant", "Technology Consulting", "Consulting", "Technology Consulting", "<p>Overview</p><p>Deliver agentic solutions for banking and insurance customers.</p><p>Qualifications</p><p>Master's degree or 8 years of experience. Security clearance. Java, not JavaScript alone.</p>"),
-    (3, "Partner Director of Sales", "Sales", "Sales", "", "<p>The Xbox team sells games.</p>"),
-    (4, "Executive Assistant", "", "", "", ""),
-    (5, "Intern, Digital Sales", "Digital Sales and Solutions", "Sales", "unknown", "<p>Overview</p><p>We mention the Customer Success Unit only.</p><p>Qualifications</p><p>PhD. 12 years or 3 years.</p>"),
-    (6, "Manager of éa", "Finance", "", "Account Management", "<p>Qualifications</p><p>Languages including, but not limited to, C#, Java or Python. PMP.</p>"),
-]
-
-
-@query(
-    """select * from (values (1, 'Senior', 'engineer', 'coi', 'self', 'Azure,Kubernetes', '', '', 'python,k8s,distributed', 5, 'Bachelor''s', true, 'senior', 'build'),
-    (2, 'Principal', 'consultant', 'isd', 'department', '', '', 'agentic', 'java,js,consulting,clearance', 8, 'Master''s', true, 'principal', 'gtm'),
-    (3, 'Partner (Distinguished)', 'leadership', 'gaming', 'self', 'Xbox', '', '', '', null, null, false, 'principal', 'gtm'),
-    (4, 'Mid / Unspecified', 'business_support', null, null, '', '', '', '', null, null, false, 'mid', 'other'),
-    (5, 'Intern / University', 'sales', 'digitalsales', 'profession', '', '', '', '', 3, 'PhD', true, 'entry', 'gtm'),
-    (6, 'Manager', 'manager', 'atu', 'department', '', '', '', 'any_lang,pm_cert', null, null, true, 'manager', 'run'))
-    v(id, seniority, archetype, org, source, products, areas, initiatives, skills, years, degree, asks, band, function)"""
-)
-def classified_postings(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_CLASSED, "id int, title string, profession string, discipline string, department string, descriptionHtml string")
-    out = classify.classified(rows)
-    joined = [F.array_join(c(k), ",").alias(n) for k, n in (("products", "products"), ("solutionAreas", "areas"), ("initiatives", "initiatives"), ("skills", "skills"))]
-    return out.select("id", "seniority", "archetype", "org", c("orgSource").alias("source"), *joined, c("requiredYears").alias("years"), "degree", c("hasQualifications").alias("asks"), classify.band(c("seniority")).alias("band"), classify.function(c("profession")).alias("function"))
-
-
-@query(
-    """select * from (values (1, 'cloud_azure', ''), (2, '', 'finserv'), (3, 'gaming', ''), (4, '', ''), (5, '', ''), (6, '', '')) v(id, themes, industries)"""
-)
-def classified_topics(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(i, x, p, d, "", h) for i, x, p, d, _, h in _CLASSED], "id int, title string, profession string, discipline string, department string, descriptionHtml string")
-    rows = rows.withColumn("title", F.when(c("id") == 3, "Partner Director of Xbox Sales").otherwise(c("title")))
-    return classify.classified(rows).select("id", F.array_join("themes", ",").alias("themes"), F.array_join("industries", ",").alias("industries"))
-
-
-@query("select * from (values ('share', '33.3'), ('no share', null), ('pct', '0.0'), ('ratio', '1.01'), ('relative', 'yesterday'), ('months', '3 months ago'), ('city', 'Norway — multiple sites'), ('town', 'Oslo, Norway'), ('label', 'Unit of work (not ABC)'), ('unit', 'Unit of work'), ('normalised', 'we build it'), ('keyword', 'true'), ('no keyword', 'false'), ('count', '1,234 adverts'), ('one', '1 advert'), ('lift', '2.5×'), ('great lift', '13×'), ('no lift', 'only in this cohort'), ('level', 'Repeated wording'), ('tokens', 'c++|net|ci/cd|node.js'), ('clean', 'a b')) v(name, value)")
-def scalar_functions(t: Tables) -> DataFrame:
-    one = t.spark.range(1)
-    lit = F.lit
-    values = {
-        "share": numbers.share(lit(1), lit(3)), "no share": numbers.share(lit(1), lit(0)), "pct": numbers.pct(lit(1), lit(0)), "ratio": numbers.ratio(lit(1.0075), lit(1.0)), "relative": dates.relative(lit(1)), "months": dates.relative(lit(95)),
-        "city": text.city_label(lit("Multiple Locations"), lit("Norway")), "town": text.city_label(lit("Oslo"), lit("Norway")), "label": text.short_label(lit("Unit of work (UOW) (not ABC)")), "unit": text.short_unit(lit("Unit of work (UOW)")),
-        "normalised": text.normalised(lit("  We BUILD, it! ")), "keyword": lit("we use .net here").rlike(patterns.keyword(".NET")), "no keyword": lit("dotnet.net5").rlike(patterns.keyword("net5x")),
-        "count": numbers.counted(lit(1234), "advert"), "one": numbers.counted(lit(1), "advert"), "lift": numbers.lift_note(lit(2.5)), "great lift": numbers.lift_note(lit(12.5)), "no lift": numbers.lift_note(lit(None).cast("double")),
-        "level": evidence.level(lit(3), lit(1)), "tokens": F.array_join(text.tokens(lit("C++, -.NET- (CI/CD) Node.js.")), "|"), "clean": text.without(lit("a  x9 b"), ["x9"]),
-    }
-    return one.select(F.explode(F.array(*(F.struct(lit(k).alias("name"), v.cast("string").alias("value")) for k, v in values.items()))).alias("x")).select("x.*")
-
-
-@query("select * from (values (1, 'A1', 'new title', 'Sales', 'Selling', '<p>new</p>', 7, true, 'Norway', 'Oslo, Norway'), (2, 'B2', 'kept title', 'Support', 'Helping', '<p>kept</p>', 8, true, 'Unknown', 'Unknown, Unknown'), (3, 'C3', 'only listed', null, null, null, 9, false, 'Unknown', 'Unknown, Unknown')) v(id, jobId, title, department, profession, html, posted, detail, countries, location)")
-def joined_records(t: Tables) -> DataFrame:
-    spark, texts = t.spark, "array<string>"
-    summary = spark.createDataFrame([("1", "listed", "A1", "Sales", ["Norway, Oslo, Oslo"], ["Oslo, NO"], 7, 70), ("2", "listed two", None, None, None, None, 8, 80), ("3", "only listed", "C3", None, None, None, 9, 90)], f"id string, name string, displayJobId string, department string, locations {texts}, standardizedLocations {texts}, postedTs long, creationTs long")
-    detail = spark.createDataFrame([("1", "new title", None, "Other", "u", "<p>new</p>", ["Selling", "second"], None, None, None, None, None, None, None)], schema.DETAIL)
-    # what was known before of 2, whose index row still has its old name
-    previous = spark.createDataFrame([("2", "B2", "kept title", "Support", "Helping", "<p>kept</p>", True)], "id string, jobId string, title string, department string, profession string, descriptionHtml string, hasDetail boolean")
-    previous = previous.withColumns({k: F.lit(None).cast("string") for k in ("discipline", "roleType", "employmentType", "workSite", "travel", "url")}).withColumns({"locations": F.lit(None).cast(texts), "countryCodes": F.lit(None).cast(texts)})
-    rows = classify.record(summary.withColumn("name", F.when(c("id") == "2", None).otherwise(c("name"))), detail, previous)
-    places = F.when(F.size("locations") > 0, c("locations")).otherwise(F.array(F.lit("")))
-    rows = rows.withColumn("p", F.get(F.transform(places, lambda x, i: text.place(x, F.get("countryCodes", i))), F.lit(0)))
-    return rows.select(c("id").cast("int").alias("id"), "jobId", "title", "department", "profession", c("descriptionHtml").alias("html"), c("postedTs").cast("int").alias("posted"), c("hasDetail").alias("detail"), c("p.country").alias("countries"), text.city_label(c("p.city"), c("p.country")).alias("location"))
-
-
-@query("select * from (values ('whole pass', '2'), ('ids', '1,2,3,4'), ('tolerated', '98'), ('last page', '1'), ('fingerprint', '1,10,2'), ('faults', '0')) v(name, value)")
-def landed_index(t: Tables) -> DataFrame:
-    kinds = "pass int, page int, again boolean, total long, sortBy string, positions array<struct<id:string,name:string>>"
-
-    def made(rows) -> DataFrame:
-        return t.spark.createDataFrame([(p, n, a, total, "timestamp", [(str(i), "x") for i in ids]) for p, n, a, total, ids in rows], kinds)
-
-    good = [(2, 0, False, 4, [1, 2]), (2, 1, False, 4, [3, 4]), (2, 0, True, 4, [1, 2]), (2, 1, True, 4, [3, 4])]
-    number, rows = landing.complete(made([(1, 0, False, 4, [1, 2]), (1, 1, False, 4, [2, 3]), *good]))
-    many = made([(1, n, False, 100, [2 * n, 2 * n + 1]) for n in range(1, 50)])
-    last = landing.by_id(landing.positions(made([(1, 0, False, 2, [7, 8]), (1, 1, False, 2, [8])]))).where("id = '8'")
-    one = made([(1, 0, False, 3, [2, 10, 1])])
-    parts = [
-        t.spark.createDataFrame([("whole pass", str(number))], "name string, value string"),
-        rows.agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("value")).select(F.lit("ids").alias("name"), "value"),
-        landing.tolerant(many, 50).agg(F.count("*").cast("string").alias("value")).select(F.lit("tolerated").alias("name"), "value"),
-        last.select(F.lit("last page").alias("name"), c("page").cast("string").alias("value")),
-        one.select(F.lit("fingerprint").alias("name"), landing.fingerprint().alias("value")),
-        one.agg(F.count_if(landing.page_faults().isNotNull()).cast("string").alias("value")).select(F.lit("faults").alias("name"), "value"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: All queries, with those of the other modules, and the SQL of each.
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
+__all__ = ["ORACLES", "QUERIES", "adverts"]

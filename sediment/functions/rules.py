@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sediment.functions import patterns
+from sediment.functions import patterns, tables
 
 
 def first_match(text: Column, rules: Iterable[tuple[str, str]], default: str | None) -> Column:
@@ -53,14 +53,9 @@ def member(key: Column, groups: Iterable[tuple[str, Iterable[str]]], default: st
     return out.otherwise(default)
 
 
-#: What a team says before or behind its own name.
-_BEFORE = r"(?:within|inside|part of|joining|join|welcome to|we are|we're|our|here at|in the|role in|role within|member of)\s+(?:the\s+)?(?:\w+(?:['’]s)?\s+)?(?:the\s+)?"
-_BEHIND = r"\s*(?:\([^)]{1,24}\)\s*)?(?:organi[sz]ation|team|group|division|business unit|is\s+(?:a|an|the)\s|is looking|is hiring|is seeking|are looking|are hiring|partners\b|builds\b|develops\b|delivers\b|operates\b|manages\b|owns\b|drives\b|runs\b)"
-
-
 def names_itself(text: Column, name: str) -> Column:
     """Whether a text speaks of a unit as its own, not just of it."""
-    return text.rlike(patterns.java(f"{_BEFORE}(?:{name})")) | text.rlike(patterns.java(f"(?:{name}){_BEHIND}"))
+    return text.rlike(patterns.java(f"{tables.OWN_BEFORE}(?:{name})")) | text.rlike(patterns.java(f"(?:{name}){tables.OWN_BEHIND}"))
 
 
 def unit(strong: Column, overview: Column, department: Column, profession: Column, units: Iterable[tuple[str, str, bool]], departments: Mapping[str, str], professions: Mapping[str, str]) -> tuple[Column, Column]:

@@ -25,6 +25,17 @@ MARKUP = [
 #: Headings of sections.
 HEADINGS = r"Overview|Responsibilities|(?:(?:Required(?:/Minimum)?|Minimum|Preferred|Additional(?: or Preferred)?) )?Qualifications|Benefits|Compensation|Other Requirements"
 
+#: Where sections end, and how many years are asked for.
+OVERVIEW_ENDS = r"Qualifications|Responsibilities|Required/Minimum|Additional or Preferred"
+SHORT_OVERVIEW_ENDS = r"Qualifications|Responsibilities|Required/Minimum"
+QUALIFICATIONS = "(?:Required/Minimum Qualifications|Qualifications)"
+QUALIFICATIONS_ENDS = r"Responsibilities|Benefits|Microsoft is an equal"
+YEARS = r"(?i)([0-9]{1,2})\+?\s*years?"
+
+#: What a team says before or behind its own name.
+OWN_BEFORE = r"(?:within|inside|part of|joining|join|welcome to|we are|we're|our|here at|in the|role in|role within|member of)\s+(?:the\s+)?(?:\w+(?:['’]s)?\s+)?(?:the\s+)?"
+OWN_BEHIND = r"\s*(?:\([^)]{1,24}\)\s*)?(?:organi[sz]ation|team|group|division|business unit|is\s+(?:a|an|the)\s|is looking|is hiring|is seeking|are looking|are hiring|partners\b|builds\b|develops\b|delivers\b|operates\b|manages\b|owns\b|drives\b|runs\b)"
+
 #: Legal and benefit passages that are removed before tagging, in order (Java patterns).
 REMOVALS = [
     r"(?is)Microsoft is an equal opportunity employer.*\z",

@@ -44,18 +44,18 @@ def _section(text: Column, heading: str, ends: str, fallback: Column, size: int)
 
 def overview(text: Column) -> Column:
     """The overview section; without one the beginning of the text."""
-    return _section(text, "Overview", r"Qualifications|Responsibilities|Required/Minimum|Additional or Preferred", F.substring(text, 1, 2500), 4000)
+    return _section(text, "Overview", tables.OVERVIEW_ENDS, F.substring(text, 1, 2500), 4000)
 
 
 def short_overview(text: Column) -> Column:
     """40 to 900 characters of the overview, or the first 600, on one line of 700 at most."""
-    own = F.regexp_extract(text, java(r"Overview\s*\n+([\s\S]{40,900}?)(?:\n\s*(?:Qualifications|Responsibilities|Required/Minimum)\b|$)"), 1)
+    own = F.regexp_extract(text, java(rf"Overview\s*\n+([\s\S]{{40,900}}?)(?:\n\s*(?:{tables.SHORT_OVERVIEW_ENDS})\b|$)"), 1)
     return F.substring(_trim(F.regexp_replace(F.when(own != "", own).otherwise(F.substring(text, 1, 600)), java(r"\s+"), " ")), 1, 700)
 
 
 def qualifications(text: Column) -> Column:
     """The qualifications section; empty without one."""
-    return _section(text, "(?:Required/Minimum Qualifications|Qualifications)", r"Responsibilities|Benefits|Microsoft is an equal", F.lit(""), 6000)
+    return _section(text, tables.QUALIFICATIONS, tables.QUALIFICATIONS_ENDS, F.lit(""), 6000)
 
 
 _MARK = "\u0001"
@@ -118,7 +118,7 @@ def title_words(title: Column) -> Column:
 
 def required_years(text: Column) -> Column:
     """The least number of years from 1 to 20 that a text asks for; null if none."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)([0-9]{1,2})\+?\s*years?" + r"(?![A-Za-z0-9_])"), 1), lambda x: x.cast("int"))
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(tables.YEARS + r"(?![A-Za-z0-9_])"), 1), lambda x: x.cast("int"))
     return F.array_min(F.filter(found, lambda n: n.between(1, 20)))
 
 
