@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sediment.functions import tables
+from sediment.functions import keywords, tables
 from sediment.functions.patterns import java
 
 
@@ -25,9 +25,17 @@ def plain_text(html: Column) -> Column:
 
 
 def without(text: Column, removals: list[str]) -> Column:
-    """Each pattern's matches replaced by a space, in order, then white space squeezed."""
+    """Each pattern's matches replaced by a space, in order, then white space squeezed. A pattern is tried where a literal of it occurs."""
+
+    def step(pattern: str, text: Column) -> Column:
+        own = keywords.literals(pattern)
+        if not own:
+            return F.regexp_replace(text, pattern, " ")
+        lowered = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+        return F.get(F.transform(lowered, lambda x: F.when(keywords.has_any(x["low"], own), F.regexp_replace(x["t"], pattern, " ")).otherwise(x["t"])), F.lit(0))
+
     for pattern in removals:
-        text = F.regexp_replace(text, pattern, " ")
+        text = step(pattern, text)
     return _squeeze(text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.functions import rules, tables, text
+from sediment.functions import keywords, rules, tables, text
 from sediment.functions.patterns import java
 
 
@@ -15,10 +15,15 @@ def skills(strong: Column, qualifications: Column) -> Column:
     for clause in tables.OPEN_LISTS:
         trimmed = F.regexp_replace(trimmed, java(clause), " ")
 
-    def hits(full: Column, cut: Column) -> Column:
-        return F.filter(F.array(*(F.when((full if s in tables.OPEN_LIST_SKILLS else cut).rlike(java(p)), F.lit(s)) for s, _, p in tables.SKILLS)), lambda x: x.isNotNull())
+    def hits(t: Column) -> Column:
+        def has(side: str, pattern: str) -> Column:
+            return keywords.matches(t[side], pattern, t[f"{side}_lower"])
 
-    return F.when(qualifications != "", hits(F.concat_ws("\n", strong, qualifications), F.concat_ws("\n", strong, trimmed))).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.array(*(F.when(has("full" if s in tables.OPEN_LIST_SKILLS else "cut", p), F.lit(s)) for s, _, p in tables.SKILLS)), lambda x: x.isNotNull())
+
+    full, cut = F.concat_ws("\n", strong, qualifications), F.concat_ws("\n", strong, trimmed)
+    texts = F.transform(F.array(F.struct(full.alias("full"), cut.alias("cut"))), lambda t: F.struct(t["full"].alias("full"), t["cut"].alias("cut"), F.lower(t["full"]).alias("full_lower"), F.lower(t["cut"]).alias("cut_lower")))
+    return F.when(qualifications != "", F.get(F.transform(texts, hits), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def classified(postings: DataFrame, themes: dict[str, list[str]] = tables.THEMES, industries: dict[str, list[str]] = tables.INDUSTRIES) -> DataFrame:
@@ -29,19 +34,21 @@ def classified(postings: DataFrame, themes: dict[str, list[str]] = tables.THEMES
     out = postings.withColumn("_plain", text.plain_text(F.coalesce("descriptionHtml", F.lit(""))))
     out = out.withColumn("_clean", text.without(F.col("_plain"), tables.REMOVALS))
     out = out.withColumns({"_overview": text.overview(F.col("_clean")), "_asked": text.qualifications(F.col("_clean")), "_strong": F.concat_ws(" ", "title", "profession", "discipline", "department")})
-    strong, clean, title = F.col("_strong"), F.col("_clean"), F.col("title")
-    everything = F.concat_ws("\n", strong, clean)
+    out = out.withColumn("_all", F.concat_ws("\n", "_strong", "_clean")).withColumn("_lower", F.lower("_all"))
+    every = [w for topics in (themes, industries) for words in topics.values() for w in words]
+    out = out.withColumns({f"_words_{n}": keywords.found(F.lower(F.coalesce(f"_{n}", F.lit(""))), every) for n in ("strong", "clean")})
+    strong, title, everything, lower = F.col("_strong"), F.col("title"), F.col("_all"), F.col("_lower")
     unit, source = rules.unit(strong, F.col("_overview"), F.col("department"), F.col("profession"), [(u, p, h) for u, _, p, h in tables.UNITS], tables.DEPARTMENTS, tables.PROFESSIONS)
     derived = {
         "seniority": rules.first_match(title, tables.SENIORITY, "Mid / Unspecified"),
         "archetype": rules.first_match(title, tables.ARCHETYPES, "other"),
-        "themes": rules.two_tier(strong, clean, themes) if themes else F.array().cast("array<string>"),
-        "industries": rules.two_tier(strong, clean, industries) if industries else F.array().cast("array<string>"),
-        "products": rules.any_match(everything, tables.PRODUCTS),
+        "themes": rules.of_topics(F.col("_words_strong"), F.col("_words_clean"), themes) if themes else F.array().cast("array<string>"),
+        "industries": rules.of_topics(F.col("_words_strong"), F.col("_words_clean"), industries) if industries else F.array().cast("array<string>"),
+        "products": rules.any_match(everything, tables.PRODUCTS, lower),
         "org": unit,
         "orgSource": source,
-        "solutionAreas": rules.any_match(everything, tables.SOLUTION_AREAS),
-        "initiatives": rules.any_match(everything, tables.INITIATIVES),
+        "solutionAreas": rules.any_match(everything, tables.SOLUTION_AREAS, lower),
+        "initiatives": rules.any_match(everything, tables.INITIATIVES, lower),
         "skills": skills(strong, F.col("_asked")),
         "requiredYears": text.required_years(F.col("_asked")),
         "degree": rules.first_match(F.col("_asked"), tables.DEGREES, None),
@@ -51,7 +58,7 @@ def classified(postings: DataFrame, themes: dict[str, list[str]] = tables.THEMES
     }
     for name, column in derived.items():
         out = out.withColumn(name, column)
-    return out.drop("_plain", "_clean", "_overview", "_asked", "_strong")
+    return out.drop("_plain", "_clean", "_overview", "_asked", "_strong", "_all", "_lower", "_words_strong", "_words_clean")
 
 
 def band(seniority: Column) -> Column:
