@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment import adverts, registry
+from sediment import adverts, ingestion, registry
 from sediment.functions import dates, rules, tables, text
 from sediment.functions.numbers import quotient
 from sediment.operators import browse, changes, cohorts, ranking, reports, series
@@ -669,4 +669,4 @@ def ratio_kpis(t: Tables) -> DataFrame:
 
 #: All queries, with those of the other modules, and the SQL of each.
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-__all__ = ["ORACLES", "QUERIES", "adverts"]
+__all__ = ["ORACLES", "QUERIES", "adverts", "ingestion"]

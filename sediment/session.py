@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +13,17 @@ def session(app: str = "sediment", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); it goes when the application ends. Only a local session without such a folder gets one of its own."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="sediment-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/sediment-{name}-{uuid.uuid4().hex}"
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(found)
+    return path

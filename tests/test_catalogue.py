@@ -8,7 +8,7 @@ import pytest
 
 from sediment import catalogue
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def plain(value):
