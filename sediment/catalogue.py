@@ -440,23 +440,47 @@ def report_overview(t: Tables) -> DataFrame:
     return found["meta"].select(F.lit("meta").alias("section"), "key", "n").unionByName(found["breakdowns"].withColumnRenamed("dim", "section"))
 
 
+_SENIORITIES = f"(select unnest([{', '.join(repr(x) for x in tables.SENIORITY_ORDER)}]) as col)"
+
+
+def _crossed(name: str, row: str, col: str, cols: str, where: str = "true") -> str:
+    cells = f"(select coalesce({row}, 'Unspecified') as row, coalesce({col}, 'Unspecified') as col, count(*) as n from o where {where} group by 1, 2)"
+    return f"select '{name}', r.row || '|' || q.col, coalesce(cells.n, 0)::bigint from (select row from {cells} group by 1 order by sum(n) desc, row limit 12) r cross join {cols} q left join {cells} cells on cells.row = r.row and cells.col = q.col"
+
+
+def _by_month(name: str, rows: str) -> str:
+    top = f"(select key, count(*) as s from {rows} semi join g using (month) group by 1 order by s desc, key limit 8)"
+    return f"select '{name}', top.key || '|' || g.month, (select count(*) from {rows} m where m.key = top.key and m.month = g.month)::bigint from {top} top cross join g"
+
+
+def _shift(name: str, rows: str) -> str:
+    top = f"(select key, count(*) as s from {rows} semi join g using (month) group by 1 order by s desc, key limit 8)"
+    per = f"(select key, (select count(*) from {rows} m join g using (month) where m.key = top.key and g.k <= 3) as recent, (select count(*) from {rows} m join g using (month) where m.key = top.key and g.k between 4 and 6) as prior from {top} top)"
+    return f"select '{name}', key || '|' || prior, recent::bigint from {per} where (select count(*) from g) >= 6 and (select sum(recent) from {per}) > 0 and (select sum(prior) from {per}) > 0"
+
+
 @query(
-    f"""with {_BOOK}, cells as (select profession as row, coalesce(role, 'Unspecified') as col, count(*) as n from o group by 1, 2), p as (select x.key as a, y.key as b, count(*) as n from k x join k y on x.id = y.id and x.key < y.key group by 1, 2 order by n desc, a, b limit 15),
-    m as (select strftime(posted, '%Y-%m') as month, key from k), g as (select distinct month from (select strftime(posted, '%Y-%m') as month from o) order by month desc limit 12), top as (select key, count(*) as s from m semi join g using (month) group by 1 order by s desc, key limit 8)
+    f"""with {_BOOK}, p as (select x.key as a, y.key as b, count(*) as n from k x join k y on x.id = y.id and x.key < y.key group by 1, 2 order by n desc, a, b limit 15),
+    m as (select strftime(posted, '%Y-%m') as month, key from k), mo as (select strftime(posted, '%Y-%m') as month, org as key from o where org is not null), mp as (select strftime(posted, '%Y-%m') as month, profession as key from o),
+    g as (select month, row_number() over (order by month desc) as k from (select distinct month from mp order by month desc limit 12))
     select 'pair' as section, a || '|' || b as key, n::bigint as n from p
-    union all select 'cross', r.row || '|' || q.col, coalesce(cells.n, 0)::bigint from (select row from cells group by 1 order by sum(n) desc, row limit 12) r cross join (values ('Individual Contributor'), ('People Manager'), ('Unspecified')) q(col) left join cells on cells.row = r.row and cells.col = q.col
+    union all {_crossed("profession by roleType", "profession", "role", "(values ('Individual Contributor'), ('People Manager'), ('Unspecified'))").replace(" q left", " q(col) left")}
+    union all {_crossed("profession by seniority", "profession", "seniority", _SENIORITIES)} union all {_crossed("org by seniority", "org", "seniority", _SENIORITIES, "org is not null")}
     union all select 'day', strftime(d.day, '%Y-%m-%d'), (select count(*) from o where posted::date = d.day)::bigint from (select unnest(generate_series(max(posted::date) - 179, max(posted::date), interval 1 day))::date as day from o) d
-    union all select 'month', top.key || '|' || g.month, (select count(*) from m where m.key = top.key and m.month = g.month)::bigint from top cross join g"""
+    union all {_by_month("month theme", "m")} union all {_by_month("month org", "mo")} union all {_by_month("month profession", "mp")} union all {_shift("shift theme", "m")} union all {_shift("shift org", "mo")}"""
 )
 def report_overview_tables(t: Tables) -> DataFrame:
     found = reports.overview(_postings(t), _now())
 
-    def of(section: str, df: DataFrame, *key) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), F.concat_ws("|", *key).alias("key"), "n")
+    def of(section, df: DataFrame, *key, n: str = "n") -> DataFrame:
+        return df.select((F.lit(section) if isinstance(section, str) else section).alias("section"), F.concat_ws("|", *key).alias("key"), c(n).alias("n"))
 
-    cross = found["crosstabs"].where("dim = 'profession by roleType'")
-    months = found["timeline"].where("dim = 'theme'")
-    return of("pair", found["themePairs"], "a", "b").unionByName(of("cross", cross, "row", "col")).unionByName(of("day", found["trend"], dates.day_key(c("day")))).unionByName(of("month", months, "key", "month"))
+    parts = [of("pair", found["themePairs"], "a", "b"), of(c("dim"), found["crosstabs"], "row", "col"), of("day", found["trend"], dates.day_key(c("day"))), of(F.concat(F.lit("month "), "dim"), found["timeline"], "key", "month")]
+    parts.append(of(F.concat(F.lit("shift "), "dim"), found["shift"], "key", c("prior").cast("string"), n="recent"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.operators.changes import latest_struct
+from sediment.operators.maintained import Breakdowns
 from sediment.registry import Tables, query
 from sediment.session import scratch
 from sediment.sources import landing, paged, quarantine
@@ -90,8 +91,8 @@ def good_clicks(t: Tables) -> DataFrame:
 _CHANGE = "client_id, change_id, seq, op, source, segment, city"
 
 
-def _replayed(t: Tables) -> Log:
-    """client_changes as a log: a version for each month, the last change of a client in it; D deletes. Compacted after the third."""
+def _replayed(t: Tables, after=lambda log: None) -> Log:
+    """client_changes as a log: a version for each month, the last change of a client in it; D deletes. Compacted after the third. after: called with the log as each version is in."""
     month = F.coalesce(F.date_trunc("month", "valid_at").cast("date"), F.to_date(F.lit("2024-01-01")))
     rows = t.client_changes.where("client_id is not null").select(*_CHANGE.split(", "), month.alias("month"))
     last = latest_struct(rows.withColumn("all", F.to_json(F.struct(*_CHANGE.split(", ")))), ["client_id", "month"], ["seq", "change_id", "all"]).drop("all")
@@ -101,6 +102,7 @@ def _replayed(t: Tables) -> Log:
         log.append(last.where(c("month") == F.lit(at)).withColumn("gone", c("op").eqNullSafe("D")), log.version())
         if n == 2:
             log.compact()
+        after(log)
     return log
 
 
@@ -124,3 +126,16 @@ def log_as_of(t: Tables) -> DataFrame:
 def log_changes(t: Tables) -> DataFrame:
     """What each version changed, from the archive and the latest changes."""
     return _replayed(t).changes().groupBy("month", "gone").agg(F.count("*").alias("n"), F.count_distinct("client_id").alias("clients"))
+
+
+@query(
+    f"""with {_MONTHS}, newest as (select * from monthly qualify row_number() over (partition by client_id order by month desc) = 1), held as (select * from newest where op is distinct from 'D')
+    select 'segment' as dim, coalesce(nullif(segment, ''), 'Unspecified') as value, count(*) as n from held group by 2 union all select 'city', coalesce(nullif(city, ''), 'Unspecified'), count(*) from held group by 2
+    union all select 'source', coalesce(nullif(source, ''), 'Unspecified'), count(*) from held group by 2 union all select 'words', w, count(*) from (select client_id, unnest(list_distinct(string_split(city || ' ' || segment, ' '))) as w from held) group by 2"""
+)
+def maintained_counts(t: Tables) -> DataFrame:
+    """Clients by segment, city, source and word, kept from version to version by what changed."""
+    dims = {"segment": "segment", "city": "city", "source": "source", "words": "split(city || ' ' || segment, ' ')"}
+    counts = Log(t.spark, scratch(t.spark, "counts"), "cell")
+    log = _replayed(t, lambda log: Breakdowns(log, counts, dims).refresh())
+    return Breakdowns(log, counts, dims).read()

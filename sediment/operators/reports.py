@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import dates, tables, text
 from sediment.functions.numbers import pct, quotient, ratio
-from sediment.operators import classify, cohorts, evidence, ranking, series
+from sediment.operators import cells, classify, cohorts, evidence, ranking, series
 
 NOT_STATED = "not_stated"
 _NONE = "array<string>"
@@ -47,17 +47,6 @@ def _now(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.sparkSession.range(1).select(as_of.alias("now"))
 
 
-def _melted(rows: DataFrame, dims: dict[str, Column], arrays: dict[str, Column]) -> DataFrame:
-    """(dim, key, n) of scalar and array dimensions in one pass and one shuffle; a row counts once for each different key."""
-    scalars = F.array(*(F.struct(F.lit(d).alias("dim"), ranking.stated(k).alias("key")) for d, k in dims.items()))
-
-    def entries(dim: str, keys: Column) -> Column:
-        return F.transform(F.array_distinct(keys), lambda x: F.struct(F.lit(dim).alias("dim"), x.alias("key")))
-
-    many = [entries(d, k) for d, k in arrays.items()]
-    return rows.select(F.explode(F.concat(scalars, *many)).alias("x")).groupBy("x.dim", "x.key").agg(F.count("*").alias("n"))
-
-
 def _labelled(dim: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(dim).alias("dim"), "*")
 
@@ -70,17 +59,17 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def overview(postings: DataFrame, as_of: Column, runs: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Totals, breakdowns, pairs of themes, cross tables, days and months of the open book."""
-    rows = is_open(postings)
+    """Totals, breakdowns, pairs of themes, cross tables, days and months of the open book.
+
+    One pass over the postings and one shuffle count the cells of all tables (operators.cells); the tables are made of these counts.
+    """
+    rows = postings if "parent" in postings.columns else postings.withColumn("parent", classify.parent(F.col("org")))
+    rows = rows.withColumn("_open", F.coalesce(F.col("status") == "open", F.lit(False)))
     remote = F.coalesce(F.concat_ws(" ", "workSite", "workLocationOption").rlike("(?i)remote"), F.lit(False))
     scalars = {k: F.col(k) for k in ("profession", "discipline", "department", "roleType", "employmentType", "seniority", "workSite", "travel")}
     scalars |= {"archetype": ranking.stated(F.col("archetype"), "other"), "org": ranking.stated(F.col("org"), NOT_STATED), "division": F.when(F.col("org").isNull(), NOT_STATED).otherwise(F.coalesce("parent", "org"))}
     cities = F.transform(_places(), lambda p: text.city_label(p["city"], p["country"]))
     arrays = {"country": _countries(), "city": cities, "theme": _array("themes"), "product": _array("products"), "industry": _array("industries"), "solutionArea": _array("solutionAreas"), "initiative": _array("initiatives"), "titleWord": text.title_words(F.col("title"))}
-    if "parent" not in rows.columns:
-        rows = rows.withColumn("parent", classify.parent(F.col("org")))
-    counts = _melted(rows, scalars, arrays)
-    ages = ranking.buckets(rows, dates.age_days(_posted(), as_of), _AGES, "180+ days").select(F.lit("age").alias("dim"), F.col("bucket").alias("key"), "n")
     conditions = {
         "multiLocation": F.size(_array("locations")) > 1,
         "remoteEligible": remote,
@@ -88,24 +77,45 @@ def overview(postings: DataFrame, as_of: Column, runs: DataFrame | None = None)
         "orgIdentified": F.col("org").isNotNull(),
         **{f"orgFrom_{s}": F.col("org").isNotNull() & (F.coalesce("orgSource", F.lit("self")) == s) for s in ("department", "profession", "self")},
     }
-    totals = postings.agg(F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "closed").alias("closed"), F.count("*").alias("tracked"))
-    aged = ranking.mean_age(rows, _posted(), _now(rows, as_of)).select(F.col("n").alias("aged"), F.col("days").alias("ageDays"))
-    closing = postings.where((F.col("status") == "closed") & F.col("daysOpen").isNotNull()).agg(ranking.upper_median("daysOpen").cast("long").alias("medianDaysToClose"))
-    meta = totals.crossJoin(ranking.conditional(rows, conditions).drop("n")).crossJoin(aged).crossJoin(closing)
+    crossed = {"profession by roleType": ("profession", "roleType"), "profession by seniority": ("profession", "seniority"), "org by seniority": ("org", "seniority")}
+    series_of = {"theme": _array("themes"), "org": F.array_compact(F.array("org")), "profession": F.array(ranking.stated(F.col("profession")))}
+    month, age, day = dates.month_key(_posted()), dates.age_days(_posted(), as_of), F.to_date(_posted())
+    own = [
+        *(cells.one("breakdown", F.lit(d), ranking.stated(k)) for d, k in scalars.items()),
+        *(cells.each_of("breakdown", d, k) for d, k in arrays.items()),
+        *(cells.one("meta", F.lit(k), where=F.coalesce(test, F.lit(False))) for k, test in conditions.items()),
+        *(cells.one(k, ranking.stated(F.col(a)), ranking.stated(F.col(b)), where=F.col("org").isNotNull() if a == "org" else None) for k, (a, b) in crossed.items()),
+        *(cells.each(f"month {k}", keys, month) for k, keys in series_of.items()),
+        cells.one("posted", month, where=month.isNotNull()),
+        cells.one("age", age, where=age.isNotNull()),
+        cells.one("day", day, where=day.isNotNull()),
+        cells.pairs("pair", _array("themes")),
+    ]
+    is_closed = F.col("status") == "closed"
+    whole = [cells.one("status", F.col("status")), cells.one("closing", F.lit("all"), F.col("daysOpen"), where=F.coalesce(is_closed, F.lit(False)) & F.col("daysOpen").isNotNull())]
+    found = cells.counted(rows, F.when(F.col("_open"), F.concat(*own)).otherwise(cells.none()), *whole)
+
+    aged = cells.table(found, "age", "days").withColumn("days", F.col("days").cast("long"))
+    by_age = F.coalesce(*(F.when(F.col("days") <= bound, name) for bound, name in _AGES), F.lit("180+ days"))
+    ages = aged.groupBy(by_age.alias("key")).agg(F.sum("n").alias("n")).select(F.lit("age").alias("dim"), "key", "n")
+    status = cells.table(found, "status", "key")
+    none = F.lit(0).cast("long")
+    totals = status.agg(F.coalesce(F.sum(F.when(F.col("key") == "open", F.col("n"))), none).alias("open"), F.coalesce(F.sum(F.when(F.col("key") == "closed", F.col("n"))), none).alias("closed"), F.coalesce(F.sum("n"), none).alias("tracked"))
+    marked = cells.table(found, "meta", "key").agg(*(F.coalesce(F.sum(F.when(F.col("key") == k, F.col("n"))), none).alias(k) for k in conditions))
+    meta = totals.crossJoin(marked).crossJoin(aged.agg(F.coalesce(F.sum("n"), none).alias("aged"), F.coalesce(F.sum(F.col("n") * F.col("days")), none).alias("ageDays")))
+    closing = cells.medians(cells.table(found, "closing", "key", "days"), "key", "days", upper=True).agg(F.max("median").alias("medianDaysToClose"))
+    meta = meta.crossJoin(closing)
     meta = meta.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("n")) for c in meta.columns))).alias("x")).select("x.*")
     seniority = list(tables.SENIORITY_ORDER)
-    crossed = [
-        _labelled("profession by roleType", ranking.crosstab(rows, F.col("profession"), F.col("roleType"), ["Individual Contributor", "People Manager", ranking.UNSPECIFIED], 12)),
-        _labelled("profession by seniority", ranking.crosstab(rows, F.col("profession"), F.col("seniority"), seniority, 12)),
-        _labelled("org by seniority", ranking.crosstab(rows.where("org is not null"), F.col("org"), F.col("seniority"), seniority, 12)),
-    ]
-    monthly = {k: series.monthly(rows, _posted(), keys, 12, 8) for k, keys in (("theme", _array("themes")), ("org", F.array_compact(F.array("org"))), ("profession", F.array(ranking.stated(F.col("profession")))))}
+    grid = cells.last_months(cells.table(found, "posted", "month"))
+    monthly = {k: cells.monthly(cells.table(found, f"month {k}", "key", "month"), grid, 8) for k in series_of}
+    days = cells.table(found, "day", "day").withColumn("day", F.col("day").cast("date"))
     out = {
         "meta": meta,
-        "breakdowns": counts.unionByName(ages),
-        "themePairs": ranking.pairs(rows, _array("themes")).orderBy(F.col("n").desc(), "a", "b").limit(15),
-        "crosstabs": _union(crossed),
-        "trend": series.dense_days(rows, _posted(), 180),
+        "breakdowns": cells.table(found, "breakdown", "dim", "key").unionByName(ages),
+        "themePairs": cells.table(found, "pair", "a", "b").orderBy(F.col("n").desc(), "a", "b").limit(15),
+        "crosstabs": _union(_labelled(k, cells.crosstab(cells.table(found, k, "row", "col"), ["Individual Contributor", "People Manager", ranking.UNSPECIFIED] if b == "roleType" else seniority, 12)) for k, (_, b) in crossed.items()),
+        "trend": series.filled(days, 180),
         "timeline": _union(_labelled(k, m) for k, m in monthly.items()),
         "shift": _union(_labelled(k, series.share_shift(monthly[k])) for k in ("theme", "org")),
     }

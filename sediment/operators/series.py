@@ -46,7 +46,11 @@ def most_changed(shifts: DataFrame, k: int) -> DataFrame:
 
 def dense_days(rows: DataFrame, day: Column, days: int) -> DataFrame:
     """(day, n): each calendar day of the last so many up to the last one that occurs, zeros too."""
-    counts = rows.where(day.isNotNull()).groupBy(F.to_date(day).alias("day")).agg(F.count("*").alias("n"))
+    return filled(rows.where(day.isNotNull()).groupBy(F.to_date(day).alias("day")).agg(F.count("*").alias("n")), days)
+
+
+def filled(counts: DataFrame, days: int) -> DataFrame:
+    """dense_days() of a table (day, n)."""
     last = counts.agg(F.max("day").alias("last")).where("last is not null")
     calendar = last.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("day"))
     return calendar.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -92,6 +92,11 @@ class Log(Store):
             raise InvalidState("nothing is published")
         return self._merged(m).drop("version", "gone")
 
+    def read_keys(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows of a version whose key is in keys; only the buckets that these are in are read."""
+        touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # self.buckets at most
+        return self._merged(self.manifest(version), touched).join(keys.select(self.key).distinct(), self.key, "left_semi").drop("version", "gone")
+
     def changes(self, after: int = 0, version: int | None = None) -> DataFrame:
         """All changes of the versions after one, with their version and gone."""
         m = self.manifest(version)
