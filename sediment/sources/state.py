@@ -29,13 +29,6 @@ def layout(root: str) -> dict[str, str]:
     return {name: f"{root.rstrip('/')}/{file}" for name, file in FILES.items()}
 
 
-def write_derived(root: str, stats: Any, browse: DataFrame) -> None:
-    """What is derived from a state: the document of statistics, and the rows that are browsed, as one new table. root: a folder that all executors share."""
-    places = layout(root)
-    browse.write.mode("overwrite").parquet(places["browse"])
-    write_document(f"{places['stats']}.json", stats)
-
-
 def read_document(path: str, default: Any = None) -> Any:
     """A JSON document; the default only if there is none. A broken one raises."""
     file = Path(path)
@@ -193,3 +186,13 @@ class Store:
             self.files.delete(self._path(folder), True)
             raise
         return base + 1
+
+
+def write_derived(store: Store, stats: Any, browse: DataFrame, more: dict[str, DataFrame] | None = None) -> int:
+    """What is derived from a state: the document of statistics (a table of one JSON text) and the rows that are browsed, as one version, so that nobody sees one of them without the other."""
+    document = store.spark.createDataFrame([(json.dumps(stats, ensure_ascii=False, default=str),)], "document string")
+    return store.publish({FILES["stats"]: document, FILES["browse"]: browse, **(more or {})}, store.version())
+
+
+def read_stats(store: Store, version: int | None = None) -> Any:
+    return json.loads(store.read(FILES["stats"], version).first()[0])

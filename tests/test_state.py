@@ -75,12 +75,17 @@ def test_documents(tmp_path):
         state.read_document(str(tmp_path / "broken.json"), {})
 
 
-def test_layout_and_derived(spark, tmp_path):
-    state.write_derived(str(tmp_path), {"open": 2}, spark.range(3))
-    places = state.layout(f"{tmp_path}/")
-    assert state.read_document(places["stats"] + ".json") == {"open": 2} and spark.read.parquet(places["browse"]).count() == 3
-    state.write_derived(str(tmp_path), {"open": 3}, spark.range(2))
-    assert spark.read.parquet(places["browse"]).count() == 2
+def test_layout_and_derived(spark, tmp_path, monkeypatch):
+    """The document and the rows of one run are seen together, also if a writer dies between the two."""
+    assert state.layout("/r/")["browse"] == "/r/jobs.min"
+    store = state.Store(spark, str(tmp_path))
+    seen = lambda: (state.read_stats(store), store.read(state.FILES["browse"]).count())
+    assert state.write_derived(store, {"open": 2, "é": [None]}, spark.range(3)) == 1 and seen() == ({"open": 2, "é": [None]}, 3)
+    with pytest.raises(Exception, match="broken"):
+        state.write_derived(store, {"open": 9}, spark.range(1).select(F.raise_error(F.lit("broken")).alias("x")))
+    assert seen() == ({"open": 2, "é": [None]}, 3)
+    state.write_derived(store, {"open": 3}, spark.range(2))
+    assert seen() == ({"open": 3}, 2) and state.read_stats(store, 1)["open"] == 2
 
 
 DAY = dt.datetime(2024, 5, 2, 6, 0, 0)
