@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions import dates, numbers, patterns, rules, tables, text
-from sediment.operators import classify, evidence
+from sediment.operators import classify, evidence, reports
 from sediment.registry import Tables, query
 
 c = F.col
@@ -212,22 +212,51 @@ def passages_evidence(t: Tables) -> DataFrame:
     return evidence.evidence(rows, c("parts")).drop("parts")
 
 
-@query(
-    f"""with {_EVIDENCE}, worded as (select signal, trim(regexp_replace(lower(excerpt), '[^A-Za-z0-9_]+', ' ', 'g')) as words, count(*) as n, min((id, excerpt)) as one from found group by 1, 2),
-    placed as (select *, row_number() over (partition by signal order by one) as k from worded),
-    names as (select unnest([{", ".join(_text(s[0]) for s in tables.SIGNALS)}]) as signal, unnest(range({len(tables.SIGNALS)}))::integer as ordinal),
-    summed as (select signal, sum(n)::bigint as n, count(*) as passages, string_agg(one[1]::varchar, ',' order by one) filter (k <= 3) as ids from placed group by 1),
-    readable as (select count(distinct id) as total from lines)
-    select ordinal, signal, coalesce(n, 0)::bigint as n, case when 2.0 * 2 * coalesce(n, 0) * 100 / total = floor(2.0 * 2 * coalesce(n, 0) * 100 / total) then round(coalesce(n, 0)::double / total * 100, 1) else format('{{:.1f}}', coalesce(n, 0)::double / total * 100)::double end as share,
-    coalesce(passages, 0)::bigint as passages, case when n is null then 'Not observed' when n = 1 then 'One advert' when passages = 1 then 'Repeated wording' else 'Multiple passages' end as level, ids
-    from names left join summed using (signal), readable"""
-)
+def _summed(found: str, lines: str) -> str:
+    """evidence.summary() of the rows of found; lines: those that can be read."""
+    percent = f"coalesce(n, 0)::double / nullif((select count(distinct id) from {lines}), 0) * 100"
+    return f"""select ordinal, signal, coalesce(n, 0)::bigint as n, {_fixed(percent, 1)} as share, coalesce(passages, 0)::bigint as passages,
+      case when n is null then 'Not observed' when n = 1 then 'One advert' when passages = 1 then 'Repeated wording' else 'Multiple passages' end as level, ids
+      from (select unnest([{", ".join(_text(s[0]) for s in tables.SIGNALS)}]) as signal, unnest(range({len(tables.SIGNALS)}))::integer as ordinal) left join (
+        select signal, sum(n)::bigint as n, count(*) as passages, string_agg(one[1]::varchar, ',' order by one) filter (k <= 3) as ids from (
+          select *, row_number() over (partition by signal order by one) as k from (
+            select signal, trim(regexp_replace(lower(excerpt), '[^A-Za-z0-9_]+', ' ', 'g')) as words, count(*) as n, min((id, excerpt)) as one from {found} group by 1, 2)) group by 1) using (signal)"""
+
+
+def _fixed(x: str, digits: int) -> str:
+    return f"case when ({x}) * {2 ** (digits + 1)} = floor(({x}) * {2 ** (digits + 1)}) then round({x}, {digits}) else format('{{:.{digits}f}}', {x})::double end"
+
+
+def _ids() -> Column:
+    return F.array_join(F.transform("excerpts", lambda x: x["id"].cast("string")), ",").alias("ids")
+
+
+@query(f"with {_EVIDENCE} {_summed('found', 'lines')}")
 def evidence_summary(t: Tables) -> DataFrame:
     """How many adverts show each signal, in how many wordings, and whose they are."""
     rows = _passages(t)
     readable = rows.where(F.size("parts") > 0).agg(F.count("*").alias("n"))
-    found = evidence.evidence(rows, c("parts")).drop("parts")
-    return evidence.summary(found, readable).withColumn("ids", F.array_join(F.transform("excerpts", lambda x: x["id"].cast("string")), ",")).drop("excerpts")
+    return evidence.summary(evidence.evidence(rows, c("parts")).drop("parts"), readable).withColumn("ids", _ids()).drop("excerpts")
+
+
+#: Every third advert is a unit's, every third another's; of the rest some are closed and some have no text.
+_UNIT_OF = "case id % 3 when 0 then 'isd' when 1 then 'csu' end"
+
+
+def _own(name: str, unit: str) -> str:
+    live = f"id % 3 = {0 if unit == 'isd' else 1} and id % 5 <> 4"
+    return f"select '{name}' as cohort, * from ({_summed(f'(select * from found where {live})', f'(select * from lines where {live})')})"
+
+
+@query(f"with {_EVIDENCE} {_own('evidence', 'isd')} union all {_own('comparison', 'csu')} union all select 'unreadable', unnest(range({len(tables.SIGNALS)}))::integer, unnest([{', '.join(_text(s[0]) for s in tables.SIGNALS)}]), 0, null, 0, 'Not observed', null")
+def strategy_evidence(t: Tables) -> DataFrame:
+    """Evidence of a unit beside another's, and of one that has no texts, whose shares are null."""
+    rows = adverts(t).select("id", "descriptionHtml", F.lit(None).cast("string").alias("overview"), F.expr(_UNIT_OF).alias("org"), F.when(c("id") % 5 == 4, "closed").otherwise("open").alias("status"))
+    mute = rows.select("id", F.lit("").alias("descriptionHtml"), "overview", F.lit("mute").alias("org"), F.lit("open").alias("status"))
+    found, none = reports.strategy(rows, "isd", "csu"), reports.strategy(mute, "mute", "none")
+    parts = [("evidence", found["evidence"]), ("comparison", found["comparison"]), ("unreadable", none["evidence"])]
+    out = [df.select(F.lit(name).alias("cohort"), "ordinal", "signal", "n", "share", "passages", "level", _ids()) for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 _PLACES = """where_ as (select c_custkey as id, case c_custkey % 6 when 0 then n_name || ', ' || r_name || ' , ' || c_name when 1 then c_name || ', ' || n_name when 2 then n_name when 3 then '' when 4 then c_name || ', UK' else 'USA, ' || r_name || ', Any, ' || c_name end as place,
@@ -249,10 +278,6 @@ def parse_location(t: Tables) -> DataFrame:
     return rows.select(k.alias("id"), text.place(place, code).alias("p")).select("id", "p.*")
 
 
-def _fixed(x: str, digits: int) -> str:
-    return f"case when ({x}) * {2 ** (digits + 1)} = floor(({x}) * {2 ** (digits + 1)}) then round({x}, {digits}) else format('{{:.{digits}f}}', {x})::double end"
-
-
 _SHARE, _LIFT = "p_size::double / nullif(p_partkey % 4, 0) * 100", "p_retailprice / 300"
 
 

@@ -92,7 +92,7 @@ def year_buckets(t: Tables) -> DataFrame:
 
 @query("select quantile_disc(l_quantity, 0.5 order by l_quantity desc)::double as median from lineitem")
 def median_upper(t: Tables) -> DataFrame:
-    return t.lineitem.agg(ranking.upper_median("l_quantity").alias("median"))
+    return ranking.medians(t.lineitem, F.lit("all"), c("l_quantity"), upper=True).select("median")
 
 
 @query("select l_returnflag as key, count(*)::bigint as n, median(l_quantity)::double as median from lineitem group by 1 having count(*) >= 5")
@@ -561,12 +561,12 @@ def report_brief_skew(t: Tables) -> DataFrame:
     return reports.brief(_postings(t), _now())["skew"].where("dim = 'theme'").select("key", "total", "recent", "index")
 
 
-_RUNS = """select r.run, o_orderkey as id, case o_orderkey % 3 when 0 then 'added' when 1 then 'removed' else 'updated' end as kind, o_orderpriority as title from orders join (values (1), (2), (3)) r(run) on o_orderkey % 4 = r.run"""
+_RUNS = """select o_orderkey % 4 as run, o_orderkey as id, case o_orderkey % 3 when 0 then 'added' when 1 then 'removed' else 'updated' end as kind, o_orderpriority as title from orders"""
 
 
 def _run_changes(t: Tables) -> DataFrame:
     key = c("o_orderkey")
-    return t.orders.where(key % 4 != 0).select((key % 4).cast("int").alias("run"), key.alias("id"), F.when(key % 3 == 0, "added").when(key % 3 == 1, "removed").otherwise("updated").alias("kind"), c("o_orderpriority").alias("title"))
+    return t.orders.select((key % 4).cast("int").alias("run"), key.alias("id"), F.when(key % 3 == 0, "added").when(key % 3 == 1, "removed").otherwise("updated").alias("kind"), c("o_orderpriority").alias("title"))
 
 
 @query(
@@ -691,6 +691,35 @@ def ratio_kpis(t: Tables) -> DataFrame:
     return found.select("key", "a", "b", quotient(c("a"), c("f")).alias("ratio"), quotient(c("a"), c("b")).alias("none"))
 
 
+_FACETED = [("profession", "profession = '1-URGENT'"), ("seniority", "seniority = 'Senior'"), ("org", "org is null"), ("themes", "id in (select id from keys where key = 'PROMO')")]
+
+
+def _facet(name: str) -> str:
+    others = " and ".join(f"coalesce({test}, false)" for n, test in _FACETED if n != name)
+    source, value = ("k", "key") if name == "themes" else ("o", f"coalesce({name}, '{browse.NONE}')")
+    return f"select '{name}' as facet, {value} as value, count(*)::bigint as n from {source} where {others} group by 2"
+
+
+@query(f"with {_BOOK} {' union all '.join(_facet(n) for n, _ in _FACETED)}")
+def facet_counts(t: Tables) -> DataFrame:
+    """Values of four facets of the open book, each under the filters of the others."""
+    return browse.facet_counts(reports.is_open(_postings(t)), {"profession": "1-URGENT", "seniority": "Senior", "org": browse.NONE}, {"themes": "PROMO"})
+
+
+@query(
+    f"""with {_BOOK}, tags as (select id, array_to_string(list_sort(list(key)), ',') as themes from keys group by 1)
+    select o.id::varchar as id, profession || ' ' || discipline as title, profession, discipline, coalesce(role, 'Unspecified') as role, 'Full-Time' as employment, seniority, coalesce(site, 'Unspecified') as site, coalesce(travel, 'Unspecified') as travel,
+    country as countries, city || ', ' || country as location, date_part('epoch', posted)::bigint as created, coalesce(themes, '') as themes, discipline as industries, archetype, years::integer as years, org, case when o.id % 8 = 0 then 'agentic' else '' end as initiatives, '' as overview
+    from o left join tags using (id)"""
+)
+def browse_table(t: Tables) -> DataFrame:
+    """The rows that are browsed, of the whole open book."""
+    postings = _postings(t).withColumns({"jobId": F.lit(None).cast("string"), "postedTs": F.lit(None).cast("long"), "overview": F.lit(None).cast("string")})
+    rows = browse.browse_rows(postings)
+    joined = [F.array_join(c(k), ",").alias(k) for k in ("countries", "industries", "initiatives")]
+    return rows.select("id", "title", "profession", "discipline", c("roleType").alias("role"), c("employmentType").alias("employment"), "seniority", c("workSite").alias("site"), "travel", *joined, "location", c("creationTs").alias("created"), F.array_join(F.array_sort("themes"), ",").alias("themes"), "archetype", c("requiredYears").alias("years"), "org", "overview")
+
+
 #: All queries, with those of the other modules, and the SQL of each.
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 __all__ = ["ORACLES", "QUERIES", "adverts", "ingestion"]

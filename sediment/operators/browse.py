@@ -65,3 +65,24 @@ def browse_rows(postings: DataFrame) -> DataFrame:
         "postedTs", "creationTs", tags("themes"), tags("industries"), stated(F.col("archetype"), "other").alias("archetype"), tags("skills"), "requiredYears", tags("products"),
         F.nullif("org", F.lit("")).alias("org"), tags("solutionAreas"), tags("initiatives"), F.substring(F.coalesce("overview", F.lit("")), 1, 320).alias("overview"), "url",
     )
+
+
+def facet_counts(rows: DataFrame, equal: dict[str, str | None], holds: dict[str, str | None]) -> DataFrame:
+    """(facet, value, n): the values of every facet, each counted under the filters of all other ones, in one pass.
+
+    A row that meets all filters counts for every facet, one that fails a single filter for that facet only, any other for none. Facets as in facets();
+    NONE stands for rows without a value of a scalar one.
+    """
+    tests = {k: F.lit(True) if not v else F.col(k).isNull() if v == NONE else F.col(k) == v for k, v in equal.items()}
+    tests |= {k: F.array_contains(k, v) if v else F.lit(True) for k, v in holds.items()}
+    tests = {k: F.coalesce(t, F.lit(False)) for k, t in tests.items()}
+    failed = sum(((~t).cast("int") for t in tests.values()), F.lit(0))
+
+    def entries(facet: str) -> Column:
+        values = F.array_distinct(F.coalesce(facet, F.array().cast("array<string>"))) if facet in holds else F.array(F.coalesce(F.col(facet).cast("string"), F.lit(NONE)))
+        cells = F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+        alone = F.col("_failed") == 0 if not (equal | holds)[facet] else (F.col("_failed") == 0) | ((F.col("_failed") == 1) & ~F.col(f"_meets_{facet}"))
+        return F.when(alone, cells).otherwise(F.array().cast("array<struct<facet:string,value:string>>"))
+
+    marked = rows.withColumns({"_failed": failed} | {f"_meets_{k}": t for k, t in tests.items()})
+    return marked.select(F.explode(F.concat(*map(entries, tests))).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))

@@ -81,8 +81,8 @@ def upper_median(column: str) -> Column:
 ACCURACY = 10_000
 
 
-def medians(rows: DataFrame, key: Column, value: Column) -> DataFrame:
-    """(key, n, median) of stated values, exact; of two middle values the mean. However many values a group has, a sketch first
+def medians(rows: DataFrame, key: Column, value: Column, upper: bool = False) -> DataFrame:
+    """(key, n, median) of stated values, exact; of two middle values the mean, or with upper the larger. However many values a group has, a sketch first
     brackets its middle, then all rows are counted against that: only values inside, a five-hundredth of the rows, are ranked."""
     found = rows.where(value.isNotNull()).select(key.alias("key"), value.cast("double").alias("v"))
     reach = 10 / ACCURACY
@@ -97,7 +97,7 @@ def medians(rows: DataFrame, key: Column, value: Column) -> DataFrame:
 
     middle = counts.withColumn("upto", upto).groupBy("key", "n").agg(at(F.expr("(n - 1) div 2")).alias("a"), at(F.expr("n div 2")).alias("b"))
     outside = F.raise_error(F.lit("a median lies outside its bracket")).cast("double")
-    return middle.select("key", "n", F.coalesce(0.5 * F.col("a") + 0.5 * F.col("b"), outside).alias("median"))
+    return middle.select("key", "n", F.coalesce(F.col("b") if upper else 0.5 * F.col("a") + 0.5 * F.col("b"), outside).alias("median"))
 
 
 def median_by(rows: DataFrame, group: Column, value: Column, least: int = 5) -> DataFrame:
