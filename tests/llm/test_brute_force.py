@@ -613,3 +613,51 @@ def test_running_least(spark):
     for own in ([], values[:1], values[:512], values[:513], values):
         got = spark.createDataFrame([(own,)], "v array<int>").select(native.running(F.col("v"), F.least).alias("low"), native.running(F.col("v"), F.greatest).alias("high")).first()
         assert got.low == [min(own[: i + 1]) for i in range(len(own))] and got.high == [max(own[: i + 1]) for i in range(len(own))]
+
+
+def _every_way(word, pieces):
+    """[(pieces of a segmentation)] of a word, by pieces and by bytes, in plain Python. pieces: {text: number}, a byte's key is an int."""
+    if not word:
+        return [()]
+    out = []
+    for text, number in pieces.items():
+        if isinstance(text, str) and word.startswith(text):
+            out += [(number, *rest) for rest in _every_way(word[len(text) :], pieces)]
+    whole = tuple(pieces[b] for b in word[0].encode())
+    return out + [whole + rest for rest in _every_way(word[1:], pieces)]
+
+
+def test_lattice_with_bytes_and_long_words(monkeypatch):
+    """Probabilities and expected uses against all segmentations, bytes too; a word gone over alone gives what it gives among others."""
+    texts = ["▁", "a", "b", "é", "ab", "▁a", "bé", "aba"]
+    byte_of = [None] * len(texts) + list(range(256))
+    rng = np.random.default_rng(6)
+    weights = np.log(rng.dirichlet(np.ones(len(byte_of))))
+    lattice = lattice_lm.Lattice(texts + [f"<0x{b:02X}>" for b in range(256)], byte_of, weights)
+    numbers = {t: i for i, t in enumerate(texts)} | {b: len(texts) + b for b in range(256)}
+    codes = lambda w: np.array([[ord(c) for c in w]])
+    for word in ("▁ab", "▁abéba", "▁日a", "▁ababab"):
+        ways = _every_way(word, numbers)
+        chances = np.array([np.exp(weights[list(w)].sum()) for w in ways])
+        uses = sum(np.bincount(w, minlength=len(weights)) * p for w, p in zip(ways, chances, strict=True)) / chances.sum() * 3
+        for long in (400, 1):
+            monkeypatch.setattr(lattice_lm, "LONG", long)
+            assert lattice.last(codes(word))[0] == pytest.approx(math.log(chances.sum()))
+            assert lattice.expected(codes(word), np.array([3.0])) == pytest.approx(uses, abs=1e-9)
+    word = "▁" + "".join(rng.choice(list("abéx日"), 900))
+    found = []
+    for long in (10_000, 1):
+        monkeypatch.setattr(lattice_lm, "LONG", long)
+        found.append((lattice.last(codes(word))[0], lattice.expected(codes(word), np.array([2.0]))))
+    assert found[0][0] == pytest.approx(found[1][0]) and found[0][1] == pytest.approx(found[1][1], rel=1e-6, abs=1e-9)
+
+
+def test_lattice_of_a_megabyte_without_white_space():
+    """One word of a million characters: proportional to its length."""
+    import time
+
+    lattice = lattice_lm.Lattice(*lattice_lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    word = np.array([[ord(c) for c in "▁" + "".join(np.random.default_rng(1).choice(list("abcdefghij0123日本"), 1_000_000))]])
+    start = time.process_time()
+    assert lattice.last(word)[0] < -1e6
+    assert time.process_time() - start < 60
