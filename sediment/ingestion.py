@@ -29,10 +29,10 @@ def land(rows: DataFrame, position, total: int, root: str, size: int = PER_PAGE,
 
 
 def _landed(t: Tables) -> DataFrame:
-    """Two passes over customers in the source's format. In the first one, the last page holds a row of the page before: rows moved meanwhile."""
+    """Two passes over customers in the source's format. In the first one, the last row is the first one again: rows moved meanwhile."""
     people = t.customer.select(c("c_custkey").alias("id"), c("c_name").alias("name"))
     total = people.count()
-    moved = F.when((c("pass") == 1) & (c("id") == total - 1), total - PER_PAGE - 1).otherwise(c("id"))
+    moved = F.when((c("pass") == 1) & (c("id") == total - 1), 0).otherwise(c("id"))
     passes = people.crossJoin(t.spark.range(1, 3).select(c("id").cast("int").alias("pass"))).withColumn("id", moved)
     # customers are numbered from 0 without gaps, so a key is a place
     place = F.when((c("pass") == 1) & (c("name") == F.format_string("Customer#%09d", F.lit(total - 1))), total - 1).otherwise(c("id"))

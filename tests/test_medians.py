@@ -24,6 +24,8 @@ def test_medians(spark):
     assert got.keys() == values.keys()
     for k, xs in values.items():
         assert got[k][0] == len(xs) and got[k][1] == pytest.approx(statistics.median(xs), rel=1e-15)
+    upper = {r.key: r.median for r in ranking.medians(found, F.col("k"), F.col("v"), upper=True).collect()}
+    assert upper == {k: statistics.median_high(xs) for k, xs in values.items()}
     assert {r.key for r in ranking.median_by(found, F.col("k"), F.col("v"), 4).collect()} == {"hot", "even", "ties", "skewed"}
     assert ranking.medians(found.limit(0), F.col("k"), F.col("v")).collect() == []
 
