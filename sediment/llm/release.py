@@ -5,7 +5,7 @@ step of the tree at a time, and windows number what is delivered and sum the che
 pieces of so many turns; a turn whose ancestors lie in the piece before waits, and is resolved with the last two turns of that piece, again and
 again until none waits (one more step, unless an unbroken line of parents crosses a whole piece). Its releases are numbered within
 spans of time, by the same windows, and prefix sums over the spans, which are taken level by level with at most `width` rows in a group, give
-the numbers before each. So no conversation, however long, meets in one task.
+the numbers before each. So no conversation, however long, meets in one task. Tables are joined by merging, whatever their size: nothing that grows is broadcast.
 
 Rows with the same conv_id and turn are one turn: it is returned once, with their number in copies, and the smallest checksum of their texts
 counts. Rows without conv_id or turn cannot be placed; they are returned, grouped likewise, with nothing else known. Turns may be negative or
@@ -130,7 +130,7 @@ def running(cells: DataFrame, key: str, at: str, values: dict[str, str], width:
         level = level.select(key, at, "up", *(F.coalesce(F.sum(n).over(before).cast(d), F.lit(0).cast(d)).alias(n) for n in values))
         if total is not None:
             above = total.select(F.col(key).alias("_key"), F.col(at).alias("_at"), *(F.col(n).alias(f"_{n}") for n in values))
-            level = level.join(above, F.col(key).eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_at")))
+            level = level.join(above.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_at")))
             level = level.select(key, at, *((F.col(n) + F.col(f"_{n}")).cast(d).alias(n) for n in values))
         total = level
     return total.select(key, at, *values)
@@ -154,11 +154,11 @@ def placed(turns: DataFrame, width: int = WIDTH) -> DataFrame:
     known = known.withColumn("block", block.cast("long"))
     cells = common.written(known.groupBy("conv_id", "block").agg(F.count("*").alias("n")), "blocks")
     before = running(cells, "conv_id", "block", {"first": "n"}, width)
-    before = common.written(before.join(cells, ["conv_id", "block"]).select("conv_id", "block", F.col("first").cast("long").alias("first"), "n"), "firsts")
+    before = common.written(before.join(cells.hint("merge"), ["conv_id", "block"]).select("conv_id", "block", F.col("first").cast("long").alias("first"), "n"), "firsts")
     longs = before.where(F.col("first") + F.col("n") > width).select("conv_id").distinct().withColumn("long", F.lit(True))
-    before = before.drop("n").join(longs, "conv_id", "left").withColumn("long", F.coalesce("long", F.lit(False)))
+    before = before.drop("n").join(longs.hint("merge"), "conv_id", "left").withColumn("long", F.coalesce("long", F.lit(False)))
     p = F.col("first") + F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn")) - 1
-    found = known.join(before, ["conv_id", "block"]).withColumn("p", p.cast("long")).drop("block", "first")
+    found = known.join(before.hint("merge"), ["conv_id", "block"]).withColumn("p", p.cast("long")).drop("block", "first")
     lost = rows.where(F.col("conv_id").isNull() | F.col("turn").isNull()).withColumns({"long": F.lit(False), "p": F.lit(None).cast("long")})
     return common.written(found.unionByName(lost), "placed")
 
@@ -222,10 +222,10 @@ def _long(waiting: DataFrame, schema: str, kept: str, width: int, rows: int) ->
     spans = local.groupBy("conv_id", "span").agg(F.max("n").alias("n"), F.max("crcs").alias("crcs"), F.max("state").alias("state"))
     spans = common.written(spans, "spans")
     firsts = running(spans, "conv_id", "span", {"first": "n"}, width)
-    placed_spans = common.written(spans.join(firsts, ["conv_id", "span"]).withColumn("sum", F.pmod((F.col("first") * F.col("crcs")).cast("decimal(38,0)") + F.col("state"), F.lit("18446744073709551616").cast("decimal(38,0)"))), "spans")
+    placed_spans = common.written(spans.join(firsts.hint("merge"), ["conv_id", "span"]).withColumn("sum", F.pmod((F.col("first") * F.col("crcs")).cast("decimal(38,0)") + F.col("state"), F.lit("18446744073709551616").cast("decimal(38,0)"))), "spans")
     states = running(placed_spans, "conv_id", "span", {"before": "sum"}, width)
-    placed_spans = placed_spans.join(states, ["conv_id", "span"]).select("conv_id", "span", "first", "before")
+    placed_spans = placed_spans.join(states.hint("merge"), ["conv_id", "span"]).select("conv_id", "span", "first", "before")
     d = "decimal(38,0)"
-    numbers = local.join(placed_spans, ["conv_id", "span"]).select("conv_id", "turn", (F.col("first") + F.col("n")).cast("long").alias("release_no"), _wrap((F.col("before") + (F.col("first") * F.col("crcs")).cast(d) + F.col("state")).cast(d)).alias("state"))
+    numbers = local.join(placed_spans.hint("merge"), ["conv_id", "span"]).select("conv_id", "turn", (F.col("first") + F.col("n")).cast("long").alias("release_no"), _wrap((F.col("before") + (F.col("first") * F.col("crcs")).cast(d) + F.col("state")).cast(d)).alias("state"))
     # both sides are spread by turn, so a long conversation is too
-    return resolved.join(numbers, ["conv_id", "turn"], "left").select("conv_id", "turn", "copies", "status", "attempts", "first_at", "last_at", "release_no", "state")
+    return resolved.join(numbers.hint("merge"), ["conv_id", "turn"], "left").select("conv_id", "turn", "copies", "status", "attempts", "first_at", "last_at", "release_no", "state")
