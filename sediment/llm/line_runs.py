@@ -21,7 +21,9 @@ from sediment.llm import common
 #: Code points of the shortest key that counts.
 SHORTEST = 10
 #: Batches; runs of a level that are compacted; lines for each bucket.
-BATCHES, FAN, PER_BUCKET = 6, 3, 4_000_000
+BATCHES, FAN, PER_BUCKET = 6, 3, 16_000_000
+#: The most buckets that Spark allows by default; beyond it buckets grow.
+MOST_BUCKETS = 100_000
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,7 +97,7 @@ def repeats(docs: DataFrame, batches: int = BATCHES, fan: int = FAN, least: int
     everything = spark.read.schema(schema).parquet(path)
     sizes = {r.batch: r.n for r in everything.groupBy("batch").agg(F.count("*").alias("n")).collect()}  # one for each batch
     gone = spark.createDataFrame([], "doc long, row long, at int")
-    runs = Runs(spark, max(8, -(-sum(sizes.values()) // per_bucket)), fan)
+    runs = Runs(spark, min(MOST_BUCKETS, max(8, -(-sum(sizes.values()) // per_bucket))), fan)
     try:
         for number in sorted(sizes):
             here = everything.where(F.col("batch") == number).drop("batch")
