@@ -13,7 +13,7 @@ on the driver with a fixed seed.
 
 Not text at all, and dropped by the reader: comments, doctype, the head, script, style, template, and markup. Character
 references are decoded, white space inside a block becomes one space. A null or empty page has an empty text. Repeated rows and url ties give repeated
-results; an empty table gives none. Only page_id, url and html are read.
+results; an empty table gives none. Only page_id, url and html are read. A very long page is held whole by one task, with a vector for each of its blocks.
 """
 
 from __future__ import annotations

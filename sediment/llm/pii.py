@@ -11,7 +11,7 @@ at every place of the texts that hold e; sanitise() generalises them to [TERM] a
 
 Null texts are empty. Documents are told apart by doc_id and text; every row gets its result, and
 equal texts count once in the statistics. An empty table gives no rows. Other columns are ignored
-(sanitise() keeps them).
+(sanitise() keeps them). A very long text is held whole by one task; one with hits also as an array of its code points.
 """
 
 from __future__ import annotations

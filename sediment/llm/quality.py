@@ -10,7 +10,8 @@ Identifiers (keys, hashes, card numbers, addresses that hold digits) say nothing
 of a whole short text. So character classes are counted without them, unless they are more than half of the text.
 
 A null text is the empty one: no words, base_failed, not kept. Repeated rows give repeated results;
-an empty table gives none. Only doc_id and text are read, so other columns cannot clash.
+an empty table gives none. Only doc_id and text are read, so other columns cannot clash. A very long text
+is held whole by one task, with an array of its words and one of its windows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ that Spark can reach will do. Each block is read without any other.
 
 Nulls and empty texts give the end id alone. A null doc_id comes first and stays null. Repeated rows
 are all kept; rows of one doc_id lie in the order of their texts' hashes. An empty table gives an
-empty file set. Other columns are ignored. A block whose checksum is wrong stops the read.
+empty file set. Other columns are ignored. A block whose checksum is wrong stops the read. A very long text
+and its ids, four bytes each, are held whole by one task.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ text. Half of it fits the trees, the other half the calibration. Label, language
 
 Null and empty texts have features of zeros and get the model's score for them. A null doc_id is not held out and never trained on.
 Documents with several labels count as toxic if one says so; null labels are left out. If no toxic or no clean text is left for training, each score is
-the share of toxic ones (0 without any). Repeated rows are scored alike. An empty table gives no rows. Other columns are ignored.
+the share of toxic ones (0 without any). Repeated rows are scored alike. An empty table gives no rows. Other columns are ignored. A very long
+text is held whole, with its words, by one task.
 """
 
 from __future__ import annotations
