@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the columns of documents. Each works on all rows that the stage before kept, and its decisions take effect: texts that fail
 the quality rules go, one document of each near-duplicate class stays, documents that share a passage with the benchmark go, personal
 data and disclosing terms are replaced in the texts, and what is left is packed.
+
+Null and empty texts have no words and go with the first stage; a null doc_id is kept and packed as null. Of repeated rows, as of near duplicates, one stays. Tables
+without rows give none. Columns beyond those of documents, whatever their names, go through all stages but the last. A very long text is held whole by one task of each stage.
 """
 
 from __future__ import annotations
