@@ -520,6 +520,9 @@ _COHORT = "('FRANCE', 'GERMANY', 'NATION_3', 'NATION_7')"
     union all select 'theme', key, count(*) filter (inside), count(*) filter (not inside) from w join keys using (id) group by 2 having count(*) filter (inside) >= 3
     union all select 'country', country, count(*) filter (inside), count(*) filter (not inside) from w group by 2 having count(*) filter (inside) >= 1
     union all select 'travel', coalesce(travel, 'Unspecified'), count(*) filter (inside), count(*) filter (not inside) from w group by 2 having count(*) filter (inside) >= 1
+    union all select 'org', org, count(*) filter (inside), count(*) filter (not inside) from w where org is not null group by 2 having count(*) filter (inside) >= 1
+    union all select 'industry', discipline, count(*) filter (inside), count(*) filter (not inside) from w group by 2 having count(*) filter (inside) >= 1
+    union all select 'initiative', 'agentic', count(*) filter (inside), count(*) filter (not inside) from w where id % 8 = 0 having count(*) filter (inside) >= 2
     union all select 'newness', d::varchar, count(*) filter (inside and posted >= timestamp '2001-08-01' - d * interval 1 day), count(*) filter (not inside and posted >= timestamp '2001-08-01' - d * interval 1 day) from w cross join (values (30), (60), (90)) v(d) group by d
     union all select 'shape', 'delivery', count(*) filter (archetype in ('engineer', 'architect')), count(*) filter (archetype in ('sales', 'csam')) from w where inside
     union all select 'surface', 'mentions', count(*), 0 from w where not inside and id % 5 = 0
@@ -533,7 +536,7 @@ def report_cohort(t: Tables) -> DataFrame:
     def of(section, df: DataFrame, key, n, rest) -> DataFrame:
         return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"), rest.cast("long").alias("rest_n"))
 
-    compared = found["compared"].where(c("dim").isin("archetype", "seniority", "theme", "country", "travel")).select(c("dim").alias("section"), "key", "n", "rest_n")
+    compared = found["compared"].select(c("dim").alias("section"), "key", "n", "rest_n")
     sizes = t.spark.createDataFrame([("managers", "manager"), ("travels", "travel")], "section string, measure string")
     rows = _postings(t).where("status = 'open'").select(F.when(cohorts.inside(c("org"), members), "cohort").otherwise(F.coalesce("parent", F.lit("none"))).alias("key"), "roleType", "travel").groupBy("key").agg(F.count("roleType").alias("manager"), F.count("travel").alias("travel"))
     given = rows.select("key", F.explode(F.array(F.struct(F.lit("manager").alias("measure"), c("manager").alias("given")), F.struct(F.lit("travel").alias("measure"), c("travel").alias("given")))).alias("x")).select("key", "x.*")
@@ -720,6 +723,18 @@ def browse_table(t: Tables) -> DataFrame:
     return rows.select("id", "title", "profession", "discipline", c("roleType").alias("role"), c("employmentType").alias("employment"), "seniority", c("workSite").alias("site"), "travel", *joined, "location", c("creationTs").alias("created"), F.array_join(F.array_sort("themes"), ",").alias("themes"), "archetype", c("requiredYears").alias("years"), "org", "overview")
 
 
+@query(
+    f"""with {_BOOK}, w as (select *, case when coalesce(org in (select n_name from nation where n_regionkey = 3), false) then 'cohort' else coalesce(parent, 'none') end as key from o)
+    select key, count(*) as n, 1.0::double as industry, count(*) filter (role = 'People Manager')::double / nullif(count(role), 0) as manager, count(*) filter (travel in ('25-50%', '50-75%'))::double / nullif(count(travel), 0) as travel,
+    count(*) filter (id % 8 = 0)::double / count(*) as agentic, count(*) filter (seniority in ('Senior', 'Principal'))::double / count(*) as senior, count(*) filter (archetype in ('engineer', 'architect'))::double / count(*) as delivery,
+    count(*) filter (archetype = 'architect')::double / count(*) as consulting, count(*) filter (archetype in ('sales', 'csam'))::double / count(*) as selling from w group by 1"""
+)
+def report_profile(t: Tables) -> DataFrame:
+    """The cohort's profile beside each division's, all measures."""
+    members = [r.n_name for r in t.nation.where("n_regionkey = 3").select("n_name").collect()]  # a lookup table of nations
+    return reports.cohort(_postings(t), members, _now())["profile"]
+
+
 #: All queries, with those of the other modules, and the SQL of each.
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 __all__ = ["ORACLES", "QUERIES", "adverts", "ingestion"]
