@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.functions import dates, numbers, patterns, rules, tables, text
+from sediment.functions import dates, numbers, patterns, tables, text
 from sediment.operators import classify, evidence, reports
 from sediment.registry import Tables, query
 
