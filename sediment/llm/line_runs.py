@@ -48,21 +48,21 @@ class Runs:
         """The rows whose key no run holds."""
         for level in self.levels:
             for name in level:
-                keys = keys.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
+                keys = keys.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return keys
 
-    def add(self, keys: DataFrame) -> None:
-        """A run of keys that no other run holds; full levels are compacted."""
-        name, depth = self.table(keys.select("h1", "h2")), 0
+    def add(self, name: str) -> None:
+        """A table of keys that no run holds becomes a run; full levels are compacted."""
+        depth = 0
         while True:
             if depth == len(self.levels):
                 self.levels.append([])
             self.levels[depth].append(name)
             if len(self.levels[depth]) < self.fan:
                 return
-            whole = self.spark.table(self.levels[depth][0])
+            whole = self.spark.table(self.levels[depth][0]).select("h1", "h2")
             for other in self.levels[depth][1:]:
-                whole = whole.unionAll(self.spark.table(other))
+                whole = whole.unionAll(self.spark.table(other).select("h1", "h2"))
             name, self.levels[depth], depth = self.table(whole), [], depth + 1
 
     def drop(self) -> None:
@@ -102,11 +102,11 @@ def repeats(docs: DataFrame, batches: int = BATCHES, fan: int = FAN, least: int
         for number in sorted(sizes):
             here = everything.where(F.col("batch") == number).drop("batch")
             own = here.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-            own = spark.table(runs.table(own))
-            new = spark.table(runs.table(runs.unseen(own)))
+            own = common.written(own, "keys")
+            new = runs.table(runs.unseen(own).select("h1", "h2", "first"))
             runs.add(new)
             # null: an earlier batch holds it; keys of one document that no run holds are left out
-            stays = own.join(new.select("h1", "h2", F.col("first").alias("keeper")).hint("merge"), ["h1", "h2"], "left").where("keeper is null or first < last")
+            stays = own.join(spark.table(new).select("h1", "h2", F.col("first").alias("keeper")).hint("merge"), ["h1", "h2"], "left").where("keeper is null or first < last")
             told = common.written(stays.select("h1", "h2", "n", "keeper"), "told")
             dropped = common.spread_join(here, told, ["h1", "h2"], "n", sizes[number]).where("keeper is null or doc <> keeper")
             gone = gone.unionByName(common.written(dropped.select("doc", "row", "at"), "gone"))

@@ -184,7 +184,7 @@ def test_runs_stay_few(spark):
     try:
         for batch in range(7):
             keys = spark.range(batch * 50, batch * 50 + 100).selectExpr("id as h1", "id % 7 as h2")
-            runs.add(runs.unseen(keys))
+            runs.add(runs.table(runs.unseen(keys)))
         names = [n for level in runs.levels for n in level]
         held = [tuple(r) for n in names for r in spark.table(n).collect()]
         assert [len(x) for x in runs.levels] == [1, 1, 1]
