@@ -234,9 +234,7 @@ def _ids() -> Column:
 @query(f"with {_EVIDENCE} {_summed('found', 'lines')}")
 def evidence_summary(t: Tables) -> DataFrame:
     """How many adverts show each signal, in how many wordings, and whose they are."""
-    rows = _passages(t)
-    readable = rows.where(F.size("parts") > 0).agg(F.count("*").alias("n"))
-    return evidence.summary(evidence.evidence(rows, c("parts")).drop("parts"), readable).withColumn("ids", _ids()).drop("excerpts")
+    return evidence.summary(evidence.counted(_passages(t), c("parts"))).withColumn("ids", _ids()).drop("excerpts")
 
 
 #: Every third advert is a unit's, every third another's; of the rest some are closed and some have no text.

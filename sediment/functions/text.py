@@ -19,9 +19,16 @@ def _squeeze(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Line ends for breaks and closed paragraphs, spaces for other tags, entities decoded (unknown ones are spaces), white space squeezed. Null stays null."""
-    for pattern, by in tables.MARKUP:
-        html = F.regexp_replace(html, pattern, by)
-    return _squeeze(html)
+
+    def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+        for pattern, by in rules:
+            text = F.regexp_replace(text, pattern, by)
+        return text
+
+    # entities are looked for only where their mark is
+    tags, entities = ([r for r in tables.MARKUP if ("&" in r[0]) is marked] for marked in (False, True))
+    bare = F.transform(F.array(replaced(html, tags)), lambda t: F.when(t.contains("&"), replaced(t, entities)).otherwise(t))
+    return _squeeze(F.get(bare, F.lit(0)))
 
 
 def without(text: Column, removals: list[str]) -> Column:
@@ -72,9 +79,12 @@ _MARK = "\u0001"
 def sections(text: Column, keep: tuple[str, ...] = ("overview", "responsibilities")) -> Column:
     """array<struct<section, text>>: the sections of these headings. A heading stands alone on its line, and each section ends at the next one, so an empty one takes nothing of its neighbour."""
     heading = rf"(?im)^[ \t]*({tables.HEADINGS})[ \t]*:?[ \t]*\r?$"
-    parts = F.split(F.regexp_replace(text, heading, f"{_MARK}$1{_MARK}"), _MARK)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), lambda i: F.struct(F.get(parts, i).alias("section"), F.get(parts, i + 1).alias("text")))
-    return F.filter(pairs, lambda x: F.lower(x["section"]).isin(*keep) & x["text"].isNotNull())
+
+    def of(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), lambda i: F.struct(F.get(parts, i).alias("section"), F.get(parts, i + 1).alias("text")))
+        return F.filter(pairs, lambda x: F.lower(x["section"]).isin(*keep) & x["text"].isNotNull())
+
+    return F.get(F.transform(F.array(F.split(F.regexp_replace(text, heading, f"{_MARK}$1{_MARK}"), _MARK)), of), F.lit(0))
 
 
 def excerpt(text: Column) -> Column:

@@ -227,15 +227,12 @@ def brief(postings: DataFrame, as_of: Column, days: DataFrame | None = None, tog
 
 
 def strategy(postings: DataFrame, unit: str, against: str) -> dict[str, DataFrame]:
-    """Evidence for each signal in the passages of a unit's postings, and of another's beside it."""
-    out = {}
-    for name, org in (("evidence", unit), ("comparison", against)):
-        plain = text.plain_text(F.coalesce("descriptionHtml", F.lit("")))
-        whole = F.when(F.coalesce("descriptionHtml", F.lit("")) != "", text.sections(plain)).otherwise(text.excerpt(F.coalesce("overview", F.lit(""))))
-        rows = is_open(postings).where(F.col("org") == org).select("id", text.passages(whole).alias("parts"))
-        readable = rows.agg(F.count_if(F.size("parts") > 0).alias("n"))
-        out[name] = evidence.summary(evidence.evidence(rows, F.col("parts")).drop("parts"), readable)
-    return out
+    """Evidence for each signal in the passages of a unit's postings, and of another's beside it. The postings are read once for both."""
+    plain = text.plain_text(F.coalesce("descriptionHtml", F.lit("")))
+    whole = F.when(F.coalesce("descriptionHtml", F.lit("")) != "", text.sections(plain)).otherwise(text.excerpt(F.coalesce("overview", F.lit(""))))
+    rows = is_open(postings).where(F.col("org").isin(unit, against)).select("id", "org", text.passages(whole).alias("parts"))
+    counts = evidence.counted(rows, F.col("parts"), ("org",))
+    return {name: evidence.summary(counts.where(F.col("org") == org)) for name, org in (("evidence", unit), ("comparison", against))}
 
 
 def change_log(changes: DataFrame, run: str = "run", opened: int = 8, closed: int = 6) -> DataFrame:
