@@ -11,8 +11,11 @@ with its hubs, the members that share the most buckets with others (of all, or o
 Members of a bucket that is left with several components go on to the next step, where a bucket is two bands that agree together, then
 three: a crowd that only shares a passage falls apart into ever purer buckets, while two documents as similar as the threshold share
 several buckets on every step (of step 1: 7 of 14, on average). Each step makes at most a fixed number of pairs for each document and bucket, so work
-grows with the documents, never with the square of a group, and no bucket is capped or left out. A link is lost only if the two share no bucket whose
-hub both resemble on any step; the README gives the share measured against all pairs.
+grows with the documents, never with the square of a group, and no bucket is capped or left out.
+
+What the ladder leaves is compared exactly: in each bucket of one band that still holds several components, all pairs of members of different ones (REST). A pair is first held to an upper bound of its
+similarity, from the weights that each text has in PARTS classes of shingles; only pairs whose bound reaches the threshold are verified. So two texts that share any band and are similar enough are in one class, always. These
+pairs grow with the square of a bucket that stays mixed; they are dealt in blocks of BLOCK members by BLOCK, so memory doesn't.
 
 Words are lower-case runs of letters and digits, told apart by 32-bit hashes (shingles by 64 bits of five of them). Texts of 1 to 4 words are one shingle; texts without words (null, empty, only marks)
 are linked with none, and are classes of their own. Texts with equal words are one text from the start, told apart by 128 bits.
@@ -45,6 +48,8 @@ FLOOR = 2.0**-12
 CHUNK, SAMPLED = 400_000, 1 << 16
 #: Members that one task compares with a copy of their hub.
 MEMBERS = 500
+#: Classes of shingles by whose weights similarities are bounded, and members of a mixed bucket that are compared at once.
+PARTS, BLOCK = 128, 1000
 
 _U = np.uint64
 
@@ -262,6 +267,76 @@ def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _sketch(idf: Idf):
+    """(id, weights): the weight that a text has in each of PARTS classes of shingles, as float32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in _spans(np.diff(whole.column("h").offsets.to_numpy()).astype(np.int64), SAMPLED):
+                lists = whole.column("h").slice(a, b - a)
+                doc, code, weight = shingles(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), idf)
+                at = doc * PARTS + (_mix(code) % _U(PARTS)).astype(np.int64)
+                sums = np.bincount(at, weights=weight, minlength=(b - a) * PARTS).astype(np.float32).reshape(b - a, PARTS)
+                yield pa.RecordBatch.from_arrays([whole.column("id").slice(a, b - a), pa.array([x.tobytes() for x in sums], pa.binary())], names=["id", "weights"])
+
+    return run
+
+
+def bounded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarity of one text, by its weights, with each of several: the sum of the lesser weights is no less than what the two have in common."""
+    both = np.minimum(a, b).sum(axis=1, dtype=np.float64)
+    return both / np.maximum(a.sum(dtype=np.float64) + b.sum(axis=1, dtype=np.float64) - both, 1e-30)
+
+
+def _near(threshold: float):
+    """Rows of one pair of blocks follow each other: pairs (id, hub) of different components, one of each block, whose bound reaches the threshold. A block with itself: each pair once."""
+
+    def pairs(rows: pa.Table, i: int, j: int) -> pa.RecordBatch:
+        weights = np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float32).reshape(rows.num_rows, PARTS)
+        own, node, of = (rows.column(c).to_numpy() for c in ("block", "id", "component"))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left, right = (x[np.argsort(node[x])] for x in (left, right))
+        u, v = [], []
+        for k in left:
+            other = right[(of[right] != of[k]) & ((node[right] > node[k]) if i == j else True)]
+            near = other[bounded(weights[k], weights[other]) >= threshold - 1e-4]
+            u.append(np.maximum(node[near], node[k]))
+            v.append(np.minimum(node[near], node[k]))
+        none = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u or none)), pa.array(np.concatenate(v or none))], names=["id", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True))
+            start = 0
+            for n in range(1, len(keys) + 1):
+                if n < len(keys) and keys[n] == keys[start]:
+                    continue
+                if at is not None and keys[start] != at:
+                    yield pairs(pa.Table.from_batches(held), *at[1:])
+                    held = []
+                at = keys[start]
+                held.append(batch.slice(start, n - start))
+                start = n
+        if held:
+            yield pairs(pa.Table.from_batches(held), *at[1:])
+
+    return run
+
+
+def _rest(members: DataFrame, hubs: DataFrame, found: DataFrame | None, words: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """All pairs (id, hub) that may be similar, of members of different components in buckets of one band whose hub both were compared with already."""
+    rest = _placed(members.where("n > 2"), found).join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
+    rest = common.written(rest.join(mixed.select("bucket", "blocks"), "bucket").select("bucket", "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "rest")
+    sketched = words.join(rest.select("id").distinct(), "id", "left_semi").transform(common.in_arrow, _sketch(idf), "id long, weights binary")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = rest.select("bucket", "id", "component", "block", F.explode(every).alias("x")).withColumns({"i": F.least("block", "x"), "j": F.greatest("block", "x")}).drop("x")
+    rows = dealt.join(common.written(sketched, "sketched"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.select("bucket", "i", "j", "block", "id", "component", "weights").transform(common.in_arrow, _near(threshold), "id long, hub long").distinct()
+
+
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, key, id, class_id): key is the hash of the text; id tells classes apart, null for a text without words."""
     texts = common.documents(docs)
@@ -277,7 +352,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = common.written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    base, found, links, compared, words = nodes.select("id", "bands"), None, None, None, None
+    base, found, links, compared, words, first = nodes.select("id", "bands"), None, None, None, None, None
     for depth, number, width in LADDER:
         members = common.written(_members(base, depth, number), "members")
         if words is None:  # of all that can become candidates, one text for each
@@ -290,6 +365,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         hubs = placed.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(width)).alias("k")).agg(F.max(F.struct("score", "id", "component")).alias("x"))
         hubs = hubs.select("bucket", F.col("x.id").alias("hub"), F.col("x.component").alias("of"))
         hubs = common.written(hubs, "hubs")
+        first = first or (members, hubs)
         pairs = _placed(members, found).join(hubs, "bucket").where("component <> of").select("id", "hub").distinct()
         pairs = common.written(pairs if compared is None else pairs.join(compared, ["id", "hub"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
@@ -306,6 +382,14 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
             break
         base = nodes.join(left, "id", "left_semi").select("id", "bands")
 
+    pairs = _rest(*first, found, words, idf, threshold).join(compared, ["id", "hub"], "left_anti").join(compared.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["id", "hub"], "left_anti")
+    pairs = common.written(pairs, "pairs")
+    if not pairs.isEmpty():
+        more = _verified(pairs, words, idf, threshold)
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            found = common.written(components(links), "components")
+
     own = _placed(nodes.select("id", "node", "doc_id"), found)
     least = own.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = common.written(own.join(least, "component").select("node", F.col("component").alias("id"), "class_id"), "named")

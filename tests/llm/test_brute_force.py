@@ -1,6 +1,7 @@
 """Operators against plain Python over the smallest tables and over odd rows: nulls, empty and long texts, ties, repeated rows, no rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -368,6 +369,40 @@ def test_near_dedup_in_a_crowd(spark):
     assert not made_up and len(texts) - len(set(of.values())) >= 0.97 * merges
 
 
+def test_near_dedup_loses_no_pair_that_shares_a_band(spark, monkeypatch):
+    """With one step of the ladder, two bands and one hub a bucket, crowds stay mixed; the exact rest finds every similar pair of each band, in blocks of a few members."""
+    monkeypatch.setattr(near_dedup, "LADDER", ((1, 2, 1),))
+    monkeypatch.setattr(near_dedup, "BLOCK", 20, raising=False)
+    rng = np.random.default_rng(5)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    passage = say(600)
+    texts = [passage + say(40) for _ in range(80)]
+    for t in texts[:40]:
+        t = list(t)
+        t[-1 - int(rng.integers(0, 40))] = "edited"
+        texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).cache()
+    hashed = docs.select("doc_id", near_dedup._hashes(near_dedup.F.col("text")).alias("h")).orderBy("doc_id").cache()
+    lists = [np.array(r.h) for r in hashed.collect()]
+    doc, code, weight = near_dedup.shingles(np.concatenate(lists), np.array([len(x) for x in lists]), near_dedup._idf(hashed))
+    bands = near_dedup.signatures(doc, code, weight, near_dedup._Draws())[1]
+    own = [(code[doc == i], weight[doc == i]) for i in range(len(texts))]
+    pairs = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (bands[i, :2] == bands[j, :2]).any()}
+    alike = {p for p in pairs if near_dedup.similarity(own[p[0]], own[p[1]]) >= near_dedup.SIMILARITY}
+    assert len(pairs) > 500 and len(alike) >= 20
+    of = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert [p for p in alike if of[p[0]] != of[p[1]]] == []
+
+
+def test_similarities_are_bounded():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 300, int(rng.integers(1, 200))).astype(np.uint64)) for _ in "ab")
+        x, y = ((k, rng.uniform(0.5, 9, len(k)).astype(np.float32)) for k in (a, b))
+        sketch = [np.bincount((near_dedup._mix(k) % near_dedup._U(near_dedup.PARTS)).astype(np.int64), weights=w, minlength=near_dedup.PARTS).astype(np.float32) for k, w in (x, y)]
+        assert near_dedup.bounded(sketch[0], sketch[1][None])[0] >= near_dedup.similarity(x, y) - 1e-4
+
+
 CLASHING = "doc_id long, text string, _key long, wanted_id string, Rows int, own_id int, id long, node string, M int, _m int, _spans string, hits int, hit_id int, bad_id int, doc int, key int, content int"
 
 
