@@ -31,12 +31,23 @@ TRIES, WAIT, TIMEOUT = 3, 0.5, 30
 
 @dataclass
 class Page(InputPartition):
-    """One page: a partition of its own."""
+    """One page; in a stream a partition of its own."""
 
     offset: int
     again: bool = False
 
 
+#: Pages that one task reads, one after the other.
+PER_TASK = 64
+
+
+@dataclass
+class Run(InputPartition):
+    """Pages that follow each other: a partition for PER_TASK of them, as a task costs more than a page."""
+
+    pages: tuple[Page, ...]
+
+
 def fetched(url: str) -> dict:
     """The JSON document there; some tries, and more time between them."""
     for attempt in range(TRIES):
@@ -89,9 +100,14 @@ class _Pages:
 
 
 class _Reader(_Pages, DataSourceReader):
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Run]:
         offsets = list(range(0, max(self.total(), 1), self.size))
-        return [*map(Page, offsets), *(Page(o, True) for o in sorted({offsets[0], offsets[-1]}) if self.again)]
+        runs = [Run(tuple(map(Page, offsets[k : k + PER_TASK]))) for k in range(0, len(offsets), PER_TASK)]
+        return [*runs, *(Run((Page(o, True),)) for o in sorted({offsets[0], offsets[-1]}) if self.again)]
+
+    def read(self, partition: Run) -> Iterator[tuple]:
+        for page in partition.pages:
+            yield from super().read(page)
 
 
 class _Stream(_Pages, DataSourceStreamReader):

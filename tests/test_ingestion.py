@@ -174,3 +174,12 @@ def test_the_quarantine_takes_a_stream(spark, tmp_path):
     query = stream.writeStream.foreachBatch(put.ingest).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(300)
     assert query.exception() is None and put.good().count() == 2 and put.faults().count() == 11 and put.log.version() == 2
+
+
+def test_a_task_reads_many_pages(spark, monkeypatch):
+    """Tasks grow with a part of the pages, and each page is read once, its ends again."""
+    monkeypatch.setattr(paged, "fetched", lambda url: {"total": 2000, "positions": []})
+    reader = paged._Reader({"url": "{offset}", "again": "true"}, paged.StructType.fromDDL(paged.SCHEMA))
+    runs = reader.partitions()
+    assert len(runs) == 6 and sorted((p.offset, p.again) for r in runs for p in r.pages) == sorted([*((k, False) for k in range(0, 2000, 10)), (0, True), (1990, True)])
+    assert [row[1] for row in reader.read(runs[0])] == list(range(paged.PER_TASK))
