@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sediment.functions.dates import age_days
 from sediment.functions.numbers import quotient
 from sediment.functions.patterns import java
+from sediment.session import scratch
 
 UNSPECIFIED = "Unspecified"
 
@@ -77,27 +78,29 @@ def upper_median(column: str) -> Column:
     return F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
 
 
-#: Error of the sketch that brackets a median is a share of 1 / ACCURACY of a group's rows; the bracket reaches ten times as far.
-ACCURACY = 10_000
-
-
 def medians(rows: DataFrame, key: Column, value: Column, upper: bool = False) -> DataFrame:
-    """(key, n, median) of stated values, exact; of two middle values the mean, or with upper the larger. However many values a group has, a sketch first
-    brackets its middle, then all rows are counted against that: only values inside, a five-hundredth of the rows, are ranked."""
+    """(key, n, median) of stated values, exact; of two middle values the mean, or with upper the larger.
+
+    Equal values are counted first, and the counts are written in order of key and value, dealt by ranges of both. The sums of these ranges tell which of them hold
+    the middle of a key; only those are ranked. So no task gathers a key, however few keys there are and however many values one has.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "medians")
     found = rows.where(value.isNotNull()).select(key.alias("key"), value.cast("double").alias("v"))
-    reach = 10 / ACCURACY
-    ends = found.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("v", [0.5 - reach, 0.5 + reach], ACCURACY).alias("ends"))
-    ends = ends.select(F.col("key").alias("of"), "n", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
-    placed = found.join(ends, F.col("key").eqNullSafe(F.col("of"))).where(F.col("v") <= F.col("high"))
-    counts = placed.groupBy("key", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("key").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    dealt = found.groupBy("key", "v").agg(F.count("*").alias("c")).repartitionByRange("key", "v").withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    counts = spark.read.schema(dealt.schema).parquet(path)
+    sums = counts.groupBy("key", "part").agg(F.sum("c").alias("c"))
+    of_key = Window.partitionBy("key")
+    sums = sums.select(F.col("key").alias("of"), F.col("part").alias("_p"), F.sum("c").over(of_key).alias("n"), F.sum("c").over(of_key.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("end"), "c")
+    middle = sums.where("end > (n - 1) div 2 and end - c <= n div 2").select("of", "_p", "n", (F.col("end") - F.col("c")).alias("before"))
+    placed = counts.join(middle, (F.col("part") == F.col("_p")) & F.col("key").eqNullSafe(F.col("of")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("key", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
 
     def at(rank: Column) -> Column:
         return F.min_by("v", F.when(F.col("upto") > rank, F.col("upto")))
 
-    middle = counts.withColumn("upto", upto).groupBy("key", "n").agg(at(F.expr("(n - 1) div 2")).alias("a"), at(F.expr("n div 2")).alias("b"))
-    outside = F.raise_error(F.lit("a median lies outside its bracket")).cast("double")
-    return middle.select("key", "n", F.coalesce(F.col("b") if upper else 0.5 * F.col("a") + 0.5 * F.col("b"), outside).alias("median"))
+    ranked_rows = placed.withColumn("upto", upto).groupBy("key", "n").agg(at(F.expr("(n - 1) div 2")).alias("a"), at(F.expr("n div 2")).alias("b"))
+    return ranked_rows.select("key", "n", (F.col("b") if upper else 0.5 * F.col("a") + 0.5 * F.col("b")).alias("median"))
 
 
 def median_by(rows: DataFrame, group: Column, value: Column, least: int = 5) -> DataFrame:

@@ -34,3 +34,13 @@ def test_market_months_without_values(spark):
     rows = spark.sql("select timestamp'2024-01-05' as ts, cast(null as double) as v union all select timestamp'2024-02-05', 3.0 union all select timestamp'2024-02-06', null union all select null, 9.0")
     got = series.market_months(rows, F.col("ts"), {"dear": F.col("v") > 2}, F.col("v"), 1).orderBy("month").collect()
     assert [tuple(r) for r in got] == [("2024-01", 1, 0, None), ("2024-02", 2, 1, 3.0)]
+
+
+def test_medians_gather_no_key(spark):
+    rows = spark.range(300_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50).cast("double").alias("v"))
+    plan = ranking.medians(rows, F.col("k"), F.col("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "percentile" not in plan  # it reads counts of equal values only
+    many = rows.select(F.lit("hot").alias("k"), F.rand(5).alias("v"))
+    own = sorted(r.v for r in many.collect())
+    held = spark.createDataFrame([("hot", x) for x in own], "k string, v double").repartition(5)
+    assert [tuple(r) for r in ranking.medians(held, F.col("k"), F.col("v")).collect()] == [("hot", 300_000, 0.5 * own[149_999] + 0.5 * own[150_000])]
