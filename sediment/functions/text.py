@@ -109,8 +109,9 @@ def normalised(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens in their order, with the marks that names of techniques have."""
-    raw = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9+#&./ -]+", " "), " +")
-    return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, r"^[-.]+|[-.]+$", "")), lambda w: w != "")
+    raw = F.regexp_replace(F.lower(text), "[^a-z0-9+#&./ -]+", " ")
+    bare = F.regexp_replace(raw, r"(?=[-.])(?:(?<![^ ])[-.]+|[-.]+(?![^ ]))", "")  # marks at a word's edges
+    return F.filter(F.split(bare, " +"), lambda w: w != "")
 
 
 def is_content(word: Column) -> Column:
@@ -120,12 +121,12 @@ def is_content(word: Column) -> Column:
 def terms(text: Column) -> Column:
     """Different content words, and pairs of content words that stand next to each other."""
 
-    def of(words: Column) -> Column:
-        n = F.greatest(F.size(words) - 1, F.lit(0))
-        pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.when(is_content(a) & is_content(b), F.concat_ws(" ", a, b)))
-        return F.array_distinct(F.concat(F.filter(words, is_content), F.filter(pairs, lambda x: x.isNotNull())))
+    def of(marks: Column) -> Column:
+        n = F.greatest(F.size(marks) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(marks, 1, n), F.slice(marks, 2, n), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
+        return F.array_distinct(F.concat(F.filter(marks, lambda x: x.isNotNull()), F.filter(pairs, lambda x: x.isNotNull())))
 
-    return F.get(F.transform(F.array(tokens(text)), of), F.lit(0))
+    return F.get(F.transform(F.array(F.transform(tokens(text), lambda w: F.when(is_content(w), w))), of), F.lit(0))
 
 
 def title_words(title: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sediment.functions.numbers import pct, quotient, ratio
 from sediment.functions.text import terms
 from sediment.operators.ranking import matching
+from sediment.session import scratch
 
 
 def inside(key: Column, members: list[str]) -> Column:
@@ -50,6 +51,9 @@ def distinctive(texts: DataFrame, cohort: Column, text: Column, least: int = 5,
     counted = term_counts(texts, cohort, text).where(F.col("n") >= least).crossJoin(F.broadcast(sizes))
     share = F.col("n") / F.col("in_n")
     rows = counted.select("term", "n", "rest_n", share.alias("share"), (F.col("rest_n") / F.col("out_n")).alias("rest_share"), (share / ((F.col("rest_n") + 0.5) / F.col("out_n"))).alias("lift")).where(F.col("lift") >= lift)
+    path = scratch(texts.sparkSession, "terms")  # written, as both kinds of terms and what covers them are made of it
+    rows.write.parquet(path)
+    rows = texts.sparkSession.read.schema(rows.schema).parquet(path)
     phrase = F.contains(F.col("term"), F.lit(" "))
     covered = rows.where(phrase).select(F.explode(F.split("term", " ")).alias("term")).distinct()
     words = rows.where(~phrase & (F.col("lift") >= word_lift)).join(covered, "term", "left_anti")
