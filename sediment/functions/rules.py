@@ -79,7 +79,10 @@ def unit(strong: Column, overview: Column, department: Column, profession: Colum
         rules = [F.when(names_itself(text, name, lowered), F.lit(u)) for u, name, h in units if h is high]
         return F.coalesce(*rules, F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
 
-    first, by_department, by_profession = named(True), lookup(department, departments), lookup(profession, professions)
-    found = F.coalesce(first, by_department, by_profession, named(False))
-    source = F.when(found.isNull(), None).when(found == by_department, "department").when(found == by_profession, "profession").otherwise("self")
-    return found, source
+    found = F.coalesce(named(True), lookup(department, departments), lookup(profession, professions), named(False))
+    return found, unit_source(found, department, profession, departments, professions)
+
+
+def unit_source(found: Column, department: Column, profession: Column, departments: Mapping[str, str], professions: Mapping[str, str]) -> Column:
+    """Where unit() has a unit from. found: the unit, which is best a column already, as it is used several times."""
+    return F.when(found.isNull(), None).when(found == lookup(department, departments), "department").when(found == lookup(profession, professions), "profession").otherwise("self")

@@ -38,7 +38,7 @@ def classified(postings: DataFrame, themes: dict[str, list[str]] = tables.THEMES
     every = [w for topics in (themes, industries) for words in topics.values() for w in words]
     out = out.withColumns({f"_words_{n}": keywords.found(F.lower(F.coalesce(f"_{n}", F.lit(""))), every) for n in ("strong", "clean")})
     strong, title, everything, lower = F.col("_strong"), F.col("title"), F.col("_all"), F.col("_lower")
-    unit, source = rules.unit(strong, F.col("_overview"), F.col("department"), F.col("profession"), [(u, p, h) for u, _, p, h in tables.UNITS], tables.DEPARTMENTS, tables.PROFESSIONS)
+    unit, _ = rules.unit(strong, F.col("_overview"), F.col("department"), F.col("profession"), [(u, p, h) for u, _, p, h in tables.UNITS], tables.DEPARTMENTS, tables.PROFESSIONS)
     derived = {
         "seniority": rules.first_match(title, tables.SENIORITY, "Mid / Unspecified"),
         "archetype": rules.first_match(title, tables.ARCHETYPES, "other"),
@@ -46,7 +46,7 @@ def classified(postings: DataFrame, themes: dict[str, list[str]] = tables.THEMES
         "industries": rules.of_topics(F.col("_words_strong"), F.col("_words_clean"), industries) if industries else F.array().cast("array<string>"),
         "products": rules.any_match(everything, tables.PRODUCTS, lower),
         "org": unit,
-        "orgSource": source,
+        "orgSource": rules.unit_source(F.col("org"), F.col("department"), F.col("profession"), tables.DEPARTMENTS, tables.PROFESSIONS),
         "solutionAreas": rules.any_match(everything, tables.SOLUTION_AREAS, lower),
         "initiatives": rules.any_match(everything, tables.INITIATIVES, lower),
         "skills": skills(strong, F.col("_asked")),
