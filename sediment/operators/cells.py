@@ -1,5 +1,6 @@
 """Many tables of counts from one pass over the rows: every row gives the cells that it counts in, and one shuffle adds them up.
 
+Rows that are equal in what a few of the tables look at can be counted first (grouped), so that cells are made once for each different kind of row.
 A table of cells is (name, a, b, c, n). It is written once, so that all that is derived from it reads a table of counts and not the rows again.
 """
 
@@ -19,6 +20,8 @@ def _cell(name: str, a: Column, b: Column | None = None, c: Column | None = None
     return F.struct(F.lit(name).alias("name"), *(k.alias(n) for k, n in zip(keys, "abc", strict=True)))
 
 
+#: Columns of grouped(): the set that a row is of, and how many rows it stands for.
+SET, WEIGHT = "_set", "_weight"
 _CELLS = "array<struct<name:string,a:string,b:string,c:string>>"
 
 
@@ -29,13 +32,13 @@ def one(name: str, a: Column, b: Column | None = None, c: Column | None = None,
 
 
 def each(name: str, keys: Column, b: Column | None = None, c: Column | None = None) -> Column:
-    """A cell for each different key of a row's array."""
-    return F.transform(F.array_distinct(keys), lambda k: _cell(name, k, b, c))
+    """A cell for each different key of a row's array; a null array has none."""
+    return F.coalesce(F.transform(F.array_distinct(keys), lambda k: _cell(name, k, b, c)), none())
 
 
 def each_of(name: str, label: str, keys: Column) -> Column:
     """each() of several arrays under one name, told apart by a label before the key."""
-    return F.transform(F.array_distinct(keys), lambda k: _cell(name, F.lit(label), k))
+    return F.coalesce(F.transform(F.array_distinct(keys), lambda k: _cell(name, F.lit(label), k)), none())
 
 
 def none() -> Column:
@@ -48,13 +51,32 @@ def pairs(name: str, keys: Column) -> Column:
     def of(s: Column) -> Column:
         return F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda b: _cell(name, a, b))))
 
-    return F.get(F.transform(F.array(F.array_sort(F.array_distinct(keys))), of), F.lit(0))
+    return F.coalesce(F.get(F.transform(F.array(F.array_sort(F.array_distinct(keys))), of), F.lit(0)), none())
+
+
+def grouped(rows: DataFrame, sets: dict[str, list[str]], always: list[str]) -> DataFrame:
+    """For each set of columns its different rows, with their number as WEIGHT and the set's name as SET; columns of other sets are null. The columns always are in every set."""
+    columns = list(dict.fromkeys([*always, *(c for own in sets.values() for c in own)]))
+    mark = F
+    for name, own in sets.items():
+        bits = "".join("0" if c in always or c in own else "1" for c in columns)
+        mark = mark.when(F.grouping_id() == int(bits, 2), name)
+    return rows.groupingSets([[F.col(c) for c in [*always, *own]] for own in sets.values()], *columns).agg(mark.alias(SET), F.count("*").alias(WEIGHT))
+
+
+def of(**parts: list[Column]) -> Column:
+    """The cells of a row of grouped(), by its set."""
+    out = F
+    for name, own in parts.items():
+        out = out.when(F.col(SET) == name, F.concat(*own))
+    return out.otherwise(none())
 
 
 def counted(rows: DataFrame, *parts: Column) -> DataFrame:
-    """The table of cells, written and read again."""
+    """The table of cells, written and read again. A row of grouped() counts as often as its weight says."""
     path = scratch(rows.sparkSession, "cells")
-    cells = rows.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.name", "x.a", "x.b", "x.c").agg(F.count("*").alias("n"))
+    weight = F.col(WEIGHT) if WEIGHT in rows.columns else F.lit(1)
+    cells = rows.select(F.explode(F.concat(*parts)).alias("x"), weight.cast("long").alias("w")).groupBy("x.name", "x.a", "x.b", "x.c").agg(F.sum("w").alias("n"))
     cells.write.parquet(path)
     return rows.sparkSession.read.schema("name string, a string, b string, c string, n long").parquet(path)
 

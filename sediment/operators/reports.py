@@ -58,42 +58,81 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return first
 
 
+#: Columns of a posting that tables of the overview look at together.
+_FACETS = {
+    "work": ["profession", "discipline", "department"],
+    "people": ["profession", "roleType", "employmentType", "seniority", "archetype"],
+    "unit": ["org", "parent", "orgSource", "seniority"],
+    "place": ["locations", "countryCodes"],
+    "site": ["workSite", "workLocationOption", "travel"],
+    "title": ["title"],
+    "tags": ["products", "industries", "solutionAreas", "initiatives"],
+    "themes": ["themes", "month"],
+    "month": ["month", "org", "profession"],
+    "day": ["day", "age"],
+    "status": ["status", "daysOpen"],
+}
+
+
+def _facets(rows: DataFrame, as_of: Column) -> DataFrame:
+    """The columns of _FACETS and whether a posting is open; what isn't open has status and daysOpen only. The month is its first day, and the order of tags is dropped."""
+    is_open = F.coalesce(F.col("status") == "open", F.lit(False))
+    made = {k: F.sort_array(_array(k)) for k in ("themes", "products", "industries", "solutionAreas", "initiatives")}
+    made |= {"month": F.trunc(F.to_date(_posted()), "month"), "day": F.to_date(_posted()), "age": dates.age_days(_posted(), as_of)}
+    names = dict.fromkeys(c for k, own in _FACETS.items() if k != "status" for c in own)
+    return rows.select(is_open.alias("open"), *(F.when(is_open, made.get(c, F.col(c))).alias(c) for c in names), *_FACETS["status"])
+
+
 def overview(postings: DataFrame, as_of: Column, runs: DataFrame | None = None) -> dict[str, DataFrame]:
     """Totals, breakdowns, pairs of themes, cross tables, days and months of the open book.
 
-    One pass over the postings and one shuffle count the cells of all tables (operators.cells); the tables are made of these counts.
+    One pass over the postings counts those that are equal in each of some sets of columns; of these counts the cells of all tables
+    are made and added up (operators.cells), and of the cells the tables.
     """
     rows = postings if "parent" in postings.columns else postings.withColumn("parent", classify.parent(F.col("org")))
-    rows = rows.withColumn("_open", F.coalesce(F.col("status") == "open", F.lit(False)))
     remote = F.coalesce(F.concat_ws(" ", "workSite", "workLocationOption").rlike("(?i)remote"), F.lit(False))
     scalars = {k: F.col(k) for k in ("profession", "discipline", "department", "roleType", "employmentType", "seniority", "workSite", "travel")}
     scalars |= {"archetype": ranking.stated(F.col("archetype"), "other"), "org": ranking.stated(F.col("org"), NOT_STATED), "division": F.when(F.col("org").isNull(), NOT_STATED).otherwise(F.coalesce("parent", "org"))}
     cities = F.transform(_places(), lambda p: text.city_label(p["city"], p["country"]))
-    arrays = {"country": _countries(), "city": cities, "theme": _array("themes"), "product": _array("products"), "industry": _array("industries"), "solutionArea": _array("solutionAreas"), "initiative": _array("initiatives"), "titleWord": text.title_words(F.col("title"))}
+    arrays = {"country": _countries(), "city": cities, "theme": F.col("themes"), "product": F.col("products"), "industry": F.col("industries"), "solutionArea": F.col("solutionAreas"), "initiative": F.col("initiatives"), "titleWord": text.title_words(F.col("title"))}
     conditions = {
         "multiLocation": F.size(_array("locations")) > 1,
         "remoteEligible": remote,
-        "untagged": F.size(_array("themes")) == 0,
+        "untagged": F.size("themes") == 0,
         "orgIdentified": F.col("org").isNotNull(),
         **{f"orgFrom_{s}": F.col("org").isNotNull() & (F.coalesce("orgSource", F.lit("self")) == s) for s in ("department", "profession", "self")},
     }
     crossed = {"profession by roleType": ("profession", "roleType"), "profession by seniority": ("profession", "seniority"), "org by seniority": ("org", "seniority")}
-    series_of = {"theme": _array("themes"), "org": F.array_compact(F.array("org")), "profession": F.array(ranking.stated(F.col("profession")))}
-    month, age, day = dates.month_key(_posted()), dates.age_days(_posted(), as_of), F.to_date(_posted())
-    own = [
-        *(cells.one("breakdown", F.lit(d), ranking.stated(k)) for d, k in scalars.items()),
-        *(cells.each_of("breakdown", d, k) for d, k in arrays.items()),
-        *(cells.one("meta", F.lit(k), where=F.coalesce(test, F.lit(False))) for k, test in conditions.items()),
-        *(cells.one(k, ranking.stated(F.col(a)), ranking.stated(F.col(b)), where=F.col("org").isNotNull() if a == "org" else None) for k, (a, b) in crossed.items()),
-        *(cells.each(f"month {k}", keys, month) for k, keys in series_of.items()),
-        cells.one("posted", month, where=month.isNotNull()),
-        cells.one("age", age, where=age.isNotNull()),
-        cells.one("day", day, where=day.isNotNull()),
-        cells.pairs("pair", _array("themes")),
-    ]
+    series_of = {"theme": F.col("themes"), "org": F.array_compact(F.array("org")), "profession": F.array(ranking.stated(F.col("profession")))}
+    month = dates.month_key(F.col("month"))
+
+    def tally(*dims: str) -> list[Column]:
+        return [cells.one("breakdown", F.lit(d), ranking.stated(scalars[d])) if d in scalars else cells.each_of("breakdown", d, arrays[d]) for d in dims]
+
+    def marks(*keys: str) -> list[Column]:
+        return [cells.one("meta", F.lit(k), where=F.coalesce(conditions[k], F.lit(False))) for k in keys]
+
+    def cross(*keys: str) -> list[Column]:
+        return [cells.one(k, *(ranking.stated(F.col(x)) for x in crossed[k]), where=F.col("org").isNotNull() if crossed[k][0] == "org" else None) for k in keys]
+
+    def by_month(*keys: str) -> list[Column]:
+        return [cells.each(f"month {k}", series_of[k], month) for k in keys]
+
+    own = cells.of(
+        work=tally("profession", "discipline", "department"),
+        people=[*tally("roleType", "employmentType", "seniority", "archetype"), *cross("profession by roleType", "profession by seniority")],
+        unit=[*tally("org", "division"), *marks(*(k for k in conditions if k.startswith("org"))), *cross("org by seniority")],
+        place=[*tally("country", "city"), *marks("multiLocation")],
+        site=[*tally("workSite", "travel"), *marks("remoteEligible")],
+        title=tally("titleWord"),
+        tags=tally("product", "industry", "solutionArea", "initiative"),
+        themes=[*tally("theme"), *marks("untagged"), *by_month("theme"), cells.pairs("pair", F.col("themes"))],
+        month=[*by_month("org", "profession"), cells.one("posted", month, where=F.col("month").isNotNull())],
+        day=[cells.one("age", F.col("age"), where=F.col("age").isNotNull()), cells.one("day", F.col("day"), where=F.col("day").isNotNull())],
+    )
     is_closed = F.col("status") == "closed"
-    whole = [cells.one("status", F.col("status")), cells.one("closing", F.lit("all"), F.col("daysOpen"), where=F.coalesce(is_closed, F.lit(False)) & F.col("daysOpen").isNotNull())]
-    found = cells.counted(rows, F.when(F.col("_open"), F.concat(*own)).otherwise(cells.none()), *whole)
+    whole = cells.of(status=[cells.one("status", F.col("status")), cells.one("closing", F.lit("all"), F.col("daysOpen"), where=F.coalesce(is_closed, F.lit(False)) & F.col("daysOpen").isNotNull())])
+    found = cells.counted(cells.grouped(_facets(rows, as_of), _FACETS, ["open"]), F.when(F.col("open"), own).otherwise(cells.none()), whole)
 
     aged = cells.table(found, "age", "days").withColumn("days", F.col("days").cast("long"))
     by_age = F.coalesce(*(F.when(F.col("days") <= bound, name) for bound, name in _AGES), F.lit("180+ days"))
