@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.operators.ranking import ranked
+from sediment.operators.ranking import bucket, ranked
 from sediment.session import scratch
 
 _TEXT = "string"
@@ -108,6 +108,11 @@ def monthly(cells: DataFrame, grid: DataFrame, top: int | None = None) -> DataFr
     return full.join(counts, ["key", "month"], "left").select("key", "month", "ordinal", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def buckets(cells: DataFrame, value: Column, bounds: list[tuple[float, str]], last: str) -> DataFrame:
+    """ranking.buckets() of a table of counts."""
+    return cells.where(value.isNotNull()).groupBy(*bucket(value, bounds, last)).agg(F.sum("n").alias("n"))
+
+
 def medians(cells: DataFrame, key: str, value: str, upper: bool = False) -> DataFrame:
     """(key, n, median) of a table (key, value, n) of whole values, exact: of two middle ones the mean, or with upper the larger."""
     upto = F.sum("n").over(Window.partitionBy(key).orderBy(F.col(value).cast("long")).rowsBetween(Window.unboundedPreceding, 0))

@@ -61,11 +61,15 @@ def union_share(rows: DataFrame, keys: Column, wanted: list[str]) -> DataFrame:
 
 def buckets(rows: DataFrame, value: Column, bounds: list[tuple[float, str]], last: str) -> DataFrame:
     """(ordinal, bucket, n): a value belongs to the first bucket whose bound it doesn't exceed. Nulls are left out."""
+    return rows.where(value.isNotNull()).groupBy(*bucket(value, bounds, last)).agg(F.count("*").alias("n"))
+
+
+def bucket(value: Column, bounds: list[tuple[float, str]], last: str) -> tuple[Column, Column]:
+    """The ordinal and the name of a value's bucket."""
     label, ordinal = F, F
     for i, (bound, name) in enumerate(bounds):
         label, ordinal = label.when(value <= bound, name), ordinal.when(value <= bound, i)
-    found = rows.where(value.isNotNull()).select(ordinal.otherwise(len(bounds)).cast("int").alias("ordinal"), label.otherwise(last).alias("bucket"))
-    return found.groupBy("ordinal", "bucket").agg(F.count("*").alias("n"))
+    return ordinal.otherwise(len(bounds)).cast("int").alias("ordinal"), label.otherwise(last).alias("bucket")
 
 
 def in_order(counts: DataFrame, order: list[str] | tuple[str, ...], key: str = "key") -> DataFrame:

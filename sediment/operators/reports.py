@@ -163,37 +163,84 @@ def overview(postings: DataFrame, as_of: Column, runs: DataFrame | None = None)
     return out
 
 
+#: Columns of a posting that tables of the requirements look at together.
+_ASKED = {"skills": ["skills", "month", "recent"], "bands": ["skills", "band"], "years": ["band", "month", "requiredYears", "degree"], "openList": ["openList"]}
+
+
 def requirements(postings: DataFrame, as_of: Column, categories: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """What postings with qualifications ask for: skills, years, degrees, bands, months. categories: of skills, by default the rule table's."""
+    """What postings with qualifications ask for: skills, years, degrees, bands, months. categories: of skills, by default the rule table's.
+
+    As in overview(), one pass counts equal rows, and all tables are made of cells; what states no qualifications counts for the coverage only.
+    """
     category = {s: c for s, c, _ in tables.SKILLS} if categories is None else categories
-    stated = is_open(postings).where("hasQualifications")
-    marks = F.array(*map(F.lit, tables.OPEN_LIST_SKILLS))
-    stated = stated.withColumns({"openList": F.array_intersect(_array("skills"), marks), "skills": F.array_except(_array("skills"), marks), "band": classify.band(F.col("seniority"))})
-    table = F.create_map(*(F.lit(x) for pair in category.items() for x in pair))
-    kinds = F.array_distinct(F.filter(F.transform("skills", lambda k: F.try_element_at(table, k)), lambda c: c.isNotNull()))
-    asks_ai = classify.asks_for_ai(F.col("skills"))
-    total = stated.agg(F.count("*").alias("total"))
+    has = F.coalesce("hasQualifications", F.lit(False))
+    listed = F.array(*map(F.lit, tables.OPEN_LIST_SKILLS))
     recent = F.coalesce(_posted() >= as_of - F.make_dt_interval(F.lit(90)), F.lit(False))
-    ai = stated.agg(F.count("*").alias("n"), F.count_if(asks_ai).alias("ai"), F.count_if(recent).alias("recent"), F.count_if(recent & asks_ai).alias("recent_ai"))
+    made = {"skills": F.sort_array(F.array_except(_array("skills"), listed)), "openList": F.sort_array(F.array_intersect(_array("skills"), listed)), "band": classify.band(F.col("seniority"))}
+    made |= {"month": F.trunc(F.to_date(_posted()), "month"), "recent": recent, "requiredYears": F.col("requiredYears"), "degree": F.col("degree")}
+    rows = is_open(postings).select(has.alias("stated"), *(F.when(has, x).alias(k) for k, x in made.items()))
+
+    table = F.create_map(*(F.lit(x) for pair in category.items() for x in pair)) if category else F.create_map().cast("map<string,string>")
+    kinds = F.array_distinct(F.filter(F.transform("skills", lambda k: F.try_element_at(table, k)), lambda c: c.isNotNull()))
+    asks_ai, month, band = F.coalesce(classify.asks_for_ai(F.col("skills")), F.lit(False)), dates.month_key(F.col("month")), F.col("band")
+    dated, keyed = F.col("month").isNotNull(), F.size("skills") > 0
+    own = cells.of(
+        skills=[
+            *(cells.each(k, x) for k, x in (("skill", F.col("skills")), ("category", kinds))),
+            *(cells.each(f"month {k}", x, month) for k, x in (("skill", F.col("skills")), ("category", kinds))),
+            cells.each("demand", F.col("skills"), F.col("recent")),
+            cells.one("keyed", F.col("recent"), where=keyed),
+            cells.one("ai", asks_ai, F.col("recent")),
+            cells.one("market", month, F.lit("n"), where=dated),
+            cells.one("market", month, F.lit("ai"), where=dated & asks_ai),
+            cells.pairs("pair", F.col("skills")),
+        ],
+        bands=[cells.one("band", band), cells.each("gradient", kinds, band)],
+        years=[
+            cells.one("market", month, F.lit("degree"), where=dated & F.col("degree").isNotNull()),
+            cells.one("degree", F.coalesce("degree", F.lit("Not stated"))),
+            cells.one("years", band, F.col("requiredYears"), where=F.col("requiredYears").isNotNull()),
+            cells.one("month years", month, F.col("requiredYears"), where=dated & F.col("requiredYears").isNotNull()),
+        ],
+        openList=[cells.each("openList", F.col("openList"))],
+    )
+    coverage = cells.of(openList=[cells.one("coverage", F.col("stated"))])
+    found = cells.counted(cells.grouped(rows, _ASKED, ["stated"]), F.when(F.col("stated"), own).otherwise(cells.none()), coverage)
+
+    def summed(where: Column | None = None) -> Column:
+        return F.coalesce(F.sum("n" if where is None else F.when(where, F.col("n"))), F.lit(0).cast("long"))
+
+    yes = F.lit("true")
+    covered = cells.table(found, "coverage", "stated").agg(summed().alias("open"), summed(F.col("stated") == yes).alias("n"))
+    total = covered.select(F.col("n").alias("total"))
+    skills, kind = cells.table(found, "skill", "key"), cells.table(found, "category", "key")
+    breadth = skills.agg(summed().alias("keys")).crossJoin(F.broadcast(total)).select(F.col("total").alias("n"), F.when(F.col("total") > 0, F.col("keys")).alias("keys"))
+    years = cells.table(found, "years", "band", "years").withColumn("years", F.col("years").cast("int"))
+    demand = cells.table(found, "demand", "key", "recent").groupBy("key").agg(summed().alias("total"), summed(F.col("recent") == yes).alias("recent"))
+    keyed_rows = cells.table(found, "keyed", "recent").agg(summed().alias("all_n"), summed(F.col("recent") == yes).alias("recent_n"))
+    is_ai, is_recent = F.col("ai") == yes, F.col("recent") == yes
+    ai = cells.table(found, "ai", "ai", "recent").agg(summed().alias("n"), summed(is_ai).alias("ai"), summed(is_recent).alias("recent"), summed(is_ai & is_recent).alias("recent_ai"))
     base, latest = pct(F.col("ai"), F.col("n")), pct(F.col("recent_ai"), F.col("recent"))
-    months = series.last_months(stated, _posted())
-    market = series.market_months(stated, _posted(), {"ai": asks_ai, "degree": F.col("degree").isNotNull()}, F.col("requiredYears"))
-    degrees = ranking.tally(stated, F.coalesce("degree", F.lit("Not stated")))
+    market = cells.table(found, "market", "month", "k").groupBy("month").agg(*(summed(F.col("k") == k).alias(k) for k in ("n", "ai", "degree"))).where(F.col("n") >= series.MARKET_LEAST)
+    market = market.join(cells.medians(cells.table(found, "month years", "month", "years"), "month", "years").select("month", "median"), "month", "left")
+    grid = cells.last_months(cells.table(found, "market", "month").select("month"))
+    bands = cells.table(found, "band", "band").withColumnRenamed("n", "total")
+    timelines = {k: cells.monthly(cells.table(found, f"month {k}", "key", "month"), grid, top) for k, top in (("skill", 8), ("category", None))}
     return {
-        "coverage": is_open(postings).agg(F.count("*").alias("open"), F.count_if("hasQualifications").alias("n")).withColumn("share", quotient(F.col("n"), F.col("open"))),
-        "breadth": ranking.breadth(stated, F.col("skills")),
-        "skills": ranking.with_share(ranking.tally_many(stated, F.col("skills")), total),
-        "categories": ranking.with_share(ranking.tally_many(stated, kinds), total),
-        "openList": ranking.with_share(ranking.tally_many(stated, F.col("openList")), total),
-        "years": ranking.buckets(stated, F.col("requiredYears"), _YEARS, "9+ years"),
-        "bands": ranking.median_by(stated, F.col("band"), F.col("requiredYears")),
-        "degrees": ranking.in_order(degrees, tables.DEGREE_ORDER),
-        "demand": series.recency(stated, _posted(), F.col("skills"), _now(stated, as_of), 90, 12),
+        "coverage": covered.withColumn("share", quotient(F.col("n"), F.col("open"))),
+        "breadth": breadth.withColumn("mean", quotient(F.col("keys"), F.col("n"))),
+        "skills": ranking.with_share(skills, total),
+        "categories": ranking.with_share(kind, total),
+        "openList": ranking.with_share(cells.table(found, "openList", "key"), total),
+        "years": cells.buckets(years, F.col("years"), _YEARS, "9+ years"),
+        "bands": cells.medians(years, "band", "years").where(F.col("n") >= 5).withColumnRenamed("band", "key"),
+        "degrees": ranking.in_order(cells.table(found, "degree", "key"), tables.DEGREE_ORDER),
+        "demand": series.recency_of(demand, keyed_rows, 12),
         "aiStack": ai.select("*", base.alias("base_share"), latest.alias("recent_share"), F.when(base != 0, ratio(latest, base)).alias("index")),
-        "pairs": ranking.pairs(stated, F.col("skills")).orderBy(F.col("n").desc(), "a", "b").limit(12),
-        "gradient": ranking.gradient(stated, kinds, F.col("band")),
-        "market": market.join(F.broadcast(months.select("month")), "month"),
-        "timeline": _union([_labelled("skill", series.monthly(stated, _posted(), F.col("skills"), 12, 8)), _labelled("category", series.monthly(stated, _posted(), kinds))]),
+        "pairs": cells.table(found, "pair", "a", "b").orderBy(F.col("n").desc(), "a", "b").limit(12),
+        "gradient": cells.table(found, "gradient", "key", "band").join(bands, "band").select("key", "band", "n", quotient(F.col("n"), F.col("total")).alias("share")),
+        "market": market.join(F.broadcast(grid.select("month")), "month"),
+        "timeline": _union(_labelled(k, t) for k, t in timelines.items()),
     }
 
 

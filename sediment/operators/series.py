@@ -76,6 +76,11 @@ def recency(rows: DataFrame, ts: Column, keys: Column, as_of: DataFrame, days: i
     recent = F.coalesce(F.col("recent"), F.lit(False))
     totals = marked.agg(F.count("*").alias("all_n"), F.count_if(recent).alias("recent_n"))
     counts = marked.select(recent.alias("recent"), F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("total"), F.count_if("recent").alias("recent"))
+    return recency_of(counts, totals, least)
+
+
+def recency_of(counts: DataFrame, totals: DataFrame, least: int = 3) -> DataFrame:
+    """recency() of counts (key, total, recent) and their denominators (all_n, recent_n)."""
     index = F.coalesce(quotient(F.col("recent") * F.col("all_n"), F.col("recent_n") * F.col("total")), F.lit(0.0))
     return counts.where(F.col("total") >= least).crossJoin(F.broadcast(totals)).select("key", "total", "recent", index.alias("index"))
 
@@ -94,7 +99,11 @@ def both_ends(index: DataFrame, k: int = 6) -> DataFrame:
     return high.unionByName(index.orderBy("index", "key").limit(k).withColumn("end", F.lit("low")))
 
 
-def market_months(rows: DataFrame, ts: Column, conditions: dict[str, Column], value: Column, least: int = 25) -> DataFrame:
+#: Rows that a month has to have for a figure of the market.
+MARKET_LEAST = 25
+
+
+def market_months(rows: DataFrame, ts: Column, conditions: dict[str, Column], value: Column, least: int = MARKET_LEAST) -> DataFrame:
     """(month, n, a count for each condition, median of value) of months with so many rows or more."""
     found = rows.where(ts.isNotNull()).groupBy(month_key(ts).alias("month")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in conditions.items())).where(F.col("n") >= least)
     middle = medians(rows.where(ts.isNotNull()), month_key(ts), value).select(F.col("key").alias("month"), "median")
