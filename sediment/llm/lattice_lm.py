@@ -6,8 +6,9 @@ is the sum over them, by a forward recursion in log space, and that of a documen
 crosses a word's start. The piece weights begin as the vocabulary's scores (ranks, taken as 1 / (rank + SHIFT)) and are
 learned by ROUNDS of expectation-maximisation over the counts of all training words.
 
-Texts pass once: each batch of them becomes one row with its vocabulary and, for each document, numbers of words. Vocabularies
-are counted and scored as distinct words, never for each document, and come back to their batch, whose size is fixed. Words of one length go through
+Texts pass once: each batch of them becomes rows of its vocabulary and, for each document, rows of numbers of words. No row has more than ROW_WORDS
+words, as Spark reads, writes and gathers thousands of rows at once. Vocabularies
+are counted and scored as distinct words, never for each document, and come back to their batch, whose size is fixed, and which one call of a cogroup scores. Words of one length go through
 numpy together; one of LONG characters or more goes alone, its pieces looked up for all of its places at once, in time and memory proportional to its length.
 
 Null and empty texts are the end alone. A null doc_id is not held out. Repeated rows are scored one by one, and all are counted if they
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from sediment.llm import common
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in one batch.
 BATCH_BYTES = 8 << 20
+#: Words in one row of a batch's vocabulary, or of a document.
+ROW_WORDS = 1_000
 #: Distinct words whose lattices are built at once.
 WORDS_AT_ONCE = 30_000
 #: Characters from which a word is gone over alone; the sums are the same.
@@ -40,7 +44,8 @@ START = "▁"
 _U = np.uint64
 _NEVER = -1e30
 
-_BATCH = "batch long, doc_id array<long>, held array<boolean>, n_words array<long>, kinds array<int>, word array<int>, times array<int>, vocab array<binary>, train array<long>, train_docs long"
+#: Rows of documents: row numbers them within the batch, and those behind a document's first have no n_words. Rows of the vocabulary have no held, and their row is the number of the first word.
+_BATCH = "batch long, row int, doc_id long, held boolean, n_words long, word array<int>, times array<int>, vocab array<binary>, train array<long>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -229,9 +234,14 @@ def vocabulary(model: str) -> tuple[list[str], list[int | None], np.ndarray]:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
-    schema = pa.schema([("batch", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("word", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("vocab", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("train_docs", pa.int64())])
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    schema = pa.schema([("batch", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_words", pa.int64()), ("word", ints), ("times", ints), ("vocab", pa.list_(pa.binary())), ("train", longs)])
 
-    def row(ids: list, words: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["batch"] = pa.array(np.full(size, (part << 32) + number))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+
+    def whole(ids: list, words: list[bytes], counts: list[int]) -> Iterator[pa.RecordBatch]:
         nonlocal number
         held = np.array([held_out(i) for i in ids], bool)
         n = np.array(counts, np.int64)
@@ -241,8 +251,17 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, times = np.unique(doc * max(size, 1) + index, return_counts=True)
         train = np.bincount(index[~held[doc]], minlength=size)
         number += 1
-        values = [(part << 32) + number, ids, held, n, np.bincount(pair // max(size, 1), minlength=len(n)).astype(np.int32), (pair % max(size, 1)).astype(np.int32), times.astype(np.int32), coded.dictionary, train, int((~held).sum())]
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) if not isinstance(v, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v, f in zip(values, schema, strict=True)], schema=schema)
+        kinds = np.bincount(pair // max(size, 1), minlength=len(n))
+        cuts = np.maximum(1, -(-kinds // ROW_WORDS))
+        own = np.repeat(np.arange(len(n)), cuts)
+        later = np.arange(len(own)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        edges = pa.array(np.append((np.cumsum(kinds) - kinds)[own] + later * ROW_WORDS, len(pair)).astype(np.int32))
+        lists = {k: pa.ListArray.from_arrays(edges, pa.array(v.astype(np.int32))) for k, v in (("word", pair % max(size, 1)), ("times", times))}
+        yield rows(len(own), row=pa.array(np.arange(len(own), dtype=np.int32)), doc_id=pa.array(ids, pa.int64()).take(pa.array(own)), held=pa.array(held[own]), n_words=pa.array(n[own], mask=later > 0), **lists)
+        if size:
+            first = np.arange(0, size, ROW_WORDS, dtype=np.int32)
+            edges = pa.array(np.append(first, size).astype(np.int32))
+            yield rows(len(first), row=pa.array(first), vocab=pa.ListArray.from_arrays(edges, coded.dictionary), train=pa.ListArray.from_arrays(edges, pa.array(train)))
 
     ids: list = []
     words: list[bytes] = []
@@ -252,7 +271,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("raw"), strict=True):
             raw = text.as_buffer().to_pybytes()
             if size + len(raw) > BATCH_BYTES and ids:
-                yield row(ids, words, counts)
+                yield from whole(ids, words, counts)
                 ids, words, counts, size = [], [], [], 0
             own = raw.lower().split()
             ids.append(i)
@@ -260,7 +279,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(own))
             size += len(raw)
     if ids:
-        yield row(ids, words, counts)
+        yield from whole(ids, words, counts)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -300,25 +319,23 @@ def _score_words(lattice: Lattice):
 
 
 def _score_documents(n: int, v: int, end: int, end_log10: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.log10(n + v + 1)
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x = {k: batch.column(k)[r].values for k in ("doc_id", "held", "n_words", "kinds", "word", "times")}
-                at = batch.column("at")[r]
-                at = np.zeros(0, np.int64) if not at.is_valid else at.values.to_numpy()
-                c, log = np.zeros(len(at)), np.zeros(len(at))
-                if len(at):
-                    c[at] = batch.column("c")[r].values.to_numpy()
-                    log[at] = batch.column("log10")[r].values.to_numpy()
-                kinds, word, times = (x[k].to_numpy() for k in ("kinds", "word", "times"))
-                n_words = x["n_words"].to_numpy()
-                doc = np.repeat(np.arange(len(n_words)), kinds)
-                total = lambda w: np.bincount(doc, weights=w, minlength=len(n_words))
-                base = total(times * np.log10(c[word] + 1)) + np.log10(end + 1) - (n_words + 1) * floor
-                known = total(times * (c[word] > 0)).astype(np.int64) + (end > 0)
-                score = total(times * log[word]) + end_log10
-                yield pa.RecordBatch.from_arrays([x["doc_id"], x["held"], pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(n_words), n)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    floor = np.log10(n + v + 1)
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        docs, at = docs.sort_by("row"), words.column("i").to_numpy()
+        c, log = np.zeros(len(at)), np.zeros(len(at))
+        c[at], log[at] = words.column("c").to_numpy(), words.column("log10").to_numpy()
+        first = docs.filter(pc.field("n_words").is_valid())
+        n_words = first.column("n_words").to_numpy()
+        own = np.cumsum(docs.column("n_words").is_valid().to_numpy()) - 1
+        doc = np.repeat(own, pc.list_value_length(docs.column("word")).to_numpy())
+        word, times = (pc.list_flatten(docs.column(k)).to_numpy() for k in ("word", "times"))
+        total = lambda w: np.bincount(doc, weights=w, minlength=len(n_words))
+        base = total(times * np.log10(c[word] + 1)) + np.log10(end + 1) - (n_words + 1) * floor
+        known = total(times * (c[word] > 0)).astype(np.int64) + (end > 0)
+        score = total(times * log[word]) + end_log10
+        common.give_back()
+        return pa.table([first.column("doc_id"), first.column("held"), pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(n_words), n)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -327,11 +344,13 @@ def scores(docs: DataFrame, model: str) -> DataFrame:
     """One row for each document: what the contract asks, with the lattice's log10 probability as score."""
     texts = common.documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw"))
     batches = common.written(texts.transform(common.in_arrow, _batches, _BATCH), "batches")
-    entries = batches.select("batch", F.posexplode(F.arrays_zip("vocab", "train")).alias("i", "x")).select("batch", "i", F.col("x.vocab").alias("word"), F.col("x.train").alias("t"))
+    own = batches.where("held is not null").select(F.col("batch").alias("own_batch"), "row", "doc_id", "held", "n_words", "word", "times")
+    vocabularies = batches.where("held is null").select("batch", "row", F.posexplode(F.arrays_zip("vocab", "train")).alias("i", "x"))
+    entries = vocabularies.select("batch", (F.col("row") + F.col("i")).alias("i"), F.col("x.vocab").alias("word"), F.col("x.train").alias("t"))
     counts = common.written(entries.groupBy("word").agg(F.sum("t").alias("c")), "counts")
     known = counts.where("c > 0")
     words, kinds = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = batches.agg(F.coalesce(F.sum("train_docs"), F.lit(0))).first()[0]
+    end = own.where("n_words is not null and not held").count()
     n, v = words + end, kinds + (end > 0)
 
     pieces, byte_of, prior = vocabulary(model)
@@ -344,6 +363,6 @@ def scores(docs: DataFrame, model: str) -> DataFrame:
         total = uses.sum() + end
         lattice.weights, end_log = np.log(uses / total), np.log(end / total)
     scored = common.written(counts.transform(common.in_arrow, _score_words(lattice), "word binary, c long, log10 float"), "words")
-    back = entries.select("batch", "i", "word").join(scored, "word").groupBy("batch").agg(F.collect_list("i").alias("at"), F.collect_list("c").alias("c"), F.collect_list("log10").alias("log10"))
-    joined = batches.select("batch", "doc_id", "held", "n_words", "kinds", "word", "times").join(back, "batch", "left").drop("batch")
-    return joined.transform(common.in_arrow, _score_documents(int(n), int(v), int(end), float(end_log / np.log(10))), _SCORES)
+    back = entries.select("batch", "i", "word").join(scored, "word").select("batch", "i", "c", "log10")
+    score = _score_documents(int(n), int(v), int(end), float(end_log / np.log(10)))
+    return own.groupBy("own_batch").cogroup(back.groupBy("batch")).applyInArrow(score, _SCORES)
